@@ -109,7 +109,6 @@ def pack(turns: DataFrame, pack_chars: int = 1 << 16, pack_leaves: int = 1024) -
     whole = turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("turns"))
     step = lambda t: F.substring(F.sha2(F.concat(t["role"], F.lit("\n"), t["text"]), 256), 1, 16)
     keyed = whole.withColumn("path", F.concat_ws("", F.transform("turns", step))).select("conv_id", "path", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    parts = max(1, turns.sparkSession.sparkContext.defaultParallelism * 2, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, before, nodes = _Pack(), [], []
@@ -129,7 +128,7 @@ def pack(turns: DataFrame, pack_chars: int = 1 << 16, pack_leaves: int = 1024) -
         if now.rows["leaf_conv"]:
             yield pa.RecordBatch.from_pylist([now.row()], schema=_SCHEMA)
 
-    dealt = keyed.repartitionByRange(parts, "path", "conv_id").sortWithinPartitions("path", "conv_id").select("conv_id", "turns")
+    dealt = keyed.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id").select("conv_id", "turns")
     return dealt.mapInArrow(run, PACK)
 
 
