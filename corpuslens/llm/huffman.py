@@ -32,22 +32,49 @@ from . import _shared
 
 MAGIC = np.uint32(0x48554631)
 LIMIT, EVERY = 16, 128
-#: Pieces of text whose ids a worker remembers at most.
-CACHED = 400_000
-_known: dict[str, tuple] = {}
-#: A space before a space, or at either end of what a split leaves: such texts are encoded whole.
+#: A worker remembers the ids of at most twice so many pieces of text.
+CACHED = 500_000
+_known: dict[str, _Pieces] = {}
+#: A space before white space or at the end: such texts are encoded whole.
 _ODD = re.compile(r" (?=\s|\Z)")
 
 
-def _tokenizer(path: str) -> tuple:
-    if path not in _known:
+class _Pieces:
+    """A byte-level tokenizer with the ids of space-led pieces it has met: the newer ones, and those before."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(path)
-        made.encode_special_tokens = True
-        size = made.get_vocab_size()
-        _known[path] = made, {}, {}, np.uint16 if size <= 1 << 16 else np.uint32
-    return _known[path]
+        self.made = Tokenizer.from_file(path)
+        self.made.encode_special_tokens = True
+        size = self.made.get_vocab_size()
+        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
+        # in the byte-level alphabet a leading space is this letter; only the first token of a piece has it
+        self.leads = np.zeros(size, bool)
+        for token, i in self.made.get_vocab().items():
+            self.leads[i] = token.startswith("\u0120")
+
+    def learn(self, pieces: set[str]) -> None:
+        if len(self.new) + len(pieces) > CACHED:
+            self.old, self.new = self.new, {}
+        unknown = []
+        for p in pieces:
+            if (known := self.old.get(p)) is None:
+                unknown.append(p)
+            else:
+                self.new[p] = known
+        groups = [unknown[i : i + 1000] for i in range(0, len(unknown), 1000)]
+        for group, e in zip(groups, self.made.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            start = np.flatnonzero(self.leads[ids])
+            if len(start) != len(group):
+                raise ValueError("not a byte-level tokenizer")
+            size, data = ids.itemsize, ids.tobytes()
+            for p, a, b in zip(group, start.tolist(), [*start[1:].tolist(), len(ids)]):
+                self.new[p] = data[a * size : b * size]
 
 
 def encode_texts(texts: list[str], path: str, end_id: int = 0) -> tuple[list[bytes], type]:
@@ -56,26 +83,24 @@ def encode_texts(texts: list[str], path: str, end_id: int = 0) -> tuple[list[byt
     A byte-level tokenizer never merges across the border between a character that isn't white space and a following
     single space, so a text is the sequence of its space-led pieces; each different piece is encoded once by
     the tokenizers library and remembered. Texts with other spacing are encoded whole."""
-    made, first, later, kind = _tokenizer(path)
-    end = np.array([end_id], kind).tobytes()
+    if path not in _known:
+        _known[path] = _Pieces(path)
+    held = _known[path]
+    encode = lambda some: [np.array(e.ids, held.kind).tobytes() for e in held.made.encode_batch_fast(some, add_special_tokens=False)]
+    end = np.array([end_id], held.kind).tobytes()
     split: list[list[str] | None] = [None if _ODD.search(t) else t.split(" ") for t in texts]
-    missing = {p for s in split if s for p in s[1:] if p not in later}
-    if len(later) + len(missing) > CACHED:
-        later.clear()
-        missing = {p for s in split if s for p in s[1:]}
-    order = list(missing)
-    for i in range(0, len(order), 20_000):
-        part = order[i : i + 20_000]
-        for p, e in zip(part, made.encode_batch_fast([" " + x for x in part], add_special_tokens=False)):
-            later[p] = np.array(e.ids, kind).tobytes()
-    if len(first) > CACHED // 4:
-        first.clear()
-    order = list({s[0] for s in split if s and s[0] not in first})
-    for p, e in zip(order, made.encode_batch_fast(order, add_special_tokens=False)):
-        first[p] = np.array(e.ids, kind).tobytes()
-    whole = iter(made.encode_batch_fast([t for t, s in zip(texts, split) if s is None], add_special_tokens=False))
-    get = later.__getitem__
-    return [np.array(next(whole).ids, kind).tobytes() + end if s is None else first[s[0]] + b"".join(map(get, s[1:])) + end for s in split], kind
+    pieces = {p for s in split if s for p in s[1:]}
+    missing = {p for p in pieces if p not in held.new}
+    if len(held.new) + len(missing) > CACHED:
+        missing = pieces  # the newer ones become the old ones; what this call needs moves on
+    held.learn(missing)
+    if len(held.first) > CACHED // 8:
+        held.first.clear()
+    order = list({s[0] for s in split if s and s[0] not in held.first})
+    held.first.update(zip(order, encode(order)))
+    whole = iter(encode([t for t, s in zip(texts, split) if s is None]))
+    get = held.new.__getitem__
+    return [next(whole) + end if s is None else held.first[s[0]] + b"".join(map(get, s[1:])) + end for s in split], held.kind
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -260,8 +285,10 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for width, ids in zip(batch.column(0), batch.column(1)):
-                own = np.bincount(np.frombuffer(ids.as_py(), f"<u{width.as_py()}"), minlength=len(total))
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                ids = np.concatenate([np.frombuffer(x.as_py(), f"<u{w.as_py()}") for w, x in zip(part.column(0), part.column(1))])
+                own = np.bincount(ids, minlength=len(total))
                 own[: len(total)] += total
                 total = own
         used = np.flatnonzero(total)
