@@ -9,7 +9,8 @@
    come first, by hash. Sets that link share at least ``share`` shingles of their prefixes in that order.
 4. Prefixes are inverted; shingles whose documents are all in one component are done. Of other pairs across components
    within the length bound, those that share fewer prefix shingles than linking needs are out, and the rest is
-   decided in trees, too. Components of all links come from alternating stars over tables in the shared folder.
+   decided in trees, too. A shingle with more than ``crowd`` documents left names no pairs: its documents become one
+   block, whose parts go through trees two by two, so a set is sent once for each part instead of each partner. Components of all links come from alternating stars over tables in the shared folder.
 
 A tree holds sets as paths of shingles, most frequent first, in depth-first order. A probe goes through it with the overlap
 of its path so far, computed once for all sets that share the path, and leaves a subtree as soon as more shingles are
@@ -32,14 +33,15 @@ from pyspark.sql import functions as F
 from . import _shared, _words
 
 CHUNK = 192
+PART = 512
 SEEDS = [np.uint64(x) for x in np.random.default_rng(11).integers(1, 2**63, 9)]
 
 
 class Sets:
     """What the steps have in common: shingle width and threshold num / den of the Jaccard similarity."""
 
-    def __init__(self, width: int = 4, num: int = 85, den: int = 100, share: int = 3, common: int = 24):
-        self.width, self.num, self.den, self.share, self.common = width, num, den, share, common
+    def __init__(self, width: int = 4, num: int = 85, den: int = 100, share: int = 3, common: int = 24, crowd: int = 32):
+        self.width, self.num, self.den, self.share, self.common, self.crowd = width, num, den, share, common, crowd
 
     def overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Least intersection of linked sets of these sizes: den * i >= num * (a + b - i)."""
@@ -186,8 +188,8 @@ def _tree(sets_: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.nda
     return paths, np.array(order), shared, len(value)
 
 
-def tree_join(sets_: list[np.ndarray], rule: Sets, probes: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links between the sets (of the probes with all others) that join what no link before has joined."""
+def tree_join(sets_: list[np.ndarray], rule: Sets, probes: list[int] | None = None, sides: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links between the sets (of the probes with all others; of different sides only) that join what no link before has joined."""
     paths, order, shared, width = _tree(sets_)
     n, most = len(paths), max(len(p) for p in paths)
     root = list(range(n))
@@ -201,6 +203,7 @@ def tree_join(sets_: list[np.ndarray], rule: Sets, probes: list[int] | None = No
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     sizes = np.array([len(p) for p in paths])
+    side = np.arange(n) if sides is None else np.array(sides)[order]
     links, inside = [], np.zeros(width, np.int64)
     for probe in range(n) if probes is None else place[probes]:
         probe = int(probe)
@@ -216,7 +219,7 @@ def tree_join(sets_: list[np.ndarray], rule: Sets, probes: list[int] | None = No
             cut = None
             s = paths[j]
             need = int(rule.overlap(sizes[j], np.int64(len(q))))
-            if j == probe or min(len(s), len(q)) < need or find(j) == find(probe):
+            if j == probe or side[j] == side[probe] or min(len(s), len(q)) < need or find(j) == find(probe):
                 continue  # depth stays: what follows shares with this path what it shares
             own = path[depth] + np.cumsum(inside[s[depth:]])
             path = np.concatenate((path[: depth + 1], own))
@@ -390,28 +393,47 @@ def _prefixes(docs: DataFrame, rule: Sets, hot: np.ndarray, text_col: str, total
     return _rows(docs, text_col).mapInArrow(run, "part long, blob binary").repartition("part").mapInArrow(invert, "shingle long, fp long, n long")
 
 
-def _rest(inverted: DataFrame, known: DataFrame, rule: Sets) -> DataFrame:
-    """(a, b) of pairs across components that may still link."""
+def _rest(inverted: DataFrame, known: DataFrame, rule: Sets) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of pairs across components that may still link; (a, b) that chain the sets of a crowded shingle."""
     marked = inverted.join(known, "fp", "left").select("shingle", "fp", "n", F.coalesce("root", "fp").alias("root"))
     open_ = marked.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("shingle")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _runs(batches, 0):
             fp, n, root = (np.array(x, np.int64) for x in list(zip(*rows))[1:])
-            # sorted by n: partners of each are the following ones up to the length bound
-            stop = np.searchsorted(n, n * rule.den // rule.num, "right")
-            for lo in range(0, len(n), 256):
-                many = np.maximum(stop[lo : lo + 256] - np.arange(lo, min(lo + 256, len(n))) - 1, 0)
-                i = np.repeat(np.arange(lo, lo + len(many)), many)
+            if len(n) > rule.crowd:
+                i, j, need = np.arange(len(n) - 1), np.arange(1, len(n)), np.zeros(len(n) - 1, np.int64)
+            else:
+                # sorted by n: partners of each are the following ones up to the length bound
+                many = np.maximum(np.searchsorted(n, n * rule.den // rule.num, "right") - np.arange(len(n)) - 1, 0)
+                i = np.repeat(np.arange(len(n)), many)
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
                 some = root[i] != root[j]
                 i, j = i[some], j[some]
-                if len(i):
-                    a, b = np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.minimum(rule.share, rule.overlap(n[i], n[j])))], names=["a", "b", "need"])
+                need = np.minimum(rule.share, rule.overlap(n[i], n[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[i], fp[j])), pa.array(np.maximum(fp[i], fp[j])), pa.array(need)], names=["a", "b", "need"])
 
-    pairs = marked.join(open_, "shingle", "left_semi").repartition("shingle").sortWithinPartitions("shingle", "n", "fp").mapInArrow(run, "a long, b long, need long")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need")).where("c >= need").select("a", "b")
+    raw = _shared.saved(marked.join(open_, "shingle", "left_semi").repartition("shingle").sortWithinPartitions("shingle", "n", "fp").mapInArrow(run, "a long, b long, need long").groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("c")), "pairs")
+    return raw.where("need > 0 AND c >= need").select("a", "b"), raw.where("need = 0").select("a", "b")
+
+
+def _decide_blocks(chains: DataFrame, docs: DataFrame, rule: Sets, profiles: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The links within chained blocks of sets: parts of bounded size, two by two."""
+    block = components(chains)
+    block = _shared.saved(block.union(block.select(F.col("root").alias("fp"), "root")).distinct(), "blocks")
+    parts = block.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
+    placed = block.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    sent = placed.withColumn("other", others).select("fp", "part", F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other")).alias("g"), (F.col("part") == F.col("other")).alias("own"))
+    found = set_table(docs, block, rule, profiles, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _runs(batches, 0):
+            if len(rows) > 1:
+                links = tree_join([np.frombuffer(r[4], np.uint64) for r in rows], rule, None, None if rows[0][2] else [r[3] for r in rows])
+                yield pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i, _ in links], pa.int64()), pa.array([rows[j][1] for _, j in links], pa.int64())], names=["a", "b"])
+
+    return sent.join(found, "fp").select("g", "fp", "own", "part", "s").repartition("g").sortWithinPartitions("g", "fp").mapInArrow(run, "a long, b long")
 
 
 def _decide(pairs: DataFrame, docs: DataFrame, rule: Sets, profiles: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -444,10 +466,11 @@ def join(docs: DataFrame, rule: Sets | None = None, id_col: str = "doc_id", text
     known = components(near)
     hot = common_shingles(docs, rule, text_col, total)
     inverted = _shared.saved(_prefixes(docs, rule, hot, text_col, total), "inverted")
-    pairs = _shared.saved(_rest(inverted, known, rule), "pairs")
+    pairs, chains = _rest(inverted, known, rule)
     _shared.drop_saved(inverted)
     more = _decide(pairs, docs, rule, profiles, id_col, text_col)
-    roots = components(near.union(more))
+    crowded = _decide_blocks(chains, docs, rule, profiles, id_col, text_col)
+    roots = components(near.union(more).union(crowded))
     named = profiles.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     classes = named.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("least").alias("component"))

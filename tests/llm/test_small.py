@@ -94,8 +94,9 @@ def test_ngrams(spark, docs, none):
     family = [(100 + i, " ".join(words[: 200 - i] + [f"n{i}_{j}" for j in range(i)])) for i in range(0, 60, 3)]
     copies = [(200 + i, " ".join(words)) for i in range(5)]
     more = spark.createDataFrame(family + copies, "doc_id long, text string")
-    got = ngram_join.join(docs.select("doc_id", "text").union(more))
-    assert rows(got, "doc_id n_shingles component_id") == brute.op9(PAIRS + family + copies)
+    for rule in (ngram_join.Sets(), ngram_join.Sets(crowd=2)):  # pairs, and blocks
+        got = ngram_join.join(docs.select("doc_id", "text").union(more), rule)
+        assert rows(got, "doc_id n_shingles component_id") == brute.op9(PAIRS + family + copies)
     assert ngram_join.join(none).count() == 0
 
 
