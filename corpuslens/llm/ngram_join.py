@@ -249,16 +249,12 @@ def _runs(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[int, li
         yield now, rows
 
 
-def set_table(docs: DataFrame, wanted: DataFrame, rule: Sets, profiles: DataFrame, id_col: str, text_col: str, limit: int = 2_000_000) -> DataFrame:
-    """(fp, s) of the wanted fingerprints: by a list that every task holds while it is small, else by a join of documents."""
-    wanted = _shared.saved(wanted.select("fp").distinct(), "wanted")
-    small = None
-    if wanted.count() <= limit:
-        small = np.sort(wanted.toArrow()["fp"].to_numpy())
-        source = _rows(docs, text_col)
-    else:
-        ids = profiles.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-        source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(ids, "doc_id", "left_semi").select("text")
+def set_table(docs: DataFrame, wanted: DataFrame, rule: Sets, profiles: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(fp, s) of the wanted fingerprints, each made from the document with the smallest id that has it.
+
+    The ids are a written table, so the join sends them to every task only where their files are known to be small."""
+    ids = _shared.saved(profiles.join(wanted.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_wanted")).select("_wanted").distinct(), "wanted")
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
@@ -266,11 +262,6 @@ def set_table(docs: DataFrame, wanted: DataFrame, rule: Sets, profiles: DataFram
             for _, _, values, bounds in rule.of(batch.column(0)):
                 fp = fingerprints(values, bounds)
                 keep = np.diff(bounds) > 0
-                if small is not None and len(small):
-                    where = np.minimum(np.searchsorted(small, fp.view(np.int64)), len(small) - 1)
-                    keep &= small[where] == fp.view(np.int64)
-                elif small is not None:
-                    keep[:] = False
                 keep[keep] = seen.fresh(fp[keep])
                 own = np.flatnonzero(keep)
                 yield pa.RecordBatch.from_arrays([pa.array(fp[own].view(np.int64)), pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in own], pa.binary())], names=["fp", "s"])
@@ -313,7 +304,6 @@ def _near_copies(reps: DataFrame, docs: DataFrame, rule: Sets, profiles: DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _runs(batches, 0):
-            rows = rows[: len(rows)]
             if len(rows) > 1:
                 fps = [r[1] for r in rows]
                 links = tree_join([np.frombuffer(r[2], np.uint64) for r in rows], rule)
