@@ -34,6 +34,10 @@ from . import _shared, _words
 
 CHUNK = 192
 PART = 512
+#: Shingles in a part, tokens between two looks at the bounds, bytes of the table of probes: they bound memory only.
+MOST = 500_000
+STEP = 256
+TABLE = 32_000_000
 SEEDS = [np.uint64(x) for x in np.random.default_rng(11).integers(1, 2**63, 9)]
 
 
@@ -170,71 +174,109 @@ def common_shingles(docs: DataFrame, sets: Sets, text_col: str, total: int, limi
     return value[np.lexsort((value, n))]
 
 
-def _tree(sets_: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, int]:
-    """Paths in depth-first order, which set each is, and how much of each the one before shares."""
+def _tree(sets_: list[np.ndarray], targets: list[int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, int]:
+    """Ranks of every set, the targets in depth-first order, how much of each path the one before shares, how many ranks repeat."""
     value, inverse, n = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
     rank = np.empty(len(value), np.int64)
     rank[np.lexsort((value, -n))] = np.arange(len(value))
     ranks = rank[inverse]
     stop = np.cumsum([len(s) for s in sets_])
     paths = [np.sort(ranks[b - len(s) : b]) for s, b in zip(sets_, stop)]
-    order = sorted(range(len(paths)), key=lambda i: paths[i].astype(">i4").tobytes())
-    paths = [paths[i] for i in order]
-    shared = np.zeros(len(paths), np.int64)
-    for i in range(1, len(paths)):
-        m = min(len(paths[i - 1]), len(paths[i]))
-        differ = np.flatnonzero(paths[i - 1][:m] != paths[i][:m])
-        shared[i] = differ[0] if len(differ) else m
-    return paths, np.array(order), shared, len(value)
+    order = np.array(sorted(targets, key=lambda i: paths[i].astype(">i4").tobytes()))
+    shared = np.zeros(len(order), np.int64)
+    for k in range(1, len(order)):
+        x, y = paths[order[k - 1]], paths[order[k]]
+        m = min(len(x), len(y))
+        differ = np.flatnonzero(x[:m] != y[:m])
+        shared[k] = differ[0] if len(differ) else m
+    return paths, order, shared, int(np.count_nonzero(n > 1))
+
+
+def _stops(shared: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+    """Of each path, the depths below what it shares where later paths leave it, and its end."""
+    out: list[list[int]] = [[]] * len(sizes)
+    least: list[int] = []  # depths at which later paths leave the current one, shallow first
+    for j in range(len(sizes) - 1, -1, -1):
+        if j + 1 < len(sizes):
+            while least and least[-1] >= shared[j + 1]:
+                least.pop()
+            least.append(int(shared[j + 1]))
+        own = [d for d in least if shared[j] < d < sizes[j]]
+        out[j] = [*own, int(sizes[j])] if sizes[j] > shared[j] else []
+    return out
 
 
 def tree_join(sets_: list[np.ndarray], rule: Sets, probes: list[int] | None = None, sides: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links between the sets (of the probes with all others; of different sides only) that join what no link before has joined."""
-    paths, order, shared, width = _tree(sets_)
-    n, most = len(paths), max(len(p) for p in paths)
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    sizes = np.array([len(p) for p in paths])
-    side = np.arange(n) if sides is None else np.array(sides)[order]
-    links, inside = [], np.zeros(width, np.int64)
-    for probe in range(n) if probes is None else place[probes]:
-        probe = int(probe)
-        q = paths[probe]
-        inside[q] = 1
-        spare = most - int(rule.overlap(np.int64(most), np.int64(len(q))))  # misses that the largest set could have
-        path = np.zeros(1, np.int64)  # overlap after each step of the current path
-        depth, cut = 0, None
-        for j in range(probe if probes is None else n):
-            depth = min(depth, int(shared[j]))
-            if cut is not None and depth >= cut:
-                continue  # in a subtree that was left
-            cut = None
-            s = paths[j]
-            need = int(rule.overlap(sizes[j], np.int64(len(q))))
-            if j == probe or side[j] == side[probe] or min(len(s), len(q)) < need or find(j) == find(probe):
-                continue  # depth stays: what follows shares with this path what it shares
-            own = path[depth] + np.cumsum(inside[s[depth:]])
-            path = np.concatenate((path[: depth + 1], own))
-            depth = len(s)
-            if path[-1] >= need:
-                links.append((int(order[probe]), int(order[j])))
-                root[find(j)] = find(probe)
-                continue
-            missing = np.arange(len(path)) - path
-            if missing[-1] > spare:
-                cut = int(np.argmax(missing > spare))
-        inside[q] = 0
+    """Links between the sets (of the probes with all others; of different sides, of which there are two) that join what no link before has joined.
+
+    All probes go through the tree at once: a node holds those still in its subtree and the overlap of each with its path.
+    """
+    if sides is not None:
+        probes = [i for i, x in enumerate(sides) if x == sides[0]]
+    asked = set(probes) if probes is not None else set()
+    paths, order, shared, inner = _tree(sets_, [i for i in range(len(sets_)) if i not in asked])
+    ask = order if probes is None else np.array(probes)
+    size = np.array([len(p) for p in paths])
+    if not len(order) or not len(ask):
+        return []
+    stops = _stops(shared, size[order])
+    # misses that the largest set which can link with a probe may have
+    largest = np.minimum(size[order].max(), rule.den * size[ask] // rule.num)
+    spare = largest - rule.overlap(largest, size[ask])
+    label, links = np.arange(len(sets_)), []
+    columns = max(1, min(len(ask), TABLE // max(1, inner)))
+    for lo in range(0, len(ask), columns):
+        some = ask[lo : lo + columns]
+        has = np.zeros((inner, len(some)), np.uint8)
+        for c, i in enumerate(some):
+            has[paths[i][: np.searchsorted(paths[i], inner)], c] = 1
+        nodes = [(0, np.arange(len(some)), np.zeros(len(some), np.int64))]
+        for j, i in enumerate(order):
+            while nodes[-1][0] > shared[j]:
+                nodes.pop()
+            depth, live, overlap = nodes[-1]
+            if probes is None:  # each pair once
+                later = live + lo > j
+                live, overlap = live[later], overlap[later]
+            path = paths[i]
+            for stop in stops[j]:
+                while depth < stop and len(live):
+                    step = path[depth : min(stop, depth + STEP)]
+                    depth += len(step)
+                    step = step[: np.searchsorted(step, inner)]
+                    if len(step):
+                        overlap = overlap + (has[step] if len(live) == len(some) else has[np.ix_(step, live)]).sum(0, dtype=np.int64)
+                    stay = depth - overlap <= spare[lo + live]
+                    if not stay.all():
+                        live, overlap = live[stay], overlap[stay]
+                nodes.append((depth, live, overlap))
+                if not len(live):
+                    break
+            if len(live):
+                for q in some[live[overlap >= rule.overlap(size[i], size[some[live]])]]:
+                    if label[q] != label[i]:
+                        links.append((int(q), int(i)))
+                        label[label == label[q]] = label[i]
     return links
 
 
+def _stars(fps: list[int], links: list[tuple[int, int]]) -> pa.RecordBatch:
+    """(a, b) from the least of each linked class to its others."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in links:
+        x, y = sorted((find(fps[i]), find(fps[j])))
+        root[y] = x
+    others = [x for x in root if find(x) != x]
+    return pa.RecordBatch.from_arrays([pa.array([find(x) for x in others], pa.int64()), pa.array(others, pa.int64())], names=["a", "b"])
+
+
 def _runs(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[int, list[tuple]]]:
     """Rows with equal values of a column, from a stream sorted by it."""
     now, rows = None, []
@@ -306,8 +348,7 @@ def _near_copies(reps: DataFrame, docs: DataFrame, rule: Sets, profiles: DataFra
         for _, rows in _runs(batches, 0):
             if len(rows) > 1:
                 fps = [r[1] for r in rows]
-                links = tree_join([np.frombuffer(r[2], np.uint64) for r in rows], rule)
-                yield pa.RecordBatch.from_arrays([pa.array([fps[i] for i, _ in links], pa.int64()), pa.array([fps[j] for _, j in links], pa.int64())], names=["a", "b"])
+                yield _stars(fps, tree_join([np.frombuffer(r[2], np.uint64) for r in rows], rule))
 
     return placed.join(found, "fp").select(F.xxhash64("head", "chunk").alias("g"), "fp", "s").repartition("g").sortWithinPartitions("g", "fp").mapInArrow(run, "a long, b long")
 
@@ -420,8 +461,7 @@ def _decide_blocks(chains: DataFrame, docs: DataFrame, rule: Sets, profiles: Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _runs(batches, 0):
             if len(rows) > 1:
-                links = tree_join([np.frombuffer(r[4], np.uint64) for r in rows], rule, None, None if rows[0][2] else [r[3] for r in rows])
-                yield pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i, _ in links], pa.int64()), pa.array([rows[j][1] for _, j in links], pa.int64())], names=["a", "b"])
+                yield _stars([r[1] for r in rows], tree_join([np.frombuffer(r[4], np.uint64) for r in rows], rule, None, None if rows[0][2] else [r[3] for r in rows]))
 
     return sent.join(found, "fp").select("g", "fp", "own", "part", "s").repartition("g").sortWithinPartitions("g", "fp").mapInArrow(run, "a long, b long")
 
@@ -440,8 +480,7 @@ def _decide(pairs: DataFrame, docs: DataFrame, rule: Sets, profiles: DataFrame,
             partners = [r for r in rows if r[2] != a]
             for lo in range(0, len(partners), CHUNK):
                 some = probe + partners[lo : lo + CHUNK]
-                links = tree_join([np.frombuffer(r[3], np.uint64) for r in some], rule, [0])
-                yield pa.RecordBatch.from_arrays([pa.array([some[i][2] for i, _ in links], pa.int64()), pa.array([some[j][2] for _, j in links], pa.int64())], names=["a", "b"])
+                yield _stars([r[2] for r in some], tree_join([np.frombuffer(r[3], np.uint64) for r in some], rule, [0]))
 
     return rows.union(heads).join(found, "fp").select("g", "a", "fp", "s").repartition("g").sortWithinPartitions("g", "fp").mapInArrow(run, "a long, b long")
 
