@@ -10,7 +10,8 @@
 4. Prefixes are inverted; shingles whose documents are all in one component are done. Of other pairs across components
    within the length bound, those that share fewer prefix shingles than linking needs are out, and the rest is
    decided in trees, too. A shingle with more than ``crowd`` documents left names no pairs: its documents become one
-   block, whose parts go through trees two by two, so a set is sent once for each part instead of each partner. Components of all links come from alternating stars over tables in the shared folder.
+   block, whose parts go through trees two by two, so a set is sent once for each part instead of each partner; parts that
+   are all of one component don't meet. Components of all links come from alternating stars over tables in the shared folder.
 
 A tree holds sets as paths of shingles, most frequent first, in depth-first order. A probe goes through it with the overlap
 of its path so far, computed once for all sets that share the path, and leaves a subtree as soon as more shingles are
@@ -425,7 +426,7 @@ def _prefixes(docs: DataFrame, rule: Sets, hot: np.ndarray, text_col: str, total
 
 
 def _rest(inverted: DataFrame, known: DataFrame, rule: Sets) -> tuple[DataFrame, DataFrame]:
-    """(a, b) of pairs across components that may still link; (a, b) that chain the sets of a crowded shingle."""
+    """(a, b) of pairs across components that may still link; (a, b) from the least set of a crowded shingle to its others."""
     marked = inverted.join(known, "fp", "left").select("shingle", "fp", "n", F.coalesce("root", "fp").alias("root"))
     open_ = marked.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("shingle")
 
@@ -433,7 +434,8 @@ def _rest(inverted: DataFrame, known: DataFrame, rule: Sets) -> tuple[DataFrame,
         for _, rows in _runs(batches, 0):
             fp, n, root = (np.array(x, np.int64) for x in list(zip(*rows))[1:])
             if len(n) > rule.crowd:
-                i, j, need = np.arange(len(n) - 1), np.arange(1, len(n)), np.zeros(len(n) - 1, np.int64)
+                j = np.flatnonzero(np.arange(len(n)) != (least := int(fp.argmin())))
+                i, need = np.full(len(j), least), np.zeros(len(j), np.int64)
             else:
                 # sorted by n: partners of each are the following ones up to the length bound
                 many = np.maximum(np.searchsorted(n, n * rule.den // rule.num, "right") - np.arange(len(n)) - 1, 0)
@@ -448,15 +450,24 @@ def _rest(inverted: DataFrame, known: DataFrame, rule: Sets) -> tuple[DataFrame,
     return raw.where("need > 0 AND c >= need").select("a", "b"), raw.where("need = 0").select("a", "b")
 
 
-def _decide_blocks(chains: DataFrame, docs: DataFrame, rule: Sets, profiles: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The links within chained blocks of sets: parts of bounded size, two by two."""
-    block = components(chains)
-    block = _shared.saved(block.union(block.select(F.col("root").alias("fp"), "root")).distinct(), "blocks")
-    parts = block.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
-    placed = block.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    sent = placed.withColumn("other", others).select("fp", "part", F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other")).alias("g"), (F.col("part") == F.col("other")).alias("own"))
-    found = set_table(docs, block, rule, profiles, id_col, text_col)
+def _decide_blocks(stars: DataFrame, docs: DataFrame, known: DataFrame, rule: Sets, profiles: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The links across components within blocks of sets that stars hold together: parts of bounded size, two by two.
+
+    A component that fills parts has its own, and these don't meet each other; the others share parts."""
+    block = components(stars)
+    block = _shared.saved(block.union(block.select(F.col("root").alias("fp"), "root")).distinct().withColumnRenamed("root", "block"), "blocks")
+    found = _shared.saved(set_table(docs, block, rule, profiles, id_col, text_col), "sets")
+    sized = found.select("fp", (F.length("s") / 8).alias("n")).join(block, "fp").join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / PART, F.sum("n") / MOST))
+    # a component of less than half a part goes with others
+    whole = sized.groupBy("block", "root").agg(parts.alias("parts"), F.greatest(F.count(F.lit(1)) / PART, F.sum("n") / MOST).alias("fill")).where("fill >= 0.5").drop("fill")
+    mixed = sized.join(whole, ["block", "root"], "left_anti").groupBy("block").agg(parts.alias("others"))
+    placed = sized.join(whole, ["block", "root"], "left").join(mixed, "block", "left").select("fp", "block", F.when(F.col("parts").isNotNull(), F.col("root")).alias("of"), F.pmod(F.xxhash64("fp"), F.coalesce("parts", "others")).alias("nth"))
+    placed = _shared.saved(placed.withColumn("part", F.xxhash64("of", "nth")), "parts")
+    dealt = placed.groupBy("block", "part").agg(F.first("of").alias("of"))
+    left, right = dealt.alias("x"), dealt.alias("y")
+    meet = left.join(right, F.expr("x.block = y.block AND (x.of IS NULL OR y.of IS NULL OR x.of <> y.of)")).select(F.col("x.block").alias("block"), F.col("x.part").alias("part"), F.col("y.part").alias("other"))
+    sent = placed.join(meet, ["block", "part"]).select("fp", "part", F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other")).alias("g"), (F.col("part") == F.col("other")).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _runs(batches, 0):
@@ -495,10 +506,10 @@ def join(docs: DataFrame, rule: Sets | None = None, id_col: str = "doc_id", text
     known = components(near)
     hot = common_shingles(docs, rule, text_col, total)
     inverted = _shared.saved(_prefixes(docs, rule, hot, text_col, total), "inverted")
-    pairs, chains = _rest(inverted, known, rule)
+    pairs, stars = _rest(inverted, known, rule)
     _shared.drop_saved(inverted)
     more = _decide(pairs, docs, rule, profiles, id_col, text_col)
-    crowded = _decide_blocks(chains, docs, rule, profiles, id_col, text_col)
+    crowded = _decide_blocks(stars, docs, known, rule, profiles, id_col, text_col)
     roots = components(near.union(more).union(crowded))
     named = profiles.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     classes = named.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
