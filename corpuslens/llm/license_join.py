@@ -1,11 +1,14 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
+Blocks are the lines and, for each template, windows of consecutive words, as many as the template has by ``containment``,
+which go across line ends, so wrapped text is found; a window starts at each word that is one of the template's.
 Tokens are ordered by how many words of the whole corpus they are (one counting pass over all texts, for
 the templates' tokens; all others are rarer than any and can't match). A template whose share ``containment``
 of distinct tokens must stand in a block has to share with it one of its ``n - need + 1`` rarest tokens (prefix
-filter). Of the blocks (lines) that hold such a token, those with fewer distinct tokens than needed go (length
-filter), then those where too few template tokens are left after the first shared one (positional filter);
-the rest is counted exactly. Templates that are phrases must stand consecutively: their rarest token fixes the
+filter). Of the blocks that hold such a token, those with fewer of the template's words than needed go (length
+filter), then those that lack the words by which the template's license differs from others; the rest is counted
+exactly, rarest token first, and a block is left as soon as the remaining tokens can't make up for those that are missing
+(positional filter). Templates that are phrases must stand consecutively: their rarest token fixes the
 only place to look at.
 
 Defined cases: null and empty texts have no words, no labels and score 0; repeated rows are scored one by one;
@@ -27,19 +30,22 @@ from . import _words
 
 #: phrase -> label
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Statements that mark a license, as they are commonly written.
+#: Statements that mark a license, as they are commonly written, and what a block must hold of them as it stands (one of the
+#: phrases between | each), as other licenses are worded alike.
 TEMPLATES = [
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", "Licensed under the Apache License, Version 2.0."),
-    ("apache-2", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("bsd-3", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("mit", "Released under the MIT License.", ["mit"]),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ["associated"]),
+    ("apache-2", "Licensed under the Apache License, Version 2.0.", ["apache", "2|v2"]),
+    ("apache-2", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", ["apache", "license 2"]),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0.", ["cc by nc"]),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ["noncommercial|non commercial"]),
+    ("gpl-3", "This work is licensed under the GNU General Public License, version 3.", ["gnu general public license", "3|v3"]),
+    ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", ["gnu general public license"]),
+    ("bsd-3", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", []),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["sharealike|share alike"]),
 ]
+#: Templates that name no such words and have fewer distinct tokens than this need all of them.
+SHORT = 10
 MAX_TEMPLATE_BYTES = 16 << 20
 NAMES = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
@@ -53,13 +59,17 @@ def _hashes(text: str) -> np.ndarray:
 class Templates:
     """Phrases and templates with the tokens to look up first."""
 
-    def __init__(self, docs: DataFrame, text_col: str = "text", phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, containment: float = 0.8):
+    def __init__(self, docs: DataFrame, text_col: str = "text", phrases: dict[str, str] | None = None, templates: list[tuple] | None = None, containment: float = 0.8):
         phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
-        if sum(len(x) for x in [*phrases, *(t for _, t in templates)]) > MAX_TEMPLATE_BYTES:
+        if sum(len(x) for x in [*phrases, *(t[1] for t in templates)]) > MAX_TEMPLATE_BYTES:
             raise ValueError("more templates than a task may hold: scan with parts of them and join the results")
         self.phrases = [(_hashes(p), label) for p, label in phrases.items() if len(_hashes(p))]
-        self.sets = [(np.unique(_hashes(t)), label) for label, t in templates if len(_hashes(t))]
-        self.need = [math.ceil(containment * len(s)) for s, _ in self.sets]
+        own = [(label, _hashes(text), *(must or [[]])) for label, text, *must in templates if len(_hashes(text))]
+        self.sets = [(np.unique(h), label) for label, h, _ in own]
+        self.width = [math.ceil(len(h) / containment) for _, h, _ in own]
+        #: for each template the groups of phrases of which a block must hold one each
+        self.must = [[[_hashes(p) for p in group.split("|")] for group in must] for _, _, must in own]
+        self.need = [len(s) if not must and len(s) < SHORT else math.ceil(containment * len(s)) for (s, _), must in zip(self.sets, self.must)]
         self.tokens = np.unique(np.concatenate([x for x, _ in [*self.phrases, *self.sets]] or [np.zeros(0, np.uint64)]))
         tokens = self.tokens
 
@@ -83,14 +93,23 @@ class Templates:
         ranks = lambda h: rank[np.searchsorted(tokens, h)]
         self.phrase_key = [int(np.argmin(ranks(p))) for p, _ in self.phrases]
         self.set_ranks = [np.sort(ranks(s)) for s, _ in self.sets]
-        self.prefix: dict[int, list[int]] = {}
-        for i, (own, need) in enumerate(zip(self.set_ranks, self.need)):
-            for r in own[: len(own) - need + 1]:
-                self.prefix.setdefault(int(r), []).append(i)
+
+
+def _starts(hashed: np.ndarray, text_of: np.ndarray, phrase: np.ndarray, key: int = 0) -> np.ndarray:
+    """Where all words of a phrase stand in one text; word key is looked up first."""
+    first = np.flatnonzero(hashed == phrase[key]) - key
+    first = first[(first >= 0) & (first + len(phrase) <= len(hashed))]
+    for j, h in enumerate(phrase):
+        first = first[hashed[first + j] == h]
+    return first[text_of[first] == text_of[first + len(phrase) - 1]]
+
+
+def _next(places: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The first of sorted places from each position on, or one beyond any."""
+    return np.append(places, np.iinfo(np.int64).max >> 1)[np.searchsorted(places, at)]
 
 
 def _scan(t: Templates, column: pa.Array) -> Iterator[tuple]:
-    prefix = np.array(sorted(t.prefix), np.int64)
     for _, _, data, at in _words.pieces(column):
         hashed, start, _, bounds = _words.words(data, at, _words.ALNUM)
         n = len(bounds) - 1
@@ -99,37 +118,41 @@ def _scan(t: Templates, column: pa.Array) -> Iterator[tuple]:
         more: list[dict[str, float]] = [{} for _ in range(n)]
         text_of = np.repeat(np.arange(n), np.diff(bounds))
         for (phrase, label), key in zip(t.phrases, t.phrase_key):
-            first = np.flatnonzero(hashed == phrase[key]) - key
-            first = first[(first >= 0) & (first + len(phrase) <= len(hashed))]
-            for j, h in enumerate(phrase):
-                first = first[hashed[first + j] == h]
-            first = first[text_of[first] == text_of[first + len(phrase) - 1]]
+            first = _starts(hashed, text_of, phrase, key)
             for text, s in zip(text_of[first], first):
                 places[text].append(int(s - bounds[text]))
                 base[text].add(label)
-        if len(t.tokens) and len(hashed) and len(prefix):
+        if len(t.tokens) and len(hashed):
             where = np.minimum(np.searchsorted(t.tokens, hashed), len(t.tokens) - 1)
-            rank = np.where(t.tokens[where] == hashed, t.rank[where], -1)
+            known = np.flatnonzero(t.tokens[where] == hashed)
+            rank = t.rank[where[known]]
+            order = np.argsort(rank, kind="stable")
+            spots = np.split(known[order], np.searchsorted(rank[order], np.arange(1, len(t.tokens))))  # of each rank, in order
             lines = np.flatnonzero(data == 10)
             line_of = np.searchsorted(lines, start) + text_of  # grows at every new line and every new text
             block = np.flatnonzero(np.diff(line_of, prepend=-1))
             block_end = np.append(block[1:], len(hashed))
-            touched = np.unique(np.searchsorted(block, np.flatnonzero(np.isin(rank, prefix)), "right") - 1)
-            for k in touched:
-                a, b = block[k], block_end[k]
-                own = np.unique(rank[a:b])
-                own = own[own >= 0]
-                text = int(text_of[a])
-                for i in {i for r in own for i in t.prefix.get(int(r), ())}:
-                    want, need = t.set_ranks[i], t.need[i]
-                    if len(own) < need:
-                        continue
-                    common = own[np.isin(own, want)]
-                    x, y = np.searchsorted(own, common[0]), np.searchsorted(want, common[0])
-                    if min(len(own) - x, len(want) - y) < need or len(common) < need:
-                        continue
-                    label = t.sets[i][1]
-                    more[text][label] = max(more[text].get(label, 0.0), len(common) / len(want))
+            for (_, label), want, need, width, must in zip(t.sets, t.set_ranks, t.need, t.width, t.must):
+                rare = np.sort(np.concatenate([spots[r] for r in want[: len(want) - need + 1]]))
+                if not len(rare):
+                    continue
+                hit = np.sort(np.concatenate([spots[r] for r in want]))
+                first = np.concatenate((hit, block))
+                stop = np.concatenate((np.minimum(hit + width, bounds[text_of[hit] + 1]), block_end))
+                keep = (_next(rare, first) < stop) & (np.searchsorted(hit, stop) - np.searchsorted(hit, first) >= need)
+                first, stop = first[keep], stop[keep]
+                for group in must:
+                    keep = np.zeros(len(first), bool)
+                    for phrase in group:
+                        keep |= _next(_starts(hashed, text_of, phrase), first) + len(phrase) <= stop
+                    first, stop = first[keep], stop[keep]
+                common = np.zeros(len(first), np.int64)
+                for left, r in zip(range(len(want) - 1, -1, -1), want):
+                    common += _next(spots[r], first) < stop
+                    keep = common + left >= need
+                    first, stop, common = first[keep], stop[keep], common[keep]
+                for text, c in zip(text_of[first].tolist(), common.tolist()):
+                    more[text][label] = max(more[text].get(label, 0.0), c / len(want))
         for i in range(n):
             n_base = len(places[i])
             score = 1.0 if n_base else max(more[i].values(), default=0.0)

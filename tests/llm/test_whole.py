@@ -1,10 +1,13 @@
 """Cases where a part of the job used to be left out."""
 
+import math
+import random
+
 import brute
 import pytest
 
 import corpus_pipeline
-from corpuslens.llm import _shared
+from corpuslens.llm import _shared, license_join
 
 STAGE = dict(corpus_pipeline.STAGES)
 
@@ -28,3 +31,62 @@ def test_near_duplicates_over_the_small_tables(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     pairs = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     assert {r.doc_id for r in STAGE["near_duplicates"](spark, docs, small).collect()} == {d for d, _, c in brute.op9(pairs, 5, 80, 100) if d == c}
+
+
+def licenses(text, containment=0.8):
+    """labels, score by every line and every window of the text."""
+    def holds(block, phrase):
+        p = brute.words(phrase)
+        return any(block[i : i + len(p)] == p for i in range(len(block) - len(p) + 1))
+
+    w, best = brute.words(text), {}
+    lines = [brute.words(x) for x in (text or "").split("\n")]
+    for label, template, must in license_join.TEMPLATES:
+        t = brute.words(template)
+        size, want = math.ceil(len(t) / containment), set(t)
+        need = math.ceil(containment * len(want)) if must or len(want) >= license_join.SHORT else len(want)
+        for block in lines + [w[i : i + size] for i in range(len(w))]:
+            n = len(want & set(block))
+            if n >= need and all(any(holds(block, p) for p in group.split("|")) for group in must):
+                best[label] = max(best.get(label, 0.0), n / len(want))
+    base = {label for phrase, label in license_join.PHRASES.items() if holds(w, phrase)}
+    return ",".join(sorted(base | set(best))), 1.0 if base else max(best.values(), default=0.0)
+
+
+def wrapped(text, width):
+    import textwrap
+
+    return "\n".join(" * " + x for x in textwrap.wrap(text, width, break_long_words=False))
+
+
+def test_licenses_across_lines_and_only_their_own(spark):
+    texts = [(wrapped("Some words before. " + t + " and words after", width), label) for label, t, _ in license_join.TEMPLATES for width in (20, 40, 72, 80)]
+    texts += [(x, "") for x in (
+        "Released under the BSD License.", "Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "This work is licensed under the GNU General Public License, version 2.",
+        "This work is licensed under the GNU Affero General Public License, version 3.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "Licensed under the Academic License, Version 2.0.", "", None,
+    )]
+    texts += [("Released under the terms of the MIT License.", "mit"), ("This work is licensed under the GNU General Public License v3.", "gpl-3")]
+    rng = random.Random(7)
+    vocabulary = [w for _, t, _ in license_join.TEMPLATES for w in t.split()] + ["BSD", "Lesser", "\n", "\n", "other"]
+    noise = []
+    for _ in range(150):
+        w = rng.choice(license_join.TEMPLATES)[1].split()
+        for _ in range(rng.randrange(6)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        for _ in range(rng.randrange(4)):
+            w.insert(rng.randrange(len(w)), rng.choice(vocabulary))
+        noise.append(" ".join(rng.choices(vocabulary, k=rng.randrange(30)) + w))
+    docs = spark.createDataFrame(list(enumerate([t for t, _ in texts] + noise)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.labels, r.score) for r in license_join.scan(docs, license_join.Templates(docs)).collect()}
+    for i, (text, label) in enumerate(texts):
+        assert got[i][0] == label, text
+    for i, text in enumerate([t for t, _ in texts] + noise):
+        assert got[i] == ((want := licenses(text))[0], pytest.approx(want[1])), text
+
+
+def test_licenses_of_the_small_tables(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    text = dict(map(tuple, docs.collect()))
+    got = {r.doc_id: (r.labels, r.score) for r in license_join.scan(docs, license_join.Templates(docs)).collect()}
+    assert {d: x[0] for d, x in got.items()} == {d: licenses(t)[0] for d, t in text.items()}
+    assert all(got[d][1] == pytest.approx(licenses(t)[1]) for d, t in text.items())
