@@ -9,7 +9,8 @@ one that would have found the share ``target`` of true neighbours within the sam
 Search: a code is cut in substrings; two codes within the radius are, in one of m substrings at least, within its
 part of it (pigeonhole), so every code within the radius is found through the substrings' tables; what is found is
 compared whole, and within the radius scored with the original vectors. Vectors are indexed in blocks; the queries,
-in blocks of bounded size in the shared folder, go through each. Equal vectors are one: of each, the smallest ids as many
+in blocks of bounded size in the shared folder, go through each. Queries that found fewer than k, such as outliers of a
+clustered table, are searched again at twice the radius until they are full or all codes are within it. Equal vectors are one: of each, the smallest ids as many
 as a result can name are kept, and equal queries are searched once.
 
 On data without structure in few directions neighbours are far in Hamming distance, too, the radius is then large and
@@ -139,7 +140,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
     # the smallest k + 1 ids of each vector; the limit applies within each partition before the exchange
     nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     index = _shared.saved(usable.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth"), "vectors")
-    stats = usable.agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("largest")).first()
+    stats = index.agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("largest")).first()
     rows = min(sample, max(1000, (1 << 24) // length["d"]))  # at most 128 MB on the driver
     learnt = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).toArrow()
     x = np.stack([np.asarray(r) for r in learnt["v"].to_pylist()])
@@ -147,46 +148,59 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
 
     asked = usable.where(F.col("vec_id") % every == 0)
     twins = asked.groupBy("v").agg(F.min("vec_id").alias("first"))
-    path = _shared.shared_dir(spark, "queries")
-
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, query_block):
-                part = batch.slice(lo, query_block)
-                q = np.stack([np.asarray(r) for r in part.column(0).to_pylist()])
-                ids = part.column(1).to_numpy()
-                out = io.BytesIO()
-                np.savez(out, q=q, ids=ids, codes=encode(codes, q, True))
-                _shared.put(file := f"{path}/{ids[0]}.npz", out.getvalue())
-                yield pa.RecordBatch.from_arrays([pa.array([file])], names=["file"])
-
-    files = [r["file"] for r in twins.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(store, "file string").collect()]  # one name for each block of queries
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answer(ids: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
-            block = Block(encode(codes, v))
-            for file in files:
-                asked_ = np.load(io.BytesIO(_shared.get(file)))
-                q, names = asked_["q"], asked_["ids"]
-                i, r = block.within(asked_["codes"], codes.radius)
-                score = np.concatenate([(q[i[a : a + 50_000]] * v[r[a : a + 50_000]]).sum(1) for a in range(0, len(i), 50_000)] or [np.zeros(0)])
-                best = _top(i, ids[r], score, k + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(names[i[best]]), pa.array(ids[r[best]]), pa.array(score[best])], names=["first", "vec_id", "score"])
-
-        held: list[tuple] = []
-        for batch in batches:
-            for lo in range(0, batch.num_rows, row_block):
-                part = batch.slice(lo, row_block)
-                held.append((part.column(0).to_numpy(), np.asarray(part.column(1).flatten()).reshape(part.num_rows, -1)))
-                if sum(len(h[0]) for h in held) >= row_block:
-                    yield from answer(*(np.concatenate(x) for x in zip(*held)))
-                    held = []
-        if held:
-            yield from answer(*(np.concatenate(x) for x in zip(*held)))
-
-    near = index.mapInArrow(scan, "first long, vec_id long, score double")
     best = Window.partitionBy("first").orderBy(F.desc("score"), "vec_id")
-    near = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1).drop("rank")
+
+    def within(queries: DataFrame, radius: int) -> DataFrame:
+        """The k + 1 nearest within the radius of each of the queries (v, first)."""
+        path = _shared.shared_dir(spark, "queries")
+
+        def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, query_block):
+                    part = batch.slice(lo, query_block)
+                    q = np.stack([np.asarray(r) for r in part.column(0).to_pylist()])
+                    ids = part.column(1).to_numpy()
+                    out = io.BytesIO()
+                    np.savez(out, q=q, ids=ids, codes=encode(codes, q, True))
+                    _shared.put(file := f"{path}/{ids[0]}.npz", out.getvalue())
+                    yield pa.RecordBatch.from_arrays([pa.array([file])], names=["file"])
+
+        files = [r["file"] for r in queries.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(store, "file string").collect()]  # one name for each block of queries
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def answer(ids: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+                block = Block(encode(codes, v))
+                for file in files:
+                    asked_ = np.load(io.BytesIO(_shared.get(file)))
+                    q, names = asked_["q"], asked_["ids"]
+                    i, r = block.within(asked_["codes"], radius)
+                    score = np.concatenate([(q[i[a : a + 50_000]] * v[r[a : a + 50_000]]).sum(1) for a in range(0, len(i), 50_000)] or [np.zeros(0)])
+                    best = _top(i, ids[r], score, k + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[i[best]]), pa.array(ids[r[best]]), pa.array(score[best])], names=["first", "vec_id", "score"])
+
+            held: list[tuple] = []
+            for batch in batches:
+                for lo in range(0, batch.num_rows, row_block):
+                    part = batch.slice(lo, row_block)
+                    held.append((part.column(0).to_numpy(), np.asarray(part.column(1).flatten()).reshape(part.num_rows, -1)))
+                    if sum(len(h[0]) for h in held) >= row_block:
+                        yield from answer(*(np.concatenate(x) for x in zip(*held)))
+                        held = []
+            if held:
+                yield from answer(*(np.concatenate(x) for x in zip(*held)))
+
+        found = index.mapInArrow(scan, "first long, vec_id long, score double")
+        return _shared.saved(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1).drop("rank"), "near")
+
+    full = min(k + 1, stats["n"])
+    radius, most = codes.radius, codes.rotations.shape[1]
+    near, left = within(twins, radius), twins
+    while radius < most:
+        left = _shared.saved(left.join(near.groupBy("first").count().where(F.col("count") >= full), "first", "left_anti").select("v", "first"), "short")
+        if left.isEmpty():
+            break
+        radius = min(most, max(2 * radius, radius + SUB))
+        near = near.join(left.select("first"), "first", "left_anti").unionByName(within(left, radius))
     names = asked.join(twins, "v").select(F.col("vec_id").alias("query_id"), "first").distinct()
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = names.join(near, "first").where("query_id <> vec_id").withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)

@@ -4,10 +4,11 @@ import math
 import random
 
 import brute
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from corpuslens.llm import _shared, license_join
+from corpuslens.llm import _shared, license_join, mih
 
 STAGE = dict(corpus_pipeline.STAGES)
 
@@ -90,3 +91,25 @@ def test_licenses_of_the_small_tables(spark, small):
     got = {r.doc_id: (r.labels, r.score) for r in license_join.scan(docs, license_join.Templates(docs)).collect()}
     assert {d: x[0] for d, x in got.items()} == {d: licenses(t)[0] for d, t in text.items()}
     assert all(got[d][1] == pytest.approx(licenses(t)[1]) for d, t in text.items())
+
+
+def test_outliers_get_all_their_neighbours(spark):
+    rng = np.random.default_rng(8)
+    groups = [rng.normal(size=16) + 0.01 * rng.normal(size=(n, 16)) for n in [1000] + [60] * 30]
+    v = np.concatenate(groups)[rng.permutation(2800)].astype(np.float32)
+    v[:200:20] = 4 * rng.normal(size=(10, 16))
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<float>")
+    got = {}
+    for r in mih.search(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(range(0, 2800, 20)) and {len(x) for x in got.values()} == {20}
+    want = brute.op10(list(enumerate(v)))
+    assert sum(len(got[q] & {a for a, _ in want[q]}) for q in want) / sum(map(len, want.values())) >= 0.9
+
+
+def test_radius_is_fitted_to_the_vectors_that_are_kept(spark, monkeypatch):
+    rng, seen, learn = np.random.default_rng(9), [], mih.learn
+    monkeypatch.setattr(mih, "learn", lambda x, n_all, *a: seen.append((len(x), n_all)) or learn(x, n_all, *a))
+    v = np.concatenate([rng.normal(size=(200, 8)), np.ones((1500, 8))])
+    mih.search(spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<float>"))
+    assert seen == [(221, 221)]
