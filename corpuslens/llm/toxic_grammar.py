@@ -8,7 +8,8 @@ there are, and a logistic model gives the probability.
 
 Learning reads the texts of a bounded sample of labelled rows (``max_labelled``, those with the smallest hashes of
 doc_id). Terms are words and their first four and five letters, counted by label over the sample;
-a term's weight is its log-odds, and while fitting each row is scored without its own count. Rows whose
+a term's weight is its log-odds, and while fitting each row is scored without its own count. Terms under ``floor`` tell
+nothing; of the others the model holds the ``max_terms`` with the highest log-odds. Rows whose
 crc32(doc_id) mod 5 is 0 are held out and never learned from.
 
 Defined cases: null or empty texts have no clause and get the model's lowest score; without labels of both kinds the general
@@ -228,21 +229,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     pair = np.unique(np.stack([h[h != 0], text[h != 0].astype(np.uint64)]), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
                     keys.append(pair[0])
                     tallies.append(y[lo + pair[1].astype(np.int64)])
-            toxic = np.bincount(y, minlength=2)
             key, at_ = np.unique(np.concatenate([*keys, np.zeros(0, np.uint64)]), return_inverse=True)
             label = np.concatenate([*tallies, np.zeros(0, np.int64)])
             n1 = np.bincount(at_, label, len(key)).astype(np.int64)
             n = np.bincount(at_, minlength=len(key))
-            # the key 0 holds the numbers of documents
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(key, np.uint64(0)).view(np.int64)), pa.array(np.append(n1, toxic[1])), pa.array(np.append(n - n1, toxic[0]))], names=["term", "toxic", "clean"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n1), pa.array(n - n1)], names=["term", "toxic", "clean"])
 
     tallies = sample.mapInArrow(count, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # a term that tells nothing at the sample's rate of toxic rows isn't needed; the rest is bounded by max_terms
-    kept = tallies.where("term = 0 OR (toxic >= 3 AND toxic >= clean)").orderBy(F.desc("toxic"), "term").limit(max_terms + 1).toArrow()
+    of = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
+    n_toxic, n_clean = of.get(1, 0), of.get(0, 0)
+    rate = F.log((F.col("toxic") + PRIOR) / (n_toxic + 2 * PRIOR))
+    odds = lambda clean: rate - F.log((clean + PRIOR) / (n_clean + 2 * PRIOR))
+    # a term under the floor isn't needed, not even while a clean row is scored without its own count; the rest is bounded by max_terms
+    kept = tallies.where("toxic >= 3").where(odds(F.greatest(F.col("clean") - 1, F.lit(0))) >= floor - 1e-9)
+    kept = kept.withColumn("odds", odds(F.col("clean"))).orderBy(F.desc("odds"), F.desc("toxic"), "term").limit(max_terms).toArrow()
     term, toxic, clean = kept["term"].to_numpy().view(np.uint64), kept["toxic"].to_numpy().astype(np.int64), kept["clean"].to_numpy().astype(np.int64)
-    total = term == 0
-    order = np.argsort(term[~total])
-    model = Model(term[~total][order], toxic[~total][order], clean[~total][order], int(toxic[total].sum()), int(clean[total].sum()), (-4.0, 1.0, 0.5, 0.5), floor)
+    order = np.argsort(term)
+    model = Model(term[order], toxic[order], clean[order], n_toxic, n_clean, (-4.0, 1.0, 0.5, 0.5), floor)
     if model.n_toxic < 3 or model.n_clean < 3:
         return model
 

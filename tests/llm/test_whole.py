@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from corpuslens.llm import _shared, license_join, mih
+from corpuslens.llm import _shared, license_join, mih, toxic_grammar
 
 STAGE = dict(corpus_pipeline.STAGES)
 
@@ -113,3 +113,19 @@ def test_radius_is_fitted_to_the_vectors_that_are_kept(spark, monkeypatch):
     v = np.concatenate([rng.normal(size=(200, 8)), np.ones((1500, 8))])
     mih.search(spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<float>"))
     assert seen == [(221, 221)]
+
+
+def test_terms_of_rare_toxic_rows(spark):
+    """2 % toxic; zorp in 40 % of toxic and 1 % of clean rows, much in all toxic and 6 % of clean rows, slur in few toxic and no clean rows."""
+    rows = []
+    for i in range(6000):
+        toxic, j = i % 50 == 0, i // 50
+        words = ["well", "then", "zorp" * (j % 5 < 2 if toxic else i % 100 == 1), "much" * (toxic or i % 50 in (2, 3, 4)), "slur" * (toxic and j % 6 == 0)]
+        rows.append((i, " ".join(w for w in words if w), int(toxic)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs, labels, key = table.drop("toxic"), table.drop("text"), lambda w: toxic_grammar._hash([w])[0]
+    model = toxic_grammar.fit(docs, labels)
+    assert set(model.terms) == {key("zorp"), key("much"), key("slur")} and 45 * model.n_toxic < model.n_clean < 53 * model.n_toxic
+    score = {r.doc_id: r.score for r in toxic_grammar.score(spark.createDataFrame([(1, "well then"), (2, "well zorp then")], "doc_id long, text string"), model).collect()}
+    assert score[2] > 10 * score[1]
+    assert list(toxic_grammar.fit(docs, labels, max_terms=1).terms) == [key("slur")]
