@@ -1,8 +1,8 @@
 """Mixing sources to target weights with Sainte-Lague apportionment, in DataFrame operations only.
 
 The mix is a number of blocks of equal length in words. Sources get whole blocks by the highest quotients
-``target / (2 * seats + 1)``; each source's blocks go to its shards (documents dealt by a hash, so that a hot
-source is many shards) by the same rule with the shards' sizes. Inside a shard the documents stand in a
+``target / (2 * seats + 1)``; each source's blocks go to its shards (documents dealt by a hash, as many shards as its own rows ask for, so that a hot
+source is many) by the same rule with the shards' sizes; what a shard is too small for goes to the source's others. Inside a shard the documents stand in a
 seeded order; a quota takes the shard whole as often as it can and the rest as a run of blocks from a
 seeded place on, so only the documents at a run's ends are cut.
 
@@ -64,8 +64,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     """doc_id, size, source_size, target, taken of each row: the words that the mix takes from it, at most ``most`` times its size."""
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
     rows = _shared.saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
-    shards = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / shard_rows)).alias("shards")
-    rows = rows.crossJoin(F.broadcast(rows.agg(shards))).withColumn("at", key).withColumn("shard", F.pmod("at", F.col("shards"))).drop("shards")
+    shards = rows.groupBy(F.col("source").alias("_source")).agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"))
+    rows = rows.join(F.broadcast(shards), F.col("source").eqNullSafe(F.col("_source"))).withColumn("at", key).withColumn("shard", F.pmod("at", F.col("shards"))).drop("_source", "shards")
     cells = _shared.saved(rows.groupBy("source", "shard").agg(F.sum("size").alias("cell")), "cells")
     sources = targets(cells.groupBy("source").agg(F.sum("cell").alias("size")), weights, share, most)
     step = float(block_words)
@@ -73,7 +73,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     given = sainte_lague(seats, ["seats"], "target", "seats").select("source", "source_size", "target", F.col("quota").alias("blocks"))
     joined = cells.alias("c").join(given.alias("g"), F.expr("c.source <=> g.source")).select("c.source", "shard", "cell", "source_size", "target", "blocks").withColumn("tie", F.col("shard"))
     quota = sainte_lague(joined, ["source", "blocks"], "cell", "blocks").drop("tie", "blocks")
-    words = F.least(F.col("quota") * block_words, F.col("cell") * most)
+    # what a small shard can't take of its blocks goes to its source's shards with room, the widest first
+    quota = quota.withColumn("words", F.least(F.col("quota") * block_words, F.col("cell") * most)).withColumn("room", F.col("cell") * most - F.col("words"))
+    earlier = Window.partitionBy("source").orderBy(F.desc("room"), "shard").rowsBetween(Window.unboundedPreceding, -1)
+    over = F.sum(F.col("quota") * block_words - F.col("words")).over(Window.partitionBy("source")) - F.coalesce(F.sum("room").over(earlier), F.lit(0))
+    quota = quota.withColumn("words", F.col("words") + F.greatest(F.lit(0), F.least(over, F.col("room"))))
+    words = F.col("words")
     quota = quota.withColumn("whole", F.when(F.col("cell") > 0, F.floor(words / F.col("cell"))).otherwise(0).cast("long")).withColumn("rest", words - F.col("whole") * F.col("cell"))
     starts = F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.greatest(F.lit(1), F.floor(F.col("cell") / block_words))) * block_words
     quota = quota.withColumn("from", F.when(F.col("cell") > 0, starts).otherwise(0).cast("long"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from corpuslens.llm import _shared, license_join, mih, toxic_grammar
+from corpuslens.llm import _shared, apportion, license_join, mih, toxic_grammar
 
 STAGE = dict(corpus_pipeline.STAGES)
 
@@ -129,3 +129,14 @@ def test_terms_of_rare_toxic_rows(spark):
     score = {r.doc_id: r.score for r in toxic_grammar.score(spark.createDataFrame([(1, "well then"), (2, "well zorp then")], "doc_id long, text string"), model).collect()}
     assert score[2] > 10 * score[1]
     assert list(toxic_grammar.fit(docs, labels, max_terms=1).terms) == [key("slur")]
+
+
+@pytest.mark.parametrize("shard_rows", [1, 4, 50])
+def test_rare_sources_of_short_documents_reach_their_target(spark, shard_rows):
+    docs = [(i, "big", " ".join(["w"] * (40 + i % 30))) for i in range(400)] + [(1000 + i, "rare", " ".join(["r"] * 10)) for i in range(30)] + [(2000 + i, None, "n" * (i % 2)) for i in range(90)]
+    size, target = brute.op5(docs)
+    source, own = {d: s for d, s, _ in docs}, {}
+    for r in apportion.mix(spark.createDataFrame(docs, "doc_id long, source string, text string"), shard_rows=shard_rows).collect():
+        assert 0 <= r.taken <= 2 * r.size == 2 * size[r.doc_id]
+        own[source[r.doc_id]] = own.get(source[r.doc_id], 0) + r.taken
+    assert all(abs(own[s] - t) <= 48 for s, (_, t) in target.items()), (own, target)
