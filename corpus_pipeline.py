@@ -21,10 +21,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest doc_id; of rows with that id and one text, one."""
+    """Of each class of near copies one row, that with the smallest doc_id (null last); of rows with one id and one text, one."""
     _shared.ready(spark)
-    lost = ngram_join.join(docs, ngram_join.Sets(**NEAR)).where("doc_id <> component_id").select("doc_id")
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    odd = docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1")
+    if odd.isEmpty():  # ids name rows, and are much smaller keys than what follows
+        lost = ngram_join.join(docs, ngram_join.Sets(**NEAR)).where("doc_id <> component_id").select("doc_id")
+        return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    keyed = docs.withColumn("_row", row)
+    found = _shared.saved(ngram_join.join(keyed, ngram_join.Sets(**NEAR), "_row").withColumnRenamed("doc_id", "_row"), "classes")
+    left = keyed.join(found.where(~F.col("_row").eqNullSafe(F.col("component_id"))).select("_row"), "_row", "left_anti")
+    again = _shared.saved(found.groupBy("_row").count().where("count > 1").select("_row"), "repeated")
+    if not again.isEmpty():
+        left = left.join(again, "_row", "left_anti").unionByName(left.join(again, "_row", "left_semi").dropDuplicates(["_row"]))
+    return left.select(*docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +46,9 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, to the nearest whole number (0, 1 or 2)."""
     _shared.ready(spark)
-    times = apportion.mix(docs).where("size > 0").select(F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_times")).where("_times > 0").groupBy("_id").agg(F.max("_times").alias("_times"))
-    repeated = docs.join(times, F.col("doc_id") == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    times = apportion.mix(docs).where("size > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_n"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_times")).where("_times > 0").groupBy("_id", "_n").agg(F.max("_times").alias("_times"))
+    sized = docs.withColumn("_size", apportion.word_count(F.col("text")))
+    repeated = sized.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_n"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return repeated.select(*docs.columns)
 
 

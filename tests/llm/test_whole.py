@@ -140,3 +140,21 @@ def test_rare_sources_of_short_documents_reach_their_target(spark, shard_rows):
         assert 0 <= r.taken <= 2 * r.size == 2 * size[r.doc_id]
         own[source[r.doc_id]] = own.get(source[r.doc_id], 0) + r.taken
     assert all(abs(own[s] - t) <= 48 for s, (_, t) in target.items()), (own, target)
+
+
+def test_near_duplicates_go_by_row(spark):
+    one, two, three, four = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    docs = [(1, one), (1, one), (5, one + " tail"), (5, two), (None, one), (None, two), (None, three), (None, three), (None, four), (7, four), (8, ""), (8, ""), (8, None), (9, "")]
+    left = STAGE["near_duplicates"](spark, spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, source string").repartition(3), "")
+    assert left.columns == ["doc_id", "text", "source"]
+    assert sorted(map(str, left.select("doc_id", "text").collect())) == sorted(str(x) for x in spark.createDataFrame([(1, one), (5, two), (None, three), (7, four), (8, ""), (8, None), (9, "")], "doc_id long, text string").collect())
+
+
+def test_source_mix_takes_rows_without_id(spark):
+    docs = [(i if i % 2 else None, "ab"[i % 3 == 0], " ".join(["w"] * (50 + i))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    times = {}
+    for r in STAGE["source_mix"](spark, df, "").collect():
+        times[r.text] = times.get(r.text, 0) + 1
+    want = {r.size: int(r.taken / r.size + 0.5) for r in apportion.mix(df).collect()}
+    assert {len(t.split()): n for t, n in times.items()} == {n: t for n, t in want.items() if t} and any(d is None and t in times for d, _, t in docs)
