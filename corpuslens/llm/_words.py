@@ -1,8 +1,11 @@
 """Words and shingles of many texts at once, as 64-bit hashes computed over the UTF-8 bytes with numpy.
 
-Two different words or shingles get the same 64-bit hash with a chance of 2**-64 a pair; within one
-text or one benchmark that is beyond reach of any corpus, and it is the only place where these
-functions aren't exact.
+A word's hash adds up a product for each byte, a random value of the byte times a random odd value of its place in the word,
+and mixes the sum with the length. Unlike a polynomial in the place, no pattern of letters makes two words meet by
+design; two different words or shingles get the same hash with a chance of about 2**-64 a pair, which is the only place
+where these functions aren't exact.
+
+Texts are worked on in runs of about a megabyte, a longer one alone; a run takes some fifty bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -15,9 +18,9 @@ import pyarrow as pa
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
-_UNDO = np.uint64(pow(int(_STEP), -1, 2**64))
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Values of the first places of a word; those of later ones are worked out when a word is that long.
+_PLACES = 4096
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -34,14 +37,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        n = max(n, 1 << 21)
-        for i, step in enumerate((_STEP, _UNDO)):
-            steps = np.full(n, step, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers[0], _powers[1]
+def _places(first: int, last: int) -> np.ndarray:
+    """Random odd value of each place of a word."""
+    return mix((np.arange(first, last, dtype=np.uint64) + np.uint64(1)) * _STEP) | np.uint64(1)
+
+
+_PLACE = _places(0, _PLACES)
+
+
+def hash_spans(value: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes from start to end of spans that are in order and don't overlap; value: of each byte of the text, from _BYTE."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    span = np.diff(start, append=len(value))
+    nth = np.arange(start[0], len(value), dtype=np.int32) - np.repeat(start.astype(np.int32), span)
+    place = _PLACE if (longest := int(span.max())) <= _PLACES else np.concatenate((_PLACE, _places(_PLACES, longest)))
+    total = np.zeros(len(nth) + 1, np.uint64)
+    np.cumsum(value[start[0] :] * place[nth], out=total[1:])
+    return mix(total[end - start[0]] - total[start - start[0]] + (end - start).astype(np.uint64) * _STEP)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,11 +95,7 @@ def words(data: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarra
     last = part.copy()
     last[:-1] &= ~part[1:] | edge[1:-1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _power_tables(len(b))
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE[b] * up[: len(b)], out=total[1:])
-    hashed = mix((total[end] - total[start]) * down[start])
-    return hashed, start, end, np.searchsorted(start, at)
+    return hash_spans(_BYTE[b], start, end), start, end, np.searchsorted(start, at)
 
 
 def shingles(hashed: np.ndarray, k: int) -> np.ndarray:

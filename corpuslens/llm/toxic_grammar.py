@@ -116,11 +116,8 @@ def _stems(data: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> np.n
     nth = np.cumsum(lead)[start] - 1 + n
     stop = chars[np.minimum(nth, len(chars) - 1)] if len(chars) else nth
     long = (nth < len(chars)) & (stop < end)
-    up, down = _words._power_tables(len(b))
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_words._BYTE[b] * up[: len(b)], out=total[1:])
-    out = _words.mix((total[np.where(long, stop, start)] - total[start]) * down[start] + np.uint64(n))
-    out[~long] = 0
+    out = np.zeros(len(start), np.uint64)
+    out[long] = _words.mix(_words.hash_spans(_words._BYTE[b], start[long], stop[long]) + np.uint64(n))
     return out
 
 
