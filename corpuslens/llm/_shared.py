@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,3 +80,24 @@ def get(uri: str, offset: int = 0, length: int | None = None) -> bytes:
         return f.read_at(length if length is not None else f.size() - offset, offset)
 
 
+
+
+def lean(run: Callable) -> Callable:
+    """run, a function over record batches, with what it has freed given back to the system at its end."""
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return lean_run
+
+
+def trim() -> None:
+    """Give memory that was freed back to the system: workers live on between tasks, and several share a machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -1,106 +1,178 @@
 """Token ids in compact files: canonical length-limited Huffman codes, independent blocks, bit-offset checkpoints.
 
 Writing: every text becomes token ids and an end id (one pass, kept as a table in the shared folder); ids are
-counted over the whole corpus; package-merge gives code lengths of at most ``limit`` bits and the canonical codes
-follow from the lengths alone, which are all that the model file holds. Each document is coded on its own and
-starts at a whole byte; the coded documents are dealt by ranges of doc_id, sorted, and written in files of blocks.
+counted over the whole corpus; package-merge gives code lengths of at most ``limit`` bits (more where a vocabulary
+needs them, 24 at most) and the canonical codes follow from the lengths alone, which are all that the model file holds. Each document
+is coded on its own and starts at a whole byte; the coded documents are dealt by ranges of doc_id, sorted, and each range is written as
+files of about ``file_tokens`` tokens, in blocks, while it streams by, so a task holds one file's bytes at most.
 
 File: blocks one after the other. Block: magic, counts, then arrays - document ids and null marks, tokens and
 bytes of each document, bit offsets (from the document's first byte) of every ``every``-th token - and the codes.
 Any block can be read alone with the model file; from any checkpoint decoding can begin.
 
-Reading: a block's checkpoints are lanes that are decoded in step, one table lookup a token for all of them.
+Reading: a block's checkpoints are lanes that are decoded in step, one table lookup a token for all of them (a second one
+for codes of more than 16 bits).
+
+Encoding: a byte-level tokenizer without normalizer always cuts a text before a space that a character other than white space follows, so a text is the
+sequence of the pieces between such places. The pieces of some megabytes are dictionary-encoded with Arrow, each different one is encoded
+by the tokenizers library unless the worker remembers it, and its ids are gathered for all places where it stands. Texts that hold one of the tokenizer's added
+tokens, and all texts under other tokenizers, are encoded whole.
 
 Defined cases: null text is empty and has only the end id; null doc_id comes first; rows that repeat a doc_id
-stand beside each other in the order of their codes; an empty table gives no file; other columns are ignored.
+stand beside each other in the order of their tokens' number and codes; doc_id has to be an integer, as files hold it in 64 bits;
+an empty table gives no file; a very long text is a piece of work of its own and one block; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import io
-import re
+import json
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import _shared
+from . import _shared, _words
 
 MAGIC = np.uint32(0x48554631)
-LIMIT, EVERY = 16, 128
-#: A worker remembers the ids of at most twice so many pieces of text.
-CACHED = 500_000
-_known: dict[str, _Pieces] = {}
-#: A space before white space or at the end: such texts are encoded whole.
-_ODD = re.compile(r" (?=\s|\Z)")
-
-
-class _Pieces:
-    """A byte-level tokenizer with the ids of space-led pieces it has met: the newer ones, and those before."""
+LIMIT, MOST, TABLE, EVERY = 16, 24, 16, 128
+#: Bytes of text whose pieces share a dictionary, and pieces that a worker remembers (some 45 MB); they bound memory only.
+RUN, CACHED = 16 << 20, 1_000_000
+_encoders: dict[str, _Encoder] = {}
+#: First bytes of white space that isn't ASCII, and all such characters.
+_WIDE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
+_BLANKS = [c.encode() for c in "\u0085\u00a0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+
+
+def _cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places of the spaces that a character of the same text follows which isn't white space."""
+    spot = np.flatnonzero(data[:-1] == 32) if len(data) else np.zeros(0, np.int64)
+    spot = spot[~_BLANK[data[spot + 1]]]
+    end = np.zeros(len(data) + 1, bool)
+    end[at] = True
+    spot = spot[~end[spot + 1]]
+    if len(odd := np.flatnonzero(_WIDE[data[spot + 1]])):
+        blank = np.zeros(len(odd), bool)
+        for c in _BLANKS:
+            same = spot[odd] + len(c) < len(data)
+            for j, x in enumerate(c):
+                same &= data[np.minimum(spot[odd] + 1 + j, len(data) - 1)] == x
+            blank |= same
+        spot = np.delete(spot, odd[blank])
+    return spot
+
+
+class _Encoder:
+    """A tokenizer; pieces says whether texts may be cut before words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.made = Tokenizer.from_file(path)
-        self.made.encode_special_tokens = True
-        size = self.made.get_vocab_size()
+        told = json.loads(self.made.to_str())
+        before, size = told.get("pre_tokenizer") or {}, self.made.get_vocab_size()
+        self.pieces = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) and not any(told.get(k) for k in ("normalizer", "truncation", "padding")) and not told["model"].get("dropout")
         self.kind = np.uint16 if size <= 1 << 16 else np.uint32
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.added = [x["content"] for x in told.get("added_tokens", [])]
         # in the byte-level alphabet a leading space is this letter; only the first token of a piece has it
-        self.leads = np.zeros(size, bool)
+        self.leads = np.zeros(max(self.made.get_vocab().values(), default=0) + 1, bool)
         for token, i in self.made.get_vocab().items():
             self.leads[i] = token.startswith("\u0120")
-
-    def learn(self, pieces: set[str]) -> None:
-        if len(self.new) + len(pieces) > CACHED:
-            self.old, self.new = self.new, {}
-        unknown = []
-        for p in pieces:
-            if (known := self.old.get(p)) is None:
-                unknown.append(p)
-            else:
-                self.new[p] = known
-        groups = [unknown[i : i + 1000] for i in range(0, len(unknown), 1000)]
-        for group, e in zip(groups, self.made.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, self.kind)
+        self.known, self.ids, self.of = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def alone(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.made.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encoded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each piece, one after the other, and len + 1 offsets into them."""
+        data, at = _words.utf8(pieces)
+        data, at = data[at[0] : at[-1]], at - at[0]
+        spaces = np.concatenate(([0], np.cumsum(data == 32)))
+        first = np.zeros(len(data) + 1, bool)
+        first[_cuts(data, at)] = True
+        plain = first[at[:-1]] & (spaces[at[1:]] - spaces[at[:-1]] == 1)
+        for token in self.added:
+            plain &= ~pc.match_substring(pieces, token).to_numpy(zero_copy_only=False)
+        n = np.zeros(len(pieces), np.int64)
+        own, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        found = [np.zeros(0, np.uint32)]
+        for lo in range(0, len(own), 2000):  # words one after the other are cut again before each
+            some = own[lo : lo + 2000]
+            ids = self.alone(["".join(pieces.take(pa.array(some)).to_pylist())])[0]
             start = np.flatnonzero(self.leads[ids])
-            if len(start) != len(group):
+            if len(start) != len(some):
                 raise ValueError("not a byte-level tokenizer")
-            size, data = ids.itemsize, ids.tobytes()
-            for p, a, b in zip(group, start.tolist(), [*start[1:].tolist(), len(ids)]):
-                self.new[p] = data[a * size : b * size]
-
-
-def encode_texts(texts: list[str], path: str, end_id: int = 0) -> tuple[list[bytes], type]:
-    """Ids of each text and the end id, as little-endian bytes.
-
-    A byte-level tokenizer never merges across the border between a character that isn't white space and a following
-    single space, so a text is the sequence of its space-led pieces; each different piece is encoded once by
-    the tokenizers library and remembered. Texts with other spacing are encoded whole."""
-    if path not in _known:
-        _known[path] = _Pieces(path)
-    held = _known[path]
-    encode = lambda some: [np.array(e.ids, held.kind).tobytes() for e in held.made.encode_batch_fast(some, add_special_tokens=False)]
-    end = np.array([end_id], held.kind).tobytes()
-    split: list[list[str] | None] = [None if _ODD.search(t) else t.split(" ") for t in texts]
-    pieces = {p for s in split if s for p in s[1:]}
-    missing = {p for p in pieces if p not in held.new}
-    if len(held.new) + len(missing) > CACHED:
-        missing = pieces  # the newer ones become the old ones; what this call needs moves on
-    held.learn(missing)
-    if len(held.first) > CACHED // 8:
-        held.first.clear()
-    order = list({s[0] for s in split if s and s[0] not in held.first})
-    held.first.update(zip(order, encode(order)))
-    whole = iter(encode([t for t, s in zip(texts, split) if s is None]))
-    get = held.new.__getitem__
-    return [next(whole) + end if s is None else held.first[s[0]] + b"".join(map(get, s[1:])) + end for s in split], held.kind
+            n[some] = np.diff(start, append=len(ids))
+            found.append(ids)
+        odd = self.alone(pieces.take(pa.array(rest)).to_pylist()) if len(rest) else []
+        n[rest] = [len(x) for x in odd]
+        stop = np.cumsum(n)
+        out = np.empty(int(n.sum()), np.uint32)
+        out[np.repeat(plain, n)] = np.concatenate(found)
+        for i, ids in zip(rest, odd):
+            out[stop[i] - n[i] : stop[i]] = ids
+        return out, np.concatenate(([0], stop))
+
+    def dictionary(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and where in it the ids of each of some different pieces start and how many they are."""
+        where = pc.index_in(pieces, value_set=self.known)
+        new = pieces.filter(where.is_null())
+        ids, of = self.encoded(new)
+        where = where.to_numpy(zero_copy_only=False)
+        at = np.full(len(pieces), -1) if not len(self.known) else np.nan_to_num(where, nan=-1).astype(np.int64)
+        at[at < 0] = len(self.known) + np.arange(len(new))
+        pool, of = np.concatenate((self.ids, ids)), np.concatenate((self.of, self.of[-1] + of[1:]))
+        start, n = of[at], np.diff(of)[at]
+        if len(of) <= CACHED:
+            self.known, self.ids, self.of = pa.concat_arrays([self.known, new]), pool, of
+        else:  # only the latest pieces are kept
+            self.known, self.ids, self.of = pieces, pool[np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], np.concatenate(([0], np.cumsum(n)))
+        return pool, start, n
+
+
+def encode_texts(texts: pa.Array, path: str, end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, each with the end id, one after the other, and how many each text has."""
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
+    held = _encoders[path]
+    data, at = _words.utf8(texts)
+    data, at = data[at[0] : at[-1]], at - at[0]
+    cuts = _cuts(data, at) if held.pieces else np.zeros(0, np.int64)
+    for token in held.added if len(cuts) else ():
+        whole = np.flatnonzero(pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False))
+        if len(whole):
+            cuts = cuts[~np.isin(np.searchsorted(at, cuts, "right") - 1, whole)]
+    some = np.flatnonzero(np.diff(at))
+    start = np.sort(np.concatenate((cuts, at[some])))
+    start = start[np.diff(start, prepend=-1) > 0]  # a text that begins with a cut
+    pieces = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.append(start, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+    coded = pieces.dictionary_encode()
+    pool, first, n = held.dictionary(coded.dictionary)
+    # the end id is one more piece after each text's own
+    pool, first, n = np.append(pool, np.uint32(end_id)), np.append(first, len(pool)), np.append(n, 1)
+    bounds = np.searchsorted(start, at)
+    index = np.insert(coded.indices.to_numpy(), bounds[1:], len(n) - 1)
+    size = n[index]
+    total = np.concatenate(([0], np.cumsum(size)))
+    n_tokens = np.diff(total[bounds + np.arange(len(bounds))])
+    out = np.empty(int(total[-1]), held.kind if end_id <= np.iinfo(held.kind).max else np.uint32)
+    for lo in range(0, len(index), 1 << 17):
+        part, many = index[lo : lo + (1 << 17)], size[lo : lo + (1 << 17)]
+        a, b = total[lo], total[min(lo + (1 << 17), len(index))]
+        out[a:b] = pool[np.repeat(first[part] - (total[lo : lo + len(part)] - a), many) + np.arange(b - a)]
+    return out, n_tokens
+
+
+def widest(counts: np.ndarray, limit: int = LIMIT) -> int:
+    """limit, or as many bits as the symbols need and two more."""
+    return max(limit, min(MOST, int(np.count_nonzero(counts) - 1).bit_length() + 2)) if np.count_nonzero(counts) > 1 << (limit - 1) else limit
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -110,7 +182,7 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     if len(used) <= 1:
         out[used] = 1
         return out
-    if len(used) > 1 << limit:
+    if len(used) > 1 << min(limit, MOST):
         raise ValueError(f"{len(used)} symbols need codes of more than {limit} bits")
     used = used[np.argsort(counts[used], kind="stable")]
     leaf = counts[used].astype(np.float64)
@@ -135,25 +207,35 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
 
 
 class Codes(NamedTuple):
+    """Length and code of each symbol; what the first ``bits`` bits of a window stand for (width 0: a longer code); of the
+    symbols in the order of their codes, where each one's windows of ``limit`` bits begin."""
+
     length: np.ndarray
     code: np.ndarray
     symbols: np.ndarray
     widths: np.ndarray
+    bits: int
+    limit: int
+    order: np.ndarray
+    first: np.ndarray
 
 
 def canonical(length: np.ndarray, limit: int = LIMIT) -> Codes:
-    """Codes in the order (length, symbol), and the table of what any limit bits begin with."""
+    """Codes in the order (length, symbol), with their tables."""
     used = np.flatnonzero(length)
     used = used[np.lexsort((used, length[used]))]
-    span = (1 << (limit - length[used].astype(np.int64))) if len(used) else np.zeros(0, np.int64)
-    first = np.concatenate(([0], np.cumsum(span)))
+    width = length[used].astype(np.int64)
+    span = 1 << (limit - width)
+    first = np.cumsum(span) - span
     code = np.zeros(len(length), np.uint64)
-    code[used] = (first[:-1] >> (limit - length[used].astype(np.int64))).astype(np.uint64)
-    symbols = np.zeros(1 << limit, np.uint32)
-    widths = np.ones(1 << limit, np.uint8)
-    symbols[: first[-1]] = np.repeat(used, span)
-    widths[: first[-1]] = np.repeat(length[used], span)
-    return Codes(length.astype(np.int64), code, symbols, widths)
+    code[used] = (first >> (limit - width)).astype(np.uint64)
+    bits = min(limit, TABLE)
+    symbols, widths = np.zeros(1 << bits, np.uint32), np.zeros(1 << bits, np.uint8)
+    short = width <= bits
+    many = span[short] >> (limit - bits)
+    symbols[: many.sum()] = np.repeat(used[short], many)
+    widths[: many.sum()] = np.repeat(width[short], many)
+    return Codes(length.astype(np.int64), code, symbols, widths, bits, limit, used, first)
 
 
 def pack(ids: np.ndarray, n_tokens: np.ndarray, codes: Codes, every: int = EVERY) -> tuple[bytes, np.ndarray, list[np.ndarray]]:
@@ -176,23 +258,28 @@ def pack(ids: np.ndarray, n_tokens: np.ndarray, codes: Codes, every: int = EVERY
     return data, size, marks
 
 
-def unpack(data: np.ndarray, lane_bit: np.ndarray, lane_tokens: np.ndarray, codes: Codes, limit: int = LIMIT) -> np.ndarray:
+def unpack(data: np.ndarray, lane_bit: np.ndarray, lane_tokens: np.ndarray, codes: Codes) -> np.ndarray:
     """Ids of all lanes in order; every lane begins at a bit of data and holds so many tokens."""
     out = np.empty(int(lane_tokens.sum()), np.uint32)
     if not len(out):
         return out
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint32)
-    triple = (padded[:-2] << np.uint32(16)) | (padded[1:-1] << np.uint32(8)) | padded[2:]
+    window = (padded[:-3] << np.uint32(24)) | (padded[1:-2] << np.uint32(16)) | (padded[2:-1] << np.uint32(8)) | padded[3:]
     start = np.cumsum(lane_tokens) - lane_tokens
     order = np.argsort(-lane_tokens, kind="stable")
     bit, start, left = lane_bit[order].astype(np.int64), start[order], lane_tokens[order]
     live = np.searchsorted(-left, -np.arange(1, int(left[0]) + 1), "right")  # lanes with more than step tokens
-    mask = np.uint32((1 << limit) - 1)
+    down, all_short = np.uint32(32 - codes.bits), not len(codes.order) or codes.length.max() <= codes.bits
     for step, n in enumerate(live):
         own = bit[:n]
-        key = (triple[own >> 3] >> (np.uint32(24 - limit) - (own & 7).astype(np.uint32))) & mask
-        out[start[:n] + step] = codes.symbols[key]
-        own += codes.widths[key]
+        seen = window[own >> 3] << (own & 7).astype(np.uint32)
+        key = seen >> down
+        symbol, width = codes.symbols[key], codes.widths[key]
+        if not all_short and len(long := np.flatnonzero(width == 0)):
+            symbol[long] = codes.order[np.searchsorted(codes.first, seen[long] >> np.uint32(32 - codes.limit), "right") - 1]
+            width[long] = codes.length[symbol[long]]
+        out[start[:n] + step] = symbol
+        own += width
     return out
 
 
@@ -255,40 +342,49 @@ class TokenFiles:
                     crc = [zlib.crc32(raw[4 * (b - n) : 4 * b]) for b, n in zip(stop, tokens)]
                     yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + stop - tokens), pa.array(tokens), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-        # blocks are as many as the data's megabytes; the files' totals are as many as the files
-        files = self.blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-        base = files.select(F.col("shard").alias("s"), F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+        # a row for each range that was written, summed up from the first on; ranges are as many as the tasks that wrote
+        ranges = self.blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+        base = ranges.select(F.col("shard").alias("s"), F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
         parts = max(1, self.blocks.sparkSession.sparkContext.defaultParallelism * 2)
         todo = self.blocks.join(base, F.col("shard") == F.col("s")).select("file", "offset", "length", (F.col("base") + F.col("before")).alias("start"))
-        return todo.repartition(parts).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        return todo.repartition(parts).mapInArrow(_shared.lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _binary(data: bytes, size: np.ndarray) -> pa.Array:
+    """The parts of data, one after the other, as a column."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _held(column: pa.Array) -> np.ndarray:
+    """All bytes of a binary column."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
 
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 1 << 23, block_bytes: int = 1 << 20, limit: int = LIMIT, every: int = EVERY) -> TokenFiles:
     """Write all texts of docs as token files in ascending order of id_col."""
     spark: SparkSession = docs.sparkSession
     path = _shared.shared_dir(spark, "tokens")
+    schema = "doc_id long, n_tokens long, width int, ids binary"
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
-            for lo in range(0, batch.num_rows, 500):
-                part = texts.slice(lo, 500)
-                ids, kind = encode_texts(part.fill_null("").to_pylist(), tokenizer_path, end_id)
-                size = np.dtype(kind).itemsize
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 500), pa.array([len(x) // size for x in ids], pa.int64()), pa.array([size] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "width", "ids"])
+            for lo, hi, _, _ in _words.pieces(batch.column(1), RUN):
+                ids, n = encode_texts(batch.column(1).slice(lo, hi - lo), tokenizer_path, end_id)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(np.full(len(n), ids.itemsize, np.int32)), _binary(ids.tobytes(), n * ids.itemsize)], names=["doc_id", "n_tokens", "width", "ids"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     raw_path = f"{path}/raw"
-    source.mapInArrow(tokens, "doc_id long, n_tokens long, width int, ids binary").write.option("compression", "zstd").parquet(raw_path)
-    raw = spark.read.schema("doc_id long, n_tokens long, width int, ids binary").parquet(raw_path)
+    source.mapInArrow(_shared.lean(tokens), schema).write.option("compression", "zstd").parquet(raw_path)
+    raw = spark.read.schema(schema).parquet(raw_path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                ids = np.concatenate([np.frombuffer(x.as_py(), f"<u{w.as_py()}") for w, x in zip(part.column(0), part.column(1))])
-                own = np.bincount(ids, minlength=len(total))
+                own = np.bincount(_held(part.column(1)).view(f"<u{part.column(0)[0].as_py()}"), minlength=len(total))
                 own[: len(total)] += total
                 total = own
         used = np.flatnonzero(total)
@@ -297,13 +393,10 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "
     counted = raw.select("width", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row for each id of the vocabulary at most
     counts = np.zeros(int(max(counted["id"].to_pylist(), default=0)) + 1, np.int64)
     counts[counted["id"].to_numpy()] = counted["n"].to_numpy()
+    limit = widest(counts, limit)
     length = code_lengths(counts, limit)
     _shared.put(f"{path}/model.bin", zlib.compress(length.tobytes()))
 
-    files = max(1, -(-int(counts.sum()) // file_tokens))
-    cuts = [x for x in (raw.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)], 10_000).alias("q")).first()["q"] or []) if x is not None] if files > 1 else []
-    cuts = np.unique(np.array(cuts, np.int64))
-
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = canonical(length, limit)
         for batch in batches:
@@ -311,40 +404,47 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "
             group = np.cumsum(n_tokens) // 500_000
             for lo, hi in zip(edges := np.flatnonzero(np.diff(group, prepend=-1)), [*edges[1:], len(group)]):
                 part = batch.slice(lo, hi - lo)
-                ids = np.concatenate([np.frombuffer(x.as_py(), f"<u{w.as_py()}").astype(np.int64) for w, x in zip(part.column(2), part.column(3))])
-                data, size, marks = pack(ids, n_tokens[lo:hi], codes, every)
-                stop = np.cumsum(size)
-                doc = part.column(0)
-                shard = np.searchsorted(cuts, doc.fill_null(-(2**63)).to_numpy(), "left")
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), doc, part.column(1), pa.array([data[b - n : b] for b, n in zip(stop, size)], pa.binary()), pa.array([m.astype("<u4").tobytes() for m in marks], pa.binary())], names=["shard", "doc_id", "n_tokens", "code", "marks"])
+                data, size, marks = pack(_held(part.column(3)).view(f"<u{part.column(2)[0].as_py()}").astype(np.int64), n_tokens[lo:hi], codes, every)
+                check = [zlib.crc32(data[b - n : b]) for b, n in zip(np.cumsum(size).tolist(), size.tolist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(check, pa.int64()), _binary(data, size), _binary(np.concatenate(marks).astype("<u4").tobytes(), np.array([4 * len(m) for m in marks]))], names=["doc_id", "n_tokens", "check", "code", "marks"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, found, rows, size, before, shard = io.BytesIO(), [], [], 0, 0, None
+        shard = TaskContext.get().partitionId()  # ranges are numbered in order
+        out, found, rows, size, before, number = io.BytesIO(), [], [], 0, 0, 0
+        held = 0
 
         def flush() -> None:
-            nonlocal rows, size, before
+            nonlocal rows, size, before, held
             if rows:
                 block, n = _block(rows), sum(r[1] for r in rows)
                 found.append((out.tell(), len(block), before, n))
                 out.write(block)
-                before += n
+                before, held = before + n, held + n
                 rows, size = [], 0
 
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal out, found, number, held
+            flush()
+            if found:
+                file = f"{path}/data-{shard:06d}-{number:06d}.huf"
+                _shared.put(file, out.getvalue())
+                offset, nbytes, start, n = (pa.array(x, pa.int64()) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(found), pa.int32()), pa.array([file] * len(found)), offset, nbytes, start, n], names=["shard", "file", "offset", "length", "before", "n_tokens"])
+                out, found, number, held = io.BytesIO(), [], number + 1, 0
+
         for batch in batches:
-            for s, doc, n, bits, marks in zip(*(c.to_pylist() for c in batch.columns)):
-                shard = s
+            for doc, n, bits, marks in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4))):
                 rows.append((doc, n, bits, marks))
                 size += len(bits)
                 if size >= block_bytes:
                     flush()
-        flush()
-        if found:
-            file = f"{path}/data-{shard:06d}.huf"
-            _shared.put(file, out.getvalue())
-            offset, nbytes, start, n = (pa.array(x, pa.int64()) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(found), pa.int32()), pa.array([file] * len(found)), offset, nbytes, start, n], names=["shard", "file", "offset", "length", "before", "n_tokens"])
-
-    dealt = raw.mapInArrow(code, "shard int, doc_id long, n_tokens long, code binary, marks binary").repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("doc_id", "n_tokens", "code")
-    blocks = _shared.saved(dealt.mapInArrow(store, "shard int, file string, offset long, length long, before long, n_tokens long"), "blocks")
+                    if held >= file_tokens:
+                        yield from close()
+        yield from close()
+
+    files = max(1, -(-int(counts.sum()) // file_tokens))
+    order = ["doc_id", "n_tokens", "check"]  # documents without id or with the same one are dealt, too
+    dealt = raw.mapInArrow(_shared.lean(code), "doc_id long, n_tokens long, check long, code binary, marks binary").repartitionByRange(files, *order).sortWithinPartitions(*order, "code")
+    blocks = _shared.saved(dealt.mapInArrow(_shared.lean(store), "shard int, file string, offset long, length long, before long, n_tokens long"), "blocks")
     _shared.drop(spark, raw_path)
     return TokenFiles(path, blocks, every, limit)

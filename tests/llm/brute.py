@@ -66,7 +66,6 @@ def op4(docs, path):
     from tokenizers import Tokenizer
 
     made, start, out = Tokenizer.from_file(path), 0, set()
-    made.encode_special_tokens = True
     for doc, text in sorted(docs):
         ids = made.encode(text or "", add_special_tokens=False).ids + [0]
         out.add((doc, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))

@@ -1,11 +1,14 @@
 """Odd tables: nulls, empty and very long texts, ties, repeated rows, empty tables, extra columns."""
 
+import random
+
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslens.llm import _shared, apportion, chat_tree, decontaminate, huffman, license_join, line_dedup, mih, ngram_join, queries, toxic_grammar, warc_index
+from corpuslens.llm import _shared, _words, apportion, chat_tree, decontaminate, huffman, license_join, line_dedup, mih, ngram_join, queries, toxic_grammar, warc_index
 
 LINE = "this line is long enough to count"
 PASSAGE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
@@ -129,6 +132,12 @@ def test_tokens(spark, docs, none):
     path = queries.tokenizer_path()
     files = huffman.write(docs, path, file_tokens=50_000, block_bytes=2000)
     assert rows(files.read(), "doc_id start n_tokens ids_crc32") == brute.op4(PAIRS, path)
+    special = [(100 + i, t) for i, t in enumerate(["x <|endoftext|> y", "<|endoftext|>", " <|endoftext|> a b", "a  b ", " ", "a \n b", "a\u00a0 b \u3000c", "\u00ab a \u00bb", "it's 'll\tno"])]
+    files = huffman.write(spark.createDataFrame(special, "doc_id long, text string").repartition(2), path)
+    assert rows(files.read(), "doc_id start n_tokens ids_crc32") == brute.op4(special, path)
+    repeated = spark.createDataFrame([(7, "a b"), (7, "a b"), (7, "c"), (None, "d e f"), (None, None), (1, "g")], "doc_id long, text string").repartition(3)
+    got = sorted(huffman.write(repeated, path, file_tokens=1, block_bytes=1).read().collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, 1, 7, 7, 7] and [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(6)]
     assert huffman.write(none, path).read().count() == 0
 
 
@@ -145,6 +154,40 @@ def test_huffman_codes():
     assert (huffman.read_block(huffman._block(rows_), codes)[2] == ids).all()
 
 
+def test_pieces_are_the_texts_own_tokens(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, rng = queries.tokenizer_path(), random.Random(1)
+    monkeypatch.setattr(huffman, "CACHED", 50)  # what is remembered is dropped time and again
+    made = Tokenizer.from_file(path)
+    some = [" ", " ", " ", "a", "bc", "\u00e9", "\n", "\t", "1", "'s", ".", "\u00a0", "\u3000", "\u2003", "\x1c", "\u0120", "<|endoftext|>", "\U0001f600", "\u180e", "\u200b", "\x85", "\x00"]
+    for _ in range(30):
+        texts = ["".join(rng.choices(some, k=rng.randrange(30))) for _ in range(60)]
+        ids, n = huffman.encode_texts(pa.array([*texts, None]), path)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids + [0] for e in made.encode_batch([*texts, ""], add_special_tokens=False)]
+
+
+def test_codes_of_many_symbols():
+    rng = np.random.default_rng(5)
+    counts = np.concatenate([rng.integers(1, 50, 100_000), [10**9, 10**7]])
+    limit = huffman.widest(counts)
+    length = huffman.code_lengths(counts, limit)
+    codes = huffman.canonical(length, limit)
+    assert 16 < length.max() <= limit <= 24
+    ids = np.concatenate([rng.integers(0, 100_002, 3000), np.full(500, 100_000)])
+    data, size, marks = huffman.pack(ids, np.array([3500]), codes)
+    assert (huffman.read_block(huffman._block([(1, 3500, data, marks[0].astype("<u4").tobytes())]), codes)[2] == ids).all()
+
+
+def test_words_that_a_polynomial_takes_for_one():
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    data = f"{a} {a.translate(str.maketrans('ab', 'ba'))} {a[:1024]} {a[1024:2048]} {a * 5}".encode()
+    hashed = _words.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), _words.ALNUM)[0]
+    assert len(set(hashed.tolist())) == 5
+
+
 def test_mix(spark, docs, none):
     table = [(d, s, t) for d, t, s in DOCS]
     size, target = brute.op5(table)
