@@ -6,6 +6,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from corpuslens.llm import _shared, _words, apportion, chat_tree, decontaminate, huffman, license_join, line_dedup, mih, ngram_join, queries, toxic_grammar, warc_index
@@ -92,14 +93,18 @@ def test_cuckoo():
     assert made.contains(keys[2500:]).all() and made.contains(keys[:2500]).mean() < 0.01
 
 
-def test_ngrams(spark, docs, none):
+def test_ngrams(spark, docs, none, monkeypatch):
     words = [f"v{i}" for i in range(200)]
     family = [(100 + i, " ".join(words[: 200 - i] + [f"n{i}_{j}" for j in range(i)])) for i in range(0, 60, 3)]
     copies = [(200 + i, " ".join(words)) for i in range(5)]
     more = spark.createDataFrame(family + copies, "doc_id long, text string")
-    for rule in (ngram_join.Sets(), ngram_join.Sets(crowd=2)):  # pairs, and blocks
-        got = ngram_join.join(docs.select("doc_id", "text").union(more), rule)
-        assert rows(got, "doc_id n_shingles component_id") == brute.op9(PAIRS + family + copies)
+    whole = docs.select("doc_id", "text").union(more).persist()
+    want = brute.op9(PAIRS + family + copies)
+    for rule, part in ((ngram_join.Sets(), 512), (ngram_join.Sets(crowd=2), 512), (ngram_join.Sets(crowd=2, common=2), 3)):  # pairs, blocks, blocks of bands and parts
+        monkeypatch.setattr(ngram_join, "PART", part)
+        assert rows(ngram_join.join(whole, rule), "doc_id n_shingles component_id") == want
+    again = spark.createDataFrame([(5, "a b c d e"), (5, "f g h i j"), (1, "a b c d e"), (5, "a b c d e"), (None, "f g h i j"), (None, "x")], "doc_id long, text string")
+    assert sorted(map(str, ngram_join.join(again).collect())) == sorted(str(Row(doc_id=d, n_shingles=n, component_id=c)) for d, n, c in [(5, 2, 1), (5, 2, 5), (1, 2, 1), (5, 2, 1), (None, 2, 5), (None, 1, None)])
     assert ngram_join.join(none).count() == 0
 
 
@@ -228,12 +233,45 @@ def test_toxic(spark, docs, none):
     assert toxic_grammar.score(none, toxic_grammar.fit(none, labels.limit(0))).count() == 0
 
 
+def clause(text):
+    """Score of a clause without learned terms."""
+    none = np.zeros(0, np.int64)
+    model = toxic_grammar.Model(none.astype(np.uint64), none, none, 0, 0, (0.0, 0.0, 0.0, 0.0), 2.5)
+    data = text.encode()
+    return toxic_grammar._clauses(model, np.frombuffer(data, np.uint8), np.array([0, len(data)]), None)[3].sum()
+
+
 def test_grammar():
-    g, hit = toxic_grammar.grammar(), toxic_grammar.HIT
-    run = lambda *k: toxic_grammar.clause_score(np.array(k), np.where(np.array(k) == hit, 4.0, np.where(np.array(k) == toxic_grammar.THREAT, 1.0, 0.0)), g)
-    plain = run(hit)
-    assert run(toxic_grammar.NEGATION, hit) < plain < run(toxic_grammar.TARGET, hit) and run(toxic_grammar.REPORT, hit) < plain
-    assert run(toxic_grammar.THREAT) < run(toxic_grammar.TARGET, toxic_grammar.THREAT)
+    plain = clause("what an idiot")
+    assert clause("not an idiot") < clause("said what an idiot") < plain < clause("you are an idiot") and clause("idiot idiot") == pytest.approx(2 * plain)
+    assert clause("not one two three idiot") == plain and clause("they never one two idiot") < plain
+    assert clause("kill time") < plain < clause("kill you") and clause("i will not kill you") < plain and clause("he said he would kill you") < clause("he would kill you")
+    assert clause("shut up") == clause("oh shut shut up now") == plain and clause("shut it up") == clause("go to to hell") == 0 and clause("go to hell") == plain
+    assert clause("nobody likes you") > 0 and clause("nobody is an idiot") < plain  # a phrase's word alone is what it is by itself
+
+
+def test_composition_is_one_after_the_other():
+    """The composed table against the transducers run one by one."""
+    rng, parts, whole = np.random.default_rng(7), toxic_grammar.transducers(), toxic_grammar.grammar()
+    common = [toxic_grammar.TARGET, toxic_grammar.NEGATION, toxic_grammar.REPORT, toxic_grammar.THREAT, toxic_grammar.TERM + 10, *range(toxic_grammar.WORD, toxic_grammar.SYMBOLS)]
+    runs = [rng.choice([toxic_grammar.OTHER, *common], int(rng.integers(1, 40))) for _ in range(200)]
+    want = []
+    for run in runs:
+        for t in parts:
+            state, written = 0, []
+            for x in run:
+                written.append(t.out[state, x])
+                state = t.next[state, x]
+            run = written
+        value = {toxic_grammar.DIRECT: toxic_grammar.DIRECT_WEIGHT} | {toxic_grammar.TERM + i: toxic_grammar.LOWEST * toxic_grammar.RATIO**i for i in range(toxic_grammar.LEVELS)}
+        want.append(sum(value.get(int(x), 0.0) for x in run))
+    assert whole.scores(np.concatenate(runs), np.array([len(r) for r in runs])) == pytest.approx(want, rel=1e-5)
+
+
+def test_matched_clauses(spark, docs):
+    model = toxic_grammar.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    table = spark.createDataFrame([(1, "Fine words. You are an Idiot, I say! Done\nshut up"), (2, None), (3, "nothing")], "doc_id long, text string")
+    assert rows(toxic_grammar.clauses(table, model), "doc_id clause") == {(1, "You are an Idiot, I say"), (1, "shut up")}
 
 
 TURNS = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo </s>"), (2, 0, "user", "hi"), (2, 1, "assistant", "other [/INST] \\l <s>"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo </s>"), (4, 0, None, None), (4, 0, "assistant", ""), (5, 2, "system", "x" * 100_000), (5, 1, "ro\nle\\", "a\\"), (6, 0, "assistant", "é\U0001f600"), (7, 0, "user", None), (7, 0, "user", None)]

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from corpuslens.llm import _shared, apportion, license_join, mih, toxic_grammar
+from corpuslens.llm import _shared, apportion, license_join, mih, queries, toxic_grammar
 
 STAGE = dict(corpus_pipeline.STAGES)
 
@@ -128,7 +128,17 @@ def test_terms_of_rare_toxic_rows(spark):
     assert set(model.terms) == {key("zorp"), key("much"), key("slur")} and 45 * model.n_toxic < model.n_clean < 53 * model.n_toxic
     score = {r.doc_id: r.score for r in toxic_grammar.score(spark.createDataFrame([(1, "well then"), (2, "well zorp then")], "doc_id long, text string"), model).collect()}
     assert score[2] > 10 * score[1]
-    assert list(toxic_grammar.fit(docs, labels, max_terms=1).terms) == [key("slur")]
+
+
+def test_held_out_labels(spark):
+    """op 7 on the labelled rows that nothing was learned from; some labels contradict the texts, so neither figure can be 1."""
+    sf = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic IS NOT NULL").collect()}
+    rows = [(r.predicted, r.score, truth[r.doc_id]) for r in queries.op7_toxic_grammar(spark, sf).where("held_out").collect() if r.doc_id in truth]
+    hit, said, toxic = sum(p and y for p, _, y in rows), sum(p for p, _, _ in rows), sum(y for _, _, y in rows)
+    above = sum((a > b) + 0.5 * (a == b) for _, a, y in rows if y for _, b, z in rows if not z)
+    figures = hit / said, hit / toxic, above / toxic / (len(rows) - toxic)
+    assert figures[0] >= 0.97 and figures[1] >= 0.88 and figures[2] >= 0.95, figures
 
 
 @pytest.mark.parametrize("shard_rows", [1, 4, 50])
