@@ -12,6 +12,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -44,6 +45,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: list[str], total: int, shares: int = 10_000) -> DataFrame:
+    """Left join of rows with a table that has one row for each key and, as n_rows, how many of the rows have it.
+
+    total: number of the rows. Fewer than ``shares`` keys can have more than total / shares rows each, so those are sent to all tasks; only
+    rows of other keys are dealt by key, and no task gets a large group of them."""
+    often = (F.col("n_rows") * shares > total) & (F.col("n_rows") > 1)
+    hot, cold = table.where(often).drop("n_rows"), table.where(~often).drop("n_rows")
+    first = rows.join(F.broadcast(hot), key)
+    return first.unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key, "left"))
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Remove a path of the shared folder that no result reads any more."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -9,17 +9,23 @@
    come first, by hash. Sets that link share at least ``share`` shingles of their prefixes in that order.
 4. Prefixes are inverted; shingles whose documents are all in one component are done. Of other pairs across components
    within the length bound, those that share fewer prefix shingles than linking needs are out, and the rest is
-   decided in trees, too. A shingle with more than ``crowd`` documents left names no pairs: its documents become one
-   block, whose parts go through trees two by two, so a set is sent once for each part instead of each partner; parts that
-   are all of one component don't meet. Components of all links come from alternating stars over tables in the shared folder.
-
-A tree holds sets as paths of shingles, most frequent first, in depth-first order. A probe goes through it with the overlap
+   decided in trees, too. A shingle with more than ``crowd`` documents left names no pairs: its documents become a
+   block, together with those of other such shingles that have the same least document. A large block is cut by size, as sets of which one
+   is much smaller can't link, and by hash into parts; parts of neighbouring sizes go through trees two by two, so a set is sent once
+   for each part instead of each partner; parts that are all of one component don't meet. Components of all links come from
+   alternating stars over tables in the shared folder.
+
+A tree holds sets as paths of shingles in the global order from its frequent end on (among the shingles that are too rare to have been
+counted, those that more sets of the tree have come first), in depth-first order. A probe goes through it with the overlap
 of its path so far, computed once for all sets that share the path, and leaves a subtree as soon as more shingles are
 missing than any set below could make up.
 
+Keys that many rows share (copies of one text, a key of minima, a crowded shingle) are summed up before any exchange and looked up by
+broadcast, as there can't be many of them; no task gets such a group whole.
+
 Defined cases: null or empty texts have an empty set, link with nothing and are their own component; a text of
-fewer words than a shingle has one shingle; rows that repeat a doc_id are one document to the components and a row
-each in the result; other columns are ignored.
+fewer words than a shingle has one shingle; rows that repeat a doc_id are judged each by its own text, and are in one component if
+their texts link; a null doc_id is above all others; a very long text is worked on alone and its set has to fit in a task; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,7 +93,7 @@ def profile(docs: DataFrame, sets: Sets, id_col: str, text_col: str) -> DataFram
                         keys[j // 3, some] = _words.mix(keys[j // 3, some] * np.uint64(31) + np.minimum.reduceat(_words.mix(values ^ seed), bounds[some]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), *(pa.array(x.view(np.int64)) for x in (fingerprints(values, bounds), *keys))], names=["doc_id", "n", "fp", "k0", "k1", "k2"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, fp long, k0 long, k1 long, k2 long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_shared.lean(run), f"doc_id {kind}, n long, fp long, k0 long, k1 long, k2 long")
 
 
 def _rows(docs: DataFrame, text_col: str) -> DataFrame:
@@ -119,7 +125,21 @@ def _choose(values: np.ndarray, bounds: np.ndarray, texts: np.ndarray) -> tuple[
     return values[at], of
 
 
-def common_shingles(docs: DataFrame, sets: Sets, text_col: str, total: int, limit: int = 4_000_000) -> np.ndarray:
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """The blobs of one part after the other, from rows (part, blob) sorted by part; a part is as large as its range of hashes."""
+    now, held = None, []
+    for batch in batches:
+        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if part != now and held:
+                yield now, held
+                held = []
+            now = part
+            held.append(blob.as_py())
+    if held:
+        yield now, held
+
+
+def common_shingles(docs: DataFrame, sets: Sets, text_col: str, total: int, limit: int = 2_000_000) -> np.ndarray:
     """First 40 bits of the shingles in at least ``common`` different sets of one task or more, rarest first.
 
     Every set counts, once per task that meets it. If the list were over limit, the bound is raised until it fits:
@@ -152,19 +172,18 @@ def common_shingles(docs: DataFrame, sets: Sets, text_col: str, total: int, limi
         yield from flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                planes = np.frombuffer(blob.as_py(), np.uint8).reshape(5, -1)
+        for _, blobs in _by_part(batches):
+            values = []
+            for blob in blobs:
+                planes = np.frombuffer(blob, np.uint8).reshape(5, -1)
                 delta = np.zeros((planes.shape[1], 8), np.uint8)
                 delta[:, :5] = planes.T
-                held.setdefault(part, []).append(np.cumsum(delta.view(np.uint64).ravel(), dtype=np.uint64))
-        for values in held.values():
+                values.append(np.cumsum(delta.view(np.uint64).ravel(), dtype=np.uint64))
             value, n = np.unique(np.concatenate(values), return_counts=True)
             some = n >= sets.common
             yield pa.RecordBatch.from_arrays([pa.array(value[some].view(np.int64)), pa.array(n[some])], names=["shingle", "n"])
 
-    counted = _shared.saved(_rows(docs, text_col).mapInArrow(run, "part long, blob binary").repartition("part").mapInArrow(merge, "shingle long, n long"), "common")
+    counted = _shared.saved(_rows(docs, text_col).mapInArrow(_shared.lean(run), "part long, blob binary").repartition("part").sortWithinPartitions("part").mapInArrow(_shared.lean(merge), "shingle long, n long"), "common")
     bound, kept = sets.common, counted
     while kept.count() > limit:
         bound *= 2
@@ -175,11 +194,30 @@ def common_shingles(docs: DataFrame, sets: Sets, text_col: str, total: int, limi
     return value[np.lexsort((value, n))]
 
 
-def _tree(sets_: list[np.ndarray], targets: list[int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, int]:
-    """Ranks of every set, the targets in depth-first order, how much of each path the one before shares, how many ranks repeat."""
+class Order:
+    """The global order of shingles: those that were counted by their frequency, above all others."""
+
+    def __init__(self, common: np.ndarray):
+        by_value = np.argsort(common)
+        self.value, self.place = common[by_value], by_value.astype(np.int32)
+
+    def rank(self, shingles: np.ndarray) -> np.ndarray:
+        """0 for a rare shingle, from 1 on for the counted ones, the most frequent last."""
+        rank = np.zeros(len(shingles), np.int64)
+        if len(self.value):
+            short = shingles >> np.uint64(24)
+            where = np.minimum(np.searchsorted(self.value, short), len(self.value) - 1)
+            rank = np.where(self.value[where] == short, self.place[where] + 1, 0)
+        return rank
+
+
+def _tree(sets_: list[np.ndarray], targets: list[int], order_: Order | None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, int]:
+    """Ranks of every set, the targets in depth-first order, how much of each path the one before shares, how many ranks have to be looked at.
+
+    Ranks start at the frequent end of the global order; shingles that only one set of the tree has come behind all others."""
     value, inverse, n = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
     rank = np.empty(len(value), np.int64)
-    rank[np.lexsort((value, -n))] = np.arange(len(value))
+    rank[np.lexsort((value, -n, -order_.rank(value) if order_ else np.zeros(len(value)), n == 1))] = np.arange(len(value))
     ranks = rank[inverse]
     stop = np.cumsum([len(s) for s in sets_])
     paths = [np.sort(ranks[b - len(s) : b]) for s, b in zip(sets_, stop)]
@@ -207,7 +245,7 @@ def _stops(shared: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
     return out
 
 
-def tree_join(sets_: list[np.ndarray], rule: Sets, probes: list[int] | None = None, sides: list[int] | None = None) -> list[tuple[int, int]]:
+def tree_join(sets_: list[np.ndarray], rule: Sets, probes: list[int] | None = None, sides: list[int] | None = None, order_: Order | None = None) -> list[tuple[int, int]]:
     """Links between the sets (of the probes with all others; of different sides, of which there are two) that join what no link before has joined.
 
     All probes go through the tree at once: a node holds those still in its subtree and the overlap of each with its path.
@@ -215,7 +253,7 @@ def tree_join(sets_: list[np.ndarray], rule: Sets, probes: list[int] | None = No
     if sides is not None:
         probes = [i for i, x in enumerate(sides) if x == sides[0]]
     asked = set(probes) if probes is not None else set()
-    paths, order, shared, inner = _tree(sets_, [i for i in range(len(sets_)) if i not in asked])
+    paths, order, shared, inner = _tree(sets_, [i for i in range(len(sets_)) if i not in asked], order_)
     ask = order if probes is None else np.array(probes)
     size = np.array([len(p) for p in paths])
     if not len(order) or not len(ask):
@@ -278,25 +316,32 @@ def _stars(fps: list[int], links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([find(x) for x in others], pa.int64()), pa.array(others, pa.int64())], names=["a", "b"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows with equal values of a column, from a stream sorted by it."""
-    now, rows = None, []
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows with equal values of the first column, from a stream sorted by it."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[key] != now or not rows:
-                if rows:
-                    yield now, rows
-                now, rows = row[key], []
-            rows.append(row)
-    if rows:
-        yield now, rows
+        key = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b == a:
+                continue
+            if held and held[0].column(0)[0].as_py() != int(key[a]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def set_table(docs: DataFrame, wanted: DataFrame, rule: Sets, profiles: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(fp, s) of the wanted fingerprints, each made from the document with the smallest id that has it.
+def _sets_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
+def set_table(docs: DataFrame, wanted: DataFrame, rule: Sets, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(fp, s) of the wanted fingerprints, each made from the document with the smallest id that has it, its ``least`` in classes.
 
     The ids are a written table, so the join sends them to every task only where their files are known to be small."""
-    ids = _shared.saved(profiles.join(wanted.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_wanted")).select("_wanted").distinct(), "wanted")
+    ids = _shared.saved(classes.join(wanted.select("fp").distinct(), "fp", "left_semi").select(F.col("least").alias("_wanted")).distinct(), "wanted")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +354,7 @@ def set_table(docs: DataFrame, wanted: DataFrame, rule: Sets, profiles: DataFram
                 own = np.flatnonzero(keep)
                 yield pa.RecordBatch.from_arrays([pa.array(fp[own].view(np.int64)), pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in own], pa.binary())], names=["fp", "s"])
 
-    return source.mapInArrow(run, "fp long, s binary").groupBy("fp").agg(F.first("s").alias("s"))
+    return source.mapInArrow(_shared.lean(run), "fp long, s binary").groupBy("fp").agg(F.first("s").alias("s"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -332,33 +377,30 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("root"))
 
 
-def _near_copies(reps: DataFrame, docs: DataFrame, rule: Sets, profiles: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _near_copies(reps: DataFrame, n_reps: int, docs: DataFrame, rule: Sets, order_: Order, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Links among sets that share a key of minima: each set goes to one group, groups to trees of bounded size."""
     keys = reps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"k{i}").alias("k")) for i in range(3)))).alias("x")).select("fp", "x.i", "x.k")
-    heads = keys.groupBy("i", "k").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    home = keys.join(heads, ["i", "k"]).groupBy("fp").agg(F.min("head").alias("head"))
+    heads = keys.groupBy("i", "k").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
+    home = _shared.lookup(keys, heads, ["i", "k"], 3 * n_reps).where("head IS NOT NULL").groupBy("fp").agg(F.min("head").alias("head"))
     home = _shared.saved(home, "home")
-    sizes = home.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / (CHUNK - 1)).alias("chunks"))
-    placed = home.join(sizes, "head").where("chunks > 0").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")))
+    sizes = home.groupBy("head").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("chunks", F.ceil(F.col("n_rows") / (CHUNK - 1)))
+    placed = _shared.lookup(home, sizes, ["head"], n_reps).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")))
     # every tree of a large group also gets the group's head, which holds them together
     extra = sizes.where("chunks > 1").select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("head").alias("fp"))
     placed = placed.select("head", "chunk", "fp").union(extra.select("head", "chunk", "fp")).distinct()
-    found = set_table(docs, placed, rule, profiles, id_col, text_col)
+    found = set_table(docs, placed, rule, classes, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _runs(batches, 0):
+        for rows in _runs(batches):
             if len(rows) > 1:
-                fps = [r[1] for r in rows]
-                yield _stars(fps, tree_join([np.frombuffer(r[2], np.uint64) for r in rows], rule))
+                yield _stars(rows["fp"].to_pylist(), tree_join(_sets_of(rows["s"]), rule, order_=order_))
 
-    return placed.join(found, "fp").select(F.xxhash64("head", "chunk").alias("g"), "fp", "s").repartition("g").sortWithinPartitions("g", "fp").mapInArrow(run, "a long, b long")
+    return placed.join(found, "fp").select(F.xxhash64("head", "chunk").alias("g"), "fp", "s").repartition("g").sortWithinPartitions("g", "fp").mapInArrow(_shared.lean(run), "a long, b long")
 
 
-def _prefixes(docs: DataFrame, rule: Sets, hot: np.ndarray, text_col: str, total: int) -> DataFrame:
+def _prefixes(docs: DataFrame, rule: Sets, order_: Order, text_col: str, total: int) -> DataFrame:
     """(shingle, fp, n) of prefix shingles that more than one set has, exchanged as arrays."""
     parts = max(64, total // 4_000_000)
-    by_value = np.argsort(hot)
-    hot_value, hot_rank = hot[by_value], by_value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, _Seen()
@@ -383,11 +425,7 @@ def _prefixes(docs: DataFrame, rule: Sets, hot: np.ndarray, text_col: str, total
                     continue
                 token, of = _choose(values, bounds, own)
                 n = np.diff(bounds)[own]
-                rank = np.zeros(len(token), np.int64)
-                if len(hot_value):
-                    short = token >> np.uint64(24)
-                    where = np.minimum(np.searchsorted(hot_value, short), len(hot_value) - 1)
-                    rank = np.where(hot_value[where] == short, hot_rank[where] + 1, 0)
+                rank = order_.rank(token)
                 order = np.lexsort((token, rank, of))
                 nth = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
                 keep = order[nth < rule.prefix(n)[of]]
@@ -398,13 +436,9 @@ def _prefixes(docs: DataFrame, rule: Sets, hot: np.ndarray, text_col: str, total
         yield from flush()
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held.setdefault(part, []).append(blob.as_py())
-        for part in list(held):
+        for _, blobs in _by_part(batches):
             token, fp, n = [], [], []
-            for blob in held.pop(part):
+            for blob in blobs:
                 m = len(blob) // 20
                 token.append(np.frombuffer(blob, np.uint64, m))
                 fp.append(np.frombuffer(blob, np.int64, m, 8 * m))
@@ -422,99 +456,106 @@ def _prefixes(docs: DataFrame, rule: Sets, hot: np.ndarray, text_col: str, total
                 x = own[lo : lo + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(token[x].view(np.int64)), pa.array(fp[x]), pa.array(n[x].astype(np.int64))], names=["shingle", "fp", "n"])
 
-    return _rows(docs, text_col).mapInArrow(run, "part long, blob binary").repartition("part").mapInArrow(invert, "shingle long, fp long, n long")
+    return _rows(docs, text_col).mapInArrow(_shared.lean(run), "part long, blob binary").repartition("part").sortWithinPartitions("part").mapInArrow(_shared.lean(invert), "shingle long, fp long, n long")
 
 
 def _rest(inverted: DataFrame, known: DataFrame, rule: Sets) -> tuple[DataFrame, DataFrame]:
-    """(a, b) of pairs across components that may still link; (a, b) from the least set of a crowded shingle to its others."""
-    marked = inverted.join(known, "fp", "left").select("shingle", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    open_ = marked.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("shingle")
+    """(a, b) of pairs across components that may still link; (block, fp) of the documents of crowded shingles."""
+    marked = _shared.saved(inverted.join(known, "fp", "left").select("shingle", "fp", "n", F.coalesce("root", "fp").alias("root")), "marked")
+    open_ = marked.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("fp").alias("block"), F.count(F.lit(1)).alias("n_rows")).where("x <> y").select("shingle", "block", "n_rows")
+    open_ = _shared.saved(open_, "open")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _runs(batches, 0):
-            fp, n, root = (np.array(x, np.int64) for x in list(zip(*rows))[1:])
-            if len(n) > rule.crowd:
-                j = np.flatnonzero(np.arange(len(n)) != (least := int(fp.argmin())))
-                i, need = np.full(len(j), least), np.zeros(len(j), np.int64)
-            else:
-                # sorted by n: partners of each are the following ones up to the length bound
-                many = np.maximum(np.searchsorted(n, n * rule.den // rule.num, "right") - np.arange(len(n)) - 1, 0)
-                i = np.repeat(np.arange(len(n)), many)
-                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
-                some = root[i] != root[j]
-                i, j = i[some], j[some]
-                need = np.minimum(rule.share, rule.overlap(n[i], n[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[i], fp[j])), pa.array(np.maximum(fp[i], fp[j])), pa.array(need)], names=["a", "b", "need"])
-
-    raw = _shared.saved(marked.join(open_, "shingle", "left_semi").repartition("shingle").sortWithinPartitions("shingle", "n", "fp").mapInArrow(run, "a long, b long, need long").groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("c")), "pairs")
-    return raw.where("need > 0 AND c >= need").select("a", "b"), raw.where("need = 0").select("a", "b")
-
-
-def _decide_blocks(stars: DataFrame, docs: DataFrame, known: DataFrame, rule: Sets, profiles: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The links across components within blocks of sets that stars hold together: parts of bounded size, two by two.
-
-    A component that fills parts has its own, and these don't meet each other; the others share parts."""
-    block = components(stars)
-    block = _shared.saved(block.union(block.select(F.col("root").alias("fp"), "root")).distinct().withColumnRenamed("root", "block"), "blocks")
-    found = _shared.saved(set_table(docs, block, rule, profiles, id_col, text_col), "sets")
-    sized = found.select("fp", (F.length("s") / 8).alias("n")).join(block, "fp").join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    parts = F.ceil(F.greatest(F.count(F.lit(1)) / PART, F.sum("n") / MOST))
-    # a component of less than half a part goes with others
-    whole = sized.groupBy("block", "root").agg(parts.alias("parts"), F.greatest(F.count(F.lit(1)) / PART, F.sum("n") / MOST).alias("fill")).where("fill >= 0.5").drop("fill")
-    mixed = sized.join(whole, ["block", "root"], "left_anti").groupBy("block").agg(parts.alias("others"))
-    placed = sized.join(whole, ["block", "root"], "left").join(mixed, "block", "left").select("fp", "block", F.when(F.col("parts").isNotNull(), F.col("root")).alias("of"), F.pmod(F.xxhash64("fp"), F.coalesce("parts", "others")).alias("nth"))
-    placed = _shared.saved(placed.withColumn("part", F.xxhash64("of", "nth")), "parts")
-    dealt = placed.groupBy("block", "part").agg(F.first("of").alias("of"))
-    left, right = dealt.alias("x"), dealt.alias("y")
-    meet = left.join(right, F.expr("x.block = y.block AND (x.of IS NULL OR y.of IS NULL OR x.of <> y.of)")).select(F.col("x.block").alias("block"), F.col("x.part").alias("part"), F.col("y.part").alias("other"))
-    sent = placed.join(meet, ["block", "part"]).select("fp", "part", F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other")).alias("g"), (F.col("part") == F.col("other")).alias("own"))
+        for rows in _runs(batches):
+            fp, n, root = (rows[c].to_numpy() for c in ("fp", "n", "root"))
+            # sorted by n: partners of each are the following ones up to the length bound
+            many = np.maximum(np.searchsorted(n, n * rule.den // rule.num, "right") - np.arange(len(n)) - 1, 0)
+            i = np.repeat(np.arange(len(n)), many)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+            some = root[i] != root[j]
+            i, j = i[some], j[some]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[i], fp[j])), pa.array(np.maximum(fp[i], fp[j])), pa.array(np.minimum(rule.share, rule.overlap(n[i], n[j])))], names=["a", "b", "need"])
+
+    few = marked.join(open_.where(F.col("n_rows") <= rule.crowd).select("shingle"), "shingle", "left_semi").select("shingle", "fp", "n", "root")
+    pairs = few.repartition("shingle").sortWithinPartitions("shingle", "n", "fp").mapInArrow(_shared.lean(run), "a long, b long, need long").groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("c")).where("c >= need")
+    many = open_.where(F.col("n_rows") > rule.crowd)
+    crowded = _shared.lookup(marked, many, ["shingle"], marked.count()).where("block IS NOT NULL").select("block", "fp").distinct()
+    return _shared.saved(pairs.select("a", "b"), "pairs"), _shared.saved(crowded, "blocks")
+
+
+def _decide_blocks(block: DataFrame, docs: DataFrame, known: DataFrame, rule: Sets, order_: Order, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The links across components within blocks (block, fp): parts of bounded size, two by two.
+
+    A block of more than one part is cut into bands of sizes; sets of bands that aren't neighbours can't link. A component that fills parts
+    of a band has its own, and these don't meet each other; the others share parts."""
+    found = _shared.saved(set_table(docs, block, rule, classes, id_col, text_col), "sets")
+    fill = F.greatest(F.count(F.lit(1)) / PART, F.sum("n") / MOST)
+    sized = block.join(found.select("fp", (F.length("s") / 8).cast("long").alias("n")), "fp").join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    sized = _shared.saved(sized, "sized")
+    wide = sized.groupBy("block").agg(F.count(F.lit(1)).alias("n_rows"), (fill > 1).alias("wide"))
+    n_sized = sized.count()
+    # where these floors differ by 2 the larger set has more than den / num times the other's size; the little more is for rounding
+    band = F.when(F.col("wide"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.0001 * rule.den / rule.num)))).otherwise(0).cast("long")
+    banded = _shared.saved(_shared.lookup(sized, wide, ["block"], n_sized).withColumn("band", band).drop("wide"), "bands")
+    whole = banded.groupBy("block", "band", "root").agg(F.count(F.lit(1)).alias("n_rows"), fill.alias("fill")).where("fill >= 0.5").withColumn("parts", F.ceil("fill")).drop("fill")
+    dealt = _shared.lookup(banded, whole, ["block", "band", "root"], n_sized)
+    mixed = dealt.where("parts IS NULL").groupBy("block", "band").agg(F.count(F.lit(1)).alias("n_rows"), F.ceil(fill).alias("others"))
+    own = dealt.where("parts IS NOT NULL").select("fp", "block", "band", F.col("root").alias("of"), F.pmod(F.xxhash64("fp"), "parts").alias("nth"))
+    rest = _shared.lookup(dealt.where("parts IS NULL").select("fp", "block", "band"), mixed, ["block", "band"], n_sized).select("fp", "block", "band", F.lit(None).cast("long").alias("of"), F.pmod(F.xxhash64("fp"), "others").alias("nth"))
+    placed = _shared.saved(own.unionByName(rest).withColumn("part", F.xxhash64("band", "of", "nth")), "parts")
+    parts = _shared.saved(placed.groupBy("block", "part").agg(F.first("of").alias("of"), F.first("band").alias("band")), "dealt")
+    left, right = parts.alias("x"), parts.select("block", "part", "of", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")).alias("y")
+    meet = left.join(right, F.expr("x.block = y.block AND x.band = y.band AND (x.of IS NULL OR y.of IS NULL OR x.of <> y.of)")).select(F.col("x.block").alias("block"), F.col("x.part").alias("part"), F.col("y.part").alias("other"))
+    # each meeting has its two sides' sets; the list of a set's meetings goes with its part
+    meetings = meet.select("block", "part", F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other")).alias("g"), (F.col("part") == F.col("other")).alias("own"))
+    sent = placed.select("fp", "block", "part").join(meetings, ["block", "part"]).select("fp", "part", "g", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _runs(batches, 0):
+        for rows in _runs(batches):
             if len(rows) > 1:
-                yield _stars([r[1] for r in rows], tree_join([np.frombuffer(r[4], np.uint64) for r in rows], rule, None, None if rows[0][2] else [r[3] for r in rows]))
+                yield _stars(rows["fp"].to_pylist(), tree_join(_sets_of(rows["s"]), rule, None, None if rows["own"][0].as_py() else rows["part"].to_pylist(), order_))
 
-    return sent.join(found, "fp").select("g", "fp", "own", "part", "s").repartition("g").sortWithinPartitions("g", "fp").mapInArrow(run, "a long, b long")
+    return sent.join(found, "fp").select("g", "fp", "own", "part", "s").repartition("g").sortWithinPartitions("g", "fp").mapInArrow(_shared.lean(run), "a long, b long")
 
 
-def _decide(pairs: DataFrame, docs: DataFrame, rule: Sets, profiles: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _decide(pairs: DataFrame, docs: DataFrame, rule: Sets, order_: Order, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs that link, each probe going through trees of its partners."""
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp")))
-    found = _shared.saved(set_table(docs, ends, rule, profiles, id_col, text_col), "sets")
+    found = _shared.saved(set_table(docs, ends, rule, classes, id_col, text_col), "sets")
     rows = pairs.withColumn("g", F.xxhash64("a", F.pmod("b", F.lit(64)))).select("g", "a", F.col("b").alias("fp"))
     heads = rows.select("g", "a", F.col("a").alias("fp")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _runs(batches, 0):
-            a = rows[0][1]
-            probe = [r for r in rows if r[2] == a][:1]
-            partners = [r for r in rows if r[2] != a]
+        for rows in _runs(batches):
+            fps, sets_, a = rows["fp"].to_pylist(), _sets_of(rows["s"]), rows["a"][0].as_py()
+            probe = fps.index(a)
+            partners = [i for i, fp in enumerate(fps) if fp != a]
             for lo in range(0, len(partners), CHUNK):
-                some = probe + partners[lo : lo + CHUNK]
-                yield _stars([r[2] for r in some], tree_join([np.frombuffer(r[3], np.uint64) for r in some], rule, [0]))
+                some = [probe, *partners[lo : lo + CHUNK]]
+                yield _stars([fps[i] for i in some], tree_join([sets_[i] for i in some], rule, [0], order_=order_))
 
-    return rows.union(heads).join(found, "fp").select("g", "a", "fp", "s").repartition("g").sortWithinPartitions("g", "fp").mapInArrow(run, "a long, b long")
+    return rows.union(heads).join(found, "fp").select("g", "a", "fp", "s").repartition("g").sortWithinPartitions("g", "fp").mapInArrow(_shared.lean(run), "a long, b long")
 
 
 def join(docs: DataFrame, rule: Sets | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     rule = rule or Sets()
     profiles = _shared.saved(profile(docs, rule, id_col, text_col), "profiles")
-    reps = profiles.where("n > 0").dropDuplicates(["fp"]).select("fp", "n", "k0", "k1", "k2")
-    total = int(reps.agg(F.sum("n").alias("n")).first()["n"] or 0)
-    near = _shared.saved(_near_copies(reps, docs, rule, profiles, id_col, text_col), "near")
-    known = components(near)
-    hot = common_shingles(docs, rule, text_col, total)
-    inverted = _shared.saved(_prefixes(docs, rule, hot, text_col, total), "inverted")
-    pairs, stars = _rest(inverted, known, rule)
+    # one row for each different set; copies are summed up before the exchange
+    classes = _shared.saved(profiles.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_rows"), *(F.first(c).alias(c) for c in ("n", "k0", "k1", "k2"))), "classes")
+    size = classes.agg(F.count(F.lit(1)).alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows")).first()
+    order_ = Order(common_shingles(docs, rule, text_col, size["total"]))
+    near = _shared.saved(_near_copies(classes, size["sets"], docs, rule, order_, classes, id_col, text_col), "near")
+    known = _shared.saved(components(near), "known")
+    inverted = _shared.saved(_prefixes(docs, rule, order_, text_col, size["total"]), "inverted")
+    pairs, blocks = _rest(inverted, known, rule)
     _shared.drop_saved(inverted)
-    more = _decide(pairs, docs, rule, profiles, id_col, text_col)
-    crowded = _decide_blocks(stars, docs, known, rule, profiles, id_col, text_col)
-    roots = components(near.union(more).union(crowded))
-    named = profiles.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
-    classes = named.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = classes.groupBy("root").agg(F.min("least").alias("component"))
-    classes = classes.join(smallest, "root").select("fp", "component")
-    some = profiles.where("n > 0").join(classes, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    more = _decide(pairs, docs, rule, order_, classes, id_col, text_col)
+    crowded = _decide_blocks(blocks, docs, known, rule, order_, classes, id_col, text_col)
+    roots = _shared.saved(components(near.union(more).union(crowded)), "roots")
+    rooted = classes.join(roots, "fp", "left").select("fp", "least", "n_rows", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_rows"))
+    named = _shared.lookup(rooted.withColumnRenamed("n_rows", "n_docs"), smallest, ["root"], size["sets"]).select("fp", "component_id", F.col("n_docs").alias("n_rows"))
+    some = _shared.lookup(profiles.where("n > 0").select("doc_id", "n", "fp"), _shared.saved(named, "named"), ["fp"], size["rows"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     none = profiles.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return some.union(none)
+    return some.unionByName(none)
