@@ -17,8 +17,14 @@ from pyspark.sql import functions as F
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Bytes of a batch between the JVM and a Python worker, where the session leaves Spark's own 64 MB: both sides hold several at a time.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it; bound the batches that they get."""
+    if spark.conf.get(BATCH_BYTES[0], "") in ("67108864b", "67108864", "64MB"):
+        spark.conf.set(*BATCH_BYTES)
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)

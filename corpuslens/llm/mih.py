@@ -1,20 +1,22 @@
 """Approximate nearest neighbours by multi-index hashing over learned rotated binary codes.
 
-Learning: on a bounded sample (``sample`` vectors, those with the smallest hashes of their ids) vectors are centred and
+Learning: on a bounded sample (``sample`` vectors, or as many as fill ``sample_bytes`` of at least 1,000, those with the smallest hashes of their ids) vectors are centred and
 rotated to their principal axes, then several rotations are fitted in turn so that signs keep most (iterative
 quantization), each giving as many bits as there are axes. For inner products, vectors are first divided by the largest
 length and given one more component that makes all of length one; queries get 0 there. The search radius is the
 one that would have found the share ``target`` of true neighbours within the sample.
 
-Search: a code is cut in substrings; two codes within the radius are, in one of m substrings at least, within its
-part of it (pigeonhole), so every code within the radius is found through the substrings' tables; what is found is
-compared whole, and within the radius scored with the original vectors. Vectors are indexed in blocks; the queries,
-in blocks of bounded size in the shared folder, go through each. Queries that found fewer than k, such as outliers of a
+Search: a code is cut in substrings of 16 bits; two codes within the radius are, in one of m substrings at least, within its
+part of it (pigeonhole). Vectors are indexed in blocks. A block has an inverted list for each substring: its values in order, and
+for each value the rows that have it. A query probes the lists: the values within its part of the radius are found by flipping bits, where those flips
+are fewer than the block's values, else by going through the values; only the rows in their lists are candidates. Candidates are compared
+by whole code, and those within the radius scored with the original vectors. The queries, in blocks of bounded size in the shared folder, go
+through each block of rows. Queries that found fewer than k, such as outliers of a
 clustered table, are searched again at twice the radius until they are full or all codes are within it. Equal vectors are one: of each, the smallest ids as many
 as a result can name are kept, and equal queries are searched once.
 
 On data without structure in few directions neighbours are far in Hamming distance, too, the radius is then large and
-most codes pass the tables; the comparison of whole codes is what keeps the scoring small.
+most rows become candidates; the comparison of whole codes is what keeps the scoring small.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part; nor do those of
 another length than the most frequent one; ties go to the smaller id; fewer candidates than k are all returned; repeated rows
@@ -25,6 +27,8 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from functools import cache
+from math import comb
 from typing import NamedTuple
 
 import numpy as np
@@ -35,6 +39,8 @@ from pyspark.sql import functions as F
 from . import _shared
 
 SUB = 16
+#: Pairs of queries and rows that are looked at together; it bounds memory only.
+PAIRS = 1 << 20
 
 
 class Codes(NamedTuple):
@@ -93,28 +99,66 @@ def learn(x: np.ndarray, n_all: int, largest: float, k: int = 20, bits: int = 25
     return codes._replace(radius=radius)
 
 
+def _flips(most: int) -> int:
+    return sum(comb(SUB, i) for i in range(most + 1))
+
+
+@cache
+def _masks(most: int) -> np.ndarray:
+    """All values of a substring with at most so many bits set."""
+    every = np.arange(1 << SUB, dtype=np.uint32).astype(np.uint16)
+    return every[np.bitwise_count(every) <= most]
+
+
 class Block:
-    """Tables of the substrings of some codes."""
+    """Inverted lists of the substrings of some codes."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.tables = [np.unique(codes[:, j], return_inverse=True) for j in range(codes.shape[1])]
-
-    def within(self, q: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) of all codes within the radius of each query's."""
-        m = len(self.tables)
+        self.whole = codes.view(np.uint64) if codes.shape[1] % 4 == 0 else codes
+        self.lists = []
+        for column in codes.T:
+            rows = np.argsort(column, kind="stable").astype(np.int32)
+            values, first = np.unique(column[rows], return_index=True)
+            self.lists.append((values, np.append(first, len(rows)), rows))
+
+    def probe(self, j: int, q: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of the rows whose substring j is within most bits of the query's."""
+        values, first, rows = self.lists[j]
+        if _flips(most) * 4 < len(values):
+            wanted = q[:, None] ^ _masks(most)[None, :]
+            at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+            query, nth = np.nonzero(values[at] == wanted)
+            value = at[query, nth]
+        else:
+            query, value = np.nonzero(np.bitwise_count(q[:, None] ^ values[None, :]) <= most)
+        size = first[value + 1] - first[value]
+        place = np.repeat(first[value] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        return np.repeat(query, size), rows[place]
+
+    def candidates(self, q: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of all rows that some probe finds, each once."""
+        m = len(self.lists)
         part, more = divmod(radius, m)
         found = np.zeros((len(q), len(self.codes)), bool)
-        for j, (values, where) in enumerate(self.tables):
+        for j in range(m):
             most = part if j <= more else part - 1  # sum of (most + 1) is above the radius
             if most >= 0:
-                found |= (np.bitwise_count(q[:, j, None] ^ values[None, :]) <= most)[:, where]
-        dist = np.zeros(found.shape, np.uint16)
-        whole = self.codes.view(np.uint64) if m % 4 == 0 else self.codes
-        ask = np.ascontiguousarray(q).view(np.uint64) if m % 4 == 0 else q
-        for j in range(whole.shape[1]):
-            dist += np.bitwise_count(ask[:, j, None] ^ whole[None, :, j])
-        return np.nonzero(found & (dist <= radius))
+                found[self.probe(j, q[:, j], min(most, SUB))] = True
+        return np.nonzero(found)
+
+    def within(self, q: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of all codes within the radius of each query's."""
+        ask = np.ascontiguousarray(q).view(np.uint64) if self.whole.dtype == np.uint64 else q
+        out = []
+        step = max(1, PAIRS // max(1, len(self.codes)))
+        for lo in range(0, len(q), step):
+            i, r = self.candidates(q[lo : lo + step], radius)
+            dist = np.zeros(len(i), np.uint16)
+            for word in range(self.whole.shape[1]):
+                dist += np.bitwise_count(ask[lo + i, word] ^ self.whole[r, word])
+            out.append((lo + i[dist <= radius], r[dist <= radius]))
+        return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
 def _top(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -129,7 +173,7 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & good)
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = 256, sample: int = 20_000, query_block: int = 256, row_block: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = 256, sample: int = 20_000, sample_bytes: int = 128 << 20, query_block: int = 256, row_block: int = 1 << 15) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each vector whose id is divisible by every, among all others."""
     spark = vectors.sparkSession
     usable = _usable(vectors, id_col, vector_col)
@@ -141,13 +185,13 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
     nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     index = _shared.saved(usable.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth"), "vectors")
     stats = index.agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("largest")).first()
-    rows = min(sample, max(1000, (1 << 24) // length["d"]))  # at most 128 MB on the driver
+    rows = min(sample, max(1000, sample_bytes // (8 * length["d"])))
     learnt = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).toArrow()
     x = np.stack([np.asarray(r) for r in learnt["v"].to_pylist()])
     codes = learn(x, stats["n"], stats["largest"], k, bits)
 
     asked = usable.where(F.col("vec_id") % every == 0)
-    twins = asked.groupBy("v").agg(F.min("vec_id").alias("first"))
+    twins = _shared.saved(asked.groupBy("v").agg(F.min("vec_id").alias("first"), F.countDistinct("vec_id").alias("n_rows")), "queries")
     best = Window.partitionBy("first").orderBy(F.desc("score"), "vec_id")
 
     def within(queries: DataFrame, radius: int) -> DataFrame:
@@ -165,7 +209,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
                     _shared.put(file := f"{path}/{ids[0]}.npz", out.getvalue())
                     yield pa.RecordBatch.from_arrays([pa.array([file])], names=["file"])
 
-        files = [r["file"] for r in queries.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(store, "file string").collect()]  # one name for each block of queries
+        files = [r["file"] for r in queries.select("v", "first").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(store, "file string").collect()]  # one name for each block of queries
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def answer(ids: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -189,7 +233,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
             if held:
                 yield from answer(*(np.concatenate(x) for x in zip(*held)))
 
-        found = index.mapInArrow(scan, "first long, vec_id long, score double")
+        found = index.mapInArrow(_shared.lean(scan), "first long, vec_id long, score double")
         return _shared.saved(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1).drop("rank"), "near")
 
     full = min(k + 1, stats["n"])
@@ -201,7 +245,12 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
             break
         radius = min(most, max(2 * radius, radius + SUB))
         near = near.join(left.select("first"), "first", "left_anti").unionByName(within(left, radius))
-    names = asked.join(twins, "v").select(F.col("vec_id").alias("query_id"), "first").distinct()
-    own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = names.join(near, "first").where("query_id <> vec_id").withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
-    return found.select("query_id", "rank", "vec_id", "score")
+    # the answers of equal queries are one row, which goes to all of them; a vector that many queries have is no large group
+    ids = asked.distinct()
+    total = twins.agg(F.sum("n_rows")).first()[0] or 0
+    names = _shared.lookup(ids, twins, ["v"], total).select(F.col("vec_id").alias("query_id"), "first")
+    answers = near.groupBy("first").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score"))).alias("found"))
+    answers = _shared.saved(answers.join(twins.select("first", "n_rows"), "first"), "answers")
+    others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    told = _shared.lookup(names, answers, ["first"], total).select("query_id", F.posexplode(others).alias("at", "x"))
+    return told.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

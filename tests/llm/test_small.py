@@ -314,6 +314,21 @@ def test_warc(spark, docs):
     assert warc_index.reversed_host_key("HTTP://User@A.Example.com:80/y?q#f") == "com,example,a)/y?q"
 
 
+def test_probes_find_what_is_within_the_radius():
+    """Inverted lists against all pairs, with few and many candidates."""
+    rng = np.random.default_rng(10)
+    codes = rng.integers(0, 1 << 16, (3000, 4)).astype(np.uint16)
+    q = codes[:40] ^ (np.uint16(1) << rng.integers(0, 16, (40, 4)).astype(np.uint16))
+    dist = np.bitwise_count(q[:, None] ^ codes[None]).sum(2)
+    block = mih.Block(codes)
+    for radius in (0, 3, 4, 9, 20, 64):
+        want = set(zip(*(x.tolist() for x in np.nonzero(dist <= radius))))
+        assert set(zip(*(x.tolist() for x in block.within(q, radius)))) == want
+        i, r = block.candidates(q, radius)
+        assert len(want) <= len(i) == len(set(zip(i.tolist(), r.tolist())))
+    assert len(block.candidates(q, 4)[0]) < 40 * 30  # lists are what decides which codes are compared
+
+
 def test_neighbours(spark, docs):
     rng = np.random.default_rng(6)
     v = rng.normal(size=(300, 8)).tolist()
