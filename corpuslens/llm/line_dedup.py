@@ -2,39 +2,66 @@
 
 A store is a folder of signed entries (key, document, +1 or -1) in shards by key. Inserting documents appends
 +1 entries, deleting them appends -1 entries, so any state can be undone; ``references`` sums them into the exact
-table: how many documents hold a key and which is the last. A cuckoo filter per shard, over the keys that are
-held often enough to be dropped, tells most lines apart without a join: tasks look lines up in the filters
-(if all of them together are within a checked size; else every line is joined), and what passes is joined with
-the exact table, so the filters' false positives change nothing.
+table: how many documents hold a key and which is the last. A cuckoo filter per shard, a file in the shared folder, holds the keys that
+are held often enough to be dropped; after documents came or went only the keys that crossed that line are put into the filters or deleted from
+them, and only a filter that becomes too full is made anew. The filters tell most lines apart without a join: where all of them together are within
+``filter_limit`` each task looks its lines up in all, else lines are dealt by shard (each shard to many tasks, so a common
+line is no large group) and a task holds one filter at a time. What passes is joined with the exact table, so the filters' false positives
+change nothing.
+
+Lines are trimmed, lower-cased, measured and hashed to 128 bits with numpy over the bytes of a run of texts at once.
 
 Defined cases: null or empty text is one empty line; a null document id counts as one document below all
-others; rows that repeat a document id count as one document and are rewritten each; other columns are ignored.
+others; rows that repeat a document id count as one document and are rewritten each; ids have to be integers; a very long text
+is worked on alone, a very long line is a key like any other; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _shared
+from . import _shared, _words
 
-SPACES = " \t\n\x0b\x0c\r"
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 KEY = "k1 long, k2 long"
-
-
-def line_key(line: str) -> str:
-    return line.strip(SPACES).translate(_LOWER)
-
-
-def _hashed(key: str) -> tuple[int, int]:
-    h = xxhash.xxh3_128_intdigest(key.encode("utf-8", "surrogatepass"))
-    return (h >> 64) - (1 << 63), (h & (2**64 - 1)) - (1 << 63)
+NO_ID = -(2**63)
+_SECOND = np.random.default_rng(8).integers(0, 2**64, 256, dtype=np.uint64)
+
+
+class Lines(NamedTuple):
+    """Lines of some texts, in order: text, first byte, byte after the last; key bounds, and the two halves of the keys of lines that are long enough (``keyed``)."""
+
+    text: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    keyed: np.ndarray
+    k1: np.ndarray
+    k2: np.ndarray
+
+
+def lines(data: np.ndarray, at: np.ndarray, least: int) -> Lines:
+    breaks = np.flatnonzero(data == 10)
+    text_of = np.searchsorted(at, breaks, "right") - 1
+    start = np.sort(np.concatenate((at[:-1], breaks + 1)), kind="stable")
+    end = np.sort(np.concatenate((at[1:], breaks)), kind="stable")
+    text = np.repeat(np.arange(len(at) - 1), 1 + np.bincount(text_of, minlength=len(at) - 1))
+    b = _words.LOWER[data]
+    solid = np.flatnonzero(_words.SOLID[b])
+    i, j = np.searchsorted(solid, start), np.searchsorted(solid, end)
+    some = np.flatnonzero(j > i)
+    first, last = solid[i[some]], solid[j[some] - 1] + 1
+    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    long = points[last] - points[first] >= least
+    keyed, first, last = some[long], first[long], last[long]
+    k1, k2 = (_words.hash_spans(table[b], first, last).view(np.int64) for table in (_words._BYTE, _SECOND))
+    return Lines(text, start, end, keyed, k1, k2)
 
 
 class CuckooFilter:
@@ -47,7 +74,13 @@ class CuckooFilter:
         while n * self.SLOTS * 0.85 < max(capacity, 1):
             n *= 2
         self.table = np.zeros((n, self.SLOTS), np.uint16) if table is None else table
-        self.stash: set[int] = set()
+
+    def dump(self) -> bytes:
+        return self.table.tobytes()
+
+    @classmethod
+    def load(cls, data: bytes) -> CuckooFilter:
+        return cls(0, np.frombuffer(data, np.uint16).reshape(-1, cls.SLOTS).copy())
 
     def _places(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         key = np.asarray(key, np.int64).view(np.uint64)
@@ -105,27 +138,38 @@ def _entries(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, of = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for key in {k for line in (text.as_py() or "").split("\n") if len(k := line_key(line)) >= least}:
-                    x, y = _hashed(key)
-                    a.append(x)
-                    b.append(y)
-                    of.append(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(of, pa.int64())], names=["k1", "k2", "doc"])
+            doc = batch.column(0).to_numpy()
+            for lo, _, data, at in _words.pieces(batch.column(1)):
+                found = lines(data, at, least)
+                of = found.text[found.keyed]
+                order = np.lexsort((found.k2, found.k1, of))
+                a, b, of = found.k1[order], found.k2[order], of[order]
+                new = np.ones(len(a), bool)
+                new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (of[1:] != of[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(doc[lo + of[new]])], names=["k1", "k2", "doc"])
 
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, f"{KEY}, doc long")
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(_shared.lean(run), f"{KEY}, doc long")
+
+
+class Filters(NamedTuple):
+    """The keys that are held often (k1, k2, last_doc, n_rows) and the files of the filters over them, one for each shard of k2."""
+
+    min_docs: int
+    often: DataFrame
+    files: list[str | None]
+    sizes: list[int]
 
 
 class LineStore:
     """The entries of all documents inserted so far, less those deleted."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, least: int = 20):
-        self.spark, self.path, self.least = spark, path or _shared.shared_dir(spark, "lines"), least
+    def __init__(self, spark: SparkSession, path: str | None = None, least: int = 20, shard_keys: int = 200_000):
+        self.spark, self.path, self.least, self.shard_keys = spark, path or _shared.shared_dir(spark, "lines"), least, shard_keys
+        self._made: Filters | None = None
 
     def _append(self, docs: DataFrame, sign: int, id_col: str, text_col: str) -> None:
-        _entries(docs, id_col, text_col, self.least).distinct().withColumn("n", F.lit(sign)).write.mode("append").parquet(self.path)
+        _entries(docs, id_col, text_col, self.least).distinct().withColumn("n", F.lit(sign)).write.mode("append").parquet(f"{self.path}/entries")
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Documents must be new to the store; one that is inserted again counts again until deleted as often."""
@@ -136,68 +180,144 @@ class LineStore:
 
     def references(self) -> DataFrame:
         """Exact table: k1, k2, n_docs, last_doc of every key that a document still holds."""
-        held = self.spark.read.schema(f"{KEY}, doc long, n int").parquet(self.path).groupBy("k1", "k2", "doc").agg(F.sum("n").alias("n")).where("n > 0")
+        held = self.spark.read.schema(f"{KEY}, doc long, n int").parquet(f"{self.path}/entries").groupBy("k1", "k2", "doc").agg(F.sum("n").alias("n")).where("n > 0")
         return held.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("last_doc"))
 
-
-def filters(table: DataFrame, shard_keys: int = 200_000) -> DataFrame:
-    """(shard, shards, filter) over the keys of an exact table; a shard holds about shard_keys keys."""
-    shards = max(1, -(-table.count() // shard_keys))
+    def filters(self, min_docs: int) -> Filters:
+        """Filters of the store's present state: those of the state before with the keys that came or went, or new ones."""
+        often = _shared.saved(self.references().where(F.col("n_docs") >= min_docs).select("k1", "k2", "last_doc", F.col("n_docs").alias("n_rows")), "references")
+        before = self._made if self._made and self._made.min_docs == min_docs and -(-often.count() // self.shard_keys) <= 2 * len(self._made.files) else None
+        if before:
+            sign = lambda x, y, n: x.join(y.select("k1", "k2"), ["k1", "k2"], "left_anti").select("k1", "k2", F.lit(n).alias("sign"))
+            files, sizes, changes = list(before.files), list(before.sizes), sign(before.often, often, -1).unionByName(sign(often, before.often, 1))
+        else:
+            files, changes = [None] * max(1, -(-often.count() // self.shard_keys)), often.select("k1", "k2", F.lit(1).alias("sign"))
+            sizes = [0] * len(files)
+        made = self._write(changes, files).collect()  # a row for each shard
+        full = [r["shard"] for r in made if r["file"] is None]
+        if full:
+            anew = often.where(F.pmod("k2", F.lit(len(files))).isin(full)).select("k1", "k2", F.lit(1).alias("sign"))
+            made = [r for r in made if r["file"] is not None] + self._write(anew, [None] * len(files)).collect()
+        for r in made:
+            files[r["shard"]], sizes[r["shard"]] = r["file"], r["size"]
+        self._made = Filters(min_docs, often, files, sizes)
+        return self._made
+
+    def _write(self, changes: DataFrame, files: list[str | None]) -> DataFrame:
+        """(shard, file, size) of the filters that changes (k1, k2, sign) touch; no file where a filter became too full for them."""
+        path = self.path
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for shard, keys, signs in _shards(batches):
+                try:
+                    if files[shard] is None:
+                        made = _built(keys[signs > 0])
+                    else:
+                        made = CuckooFilter.load(_shared.get(files[shard]))
+                        made.delete(keys[signs < 0])
+                        made.insert(keys[signs > 0])
+                except OverflowError:
+                    file, data = None, b""
+                else:
+                    file, data = f"{path}/filters/{shard}-{uuid.uuid4().hex}.cuckoo", made.dump()
+                    _shared.put(file, data)
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([file], pa.string()), pa.array([len(data)], pa.int64())], names=["shard", "file", "size"])
+
+        dealt = changes.select(F.pmod("k2", F.lit(len(files))).cast("int").alias("shard"), "k1", "sign").repartition(len(files), "shard").sortWithinPartitions("shard")
+        return _shared.saved(dealt.mapInArrow(_shared.lean(run), "shard int, file string, size long"), "filters")
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, keys, signs) from rows (shard, k1, sign) sorted by shard; a shard has about shard_keys rows."""
+    now, held = None, []
+    for batch in batches:
+        shard, key, sign = (c.to_numpy() for c in batch.columns)
+        for s in np.unique(shard):
+            if s != now and held:
+                yield now, *(np.concatenate(x) for x in zip(*held))
+                held = []
+            now = int(s)
+            held.append((key[shard == s], sign[shard == s]))
+    if held:
+        yield now, *(np.concatenate(x) for x in zip(*held))
+
+
+def _sift(entries: DataFrame, made: Filters, filter_limit: int) -> DataFrame:
+    """The entries whose keys the filters hold, with others that look like them."""
+    files, shards = made.files, len(made.files)
+    small = sum(made.sizes) <= filter_limit
+    if not small:
+        shard, part = F.pmod("k2", F.lit(shards)), F.pmod(F.xxhash64("doc"), F.lit(16))
+        entries = entries.repartition(shard, part).sortWithinPartitions(shard)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, list] = {}
+        held: dict[int, CuckooFilter] = {}
         for batch in batches:
-            shard = batch.column(1).to_numpy()
-            for s in np.unique(shard):
-                own.setdefault(int(s), []).append(batch.column(0).to_numpy()[shard == s])
-        for s, keys in own.items():
-            made = _built(np.concatenate(keys))
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([made.table.tobytes()], pa.binary())], names=["shard", "filter"])
-
-    return table.select("k1", F.pmod("k2", F.lit(shards)).alias("shard")).repartition(shards, "shard").mapInArrow(run, "shard long, filter binary").withColumn("shards", F.lit(shards))
+            key, shard = batch.column(0).to_numpy(), np.mod(batch.column(1).to_numpy(), shards)
+            keep = np.zeros(len(key), bool)
+            for s in np.unique(shard).tolist():
+                if files[s] is None:
+                    continue
+                if s not in held:
+                    if not small:
+                        held.clear()
+                    held[s] = CuckooFilter.load(_shared.get(files[s]))
+                own = shard == s
+                keep[own] = held[s].contains(key[own])
+            yield batch.filter(pa.array(keep))
+
+    return entries.mapInArrow(_shared.lean(run), f"{KEY}, doc long")
+
+
+def _without(data: np.ndarray, at: np.ndarray, found: Lines, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes and offsets of the texts without the lines that are gone; the others stay, joined by new lines."""
+    opens = np.ones(len(found.text), bool)
+    opens[1:] = found.text[1:] != found.text[:-1]
+    left = np.flatnonzero(~gone)
+    leads = left[np.flatnonzero(np.diff(found.text[left], prepend=-1))]  # first line of each text that stays
+    delta = np.zeros(len(data) + 1, np.int64)
+    # a line goes with the line break before it, and so does the break before a text's first line that stays
+    np.add.at(delta, found.start[gone] - ~opens[gone], 1)
+    np.add.at(delta, found.end[gone], -1)
+    leads = leads[~opens[leads]]
+    np.add.at(delta, found.start[leads] - 1, 1)
+    np.add.at(delta, found.start[leads], -1)
+    keep = np.cumsum(delta[:-1]) <= 0
+    return data[keep], np.concatenate(([0], np.cumsum(keep)))[at]
 
 
 def dedup(docs: DataFrame, store: LineStore, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", filter_limit: int = 64 << 20) -> DataFrame:
     """doc_id, text (what is left), n_lines, n_dropped of each row, against all that the store holds.
 
     A key in at least min_docs documents loses its lines except in the last document that holds it."""
-    spark, least = docs.sparkSession, store.least
-    often = _shared.saved(store.references().where(F.col("n_docs") >= min_docs).select("k1", "k2", "last_doc"), "references")
-    made = _shared.saved(filters(often), "filters")
-    small = made.agg(F.sum(F.octet_length("filter")).alias("n")).first()["n"] or 0
-    entries = _entries(docs, id_col, text_col, least)
-    if small <= filter_limit:
-        rows = made.collect()  # at most filter_limit bytes
-        held = spark.sparkContext.broadcast((rows[0]["shards"] if rows else 1, {r["shard"]: bytes(r["filter"]) for r in rows}))
-
-        def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shards, data = held.value
-            own = {s: CuckooFilter(0, np.frombuffer(x, np.uint16).reshape(-1, CuckooFilter.SLOTS)) for s, x in data.items()}
-            for batch in batches:
-                key, shard = batch.column(0).to_numpy(), np.mod(batch.column(1).to_numpy(), shards)
-                keep = np.zeros(len(key), bool)
-                for s in np.unique(shard):
-                    if int(s) in own:
-                        keep[shard == s] = own[int(s)].contains(key[shard == s])
-                yield batch.filter(pa.array(keep))
-
-        entries = entries.mapInArrow(sift, f"{KEY}, doc long")
-    lost = entries.distinct().join(often, ["k1", "k2"]).where("doc <> last_doc").groupBy("doc").agg(F.collect_list(F.struct("k1", "k2")).alias("lost"))
+    least = store.least
+    made = store.filters(min_docs)
+    total = made.often.agg(F.sum("n_rows")).first()[0] or 0
+    entries = _sift(_entries(docs, id_col, text_col, least), made, filter_limit).distinct()
+    known = _shared.lookup(entries, made.often, ["k1", "k2"], total).where("doc <> last_doc")
+    lost = known.groupBy("doc").agg(F.collect_list(F.struct("k1", "k2")).alias("lost"))
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n_lines, n_dropped = [], [], []
-            for text, lost_keys in zip(batch.column(1), batch.column(2)):
-                lines = (text.as_py() or "").split("\n")
-                n_lines.append(len(lines))
-                gone = {(x["k1"], x["k2"]) for x in lost_keys.as_py() or ()}
-                if gone:
-                    lines = [x for x in lines if not (len(k := line_key(x)) >= least and _hashed(k) in gone)]
-                n_dropped.append(n_lines[-1] - len(lines))
-                texts.append("\n".join(lines))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=["doc_id", "text", "n_lines", "n_dropped"])
-
-    return source.join(lost, "doc", "left").select("doc_id", "text", "lost").mapInArrow(rewrite, f"doc_id {kind}, text string, n_lines long, n_dropped long")
-
+            for lo, hi, data, at in _words.pieces(batch.column(1)):
+                found = lines(data, at, least)
+                lists = batch.column(2).slice(lo, hi - lo)
+                row = pa.compute.list_parent_indices(lists).to_numpy()
+                pairs = lists.flatten()
+                gone = np.zeros(len(found.text), bool)
+                if len(row):
+                    k1, k2 = (pairs.field(i).to_numpy() for i in (0, 1))
+                    u, v = np.unique(k1), np.unique(k2)
+                    i, j = (np.minimum(np.searchsorted(x, y), len(x) - 1) for x, y in ((u, found.k1), (v, found.k2)))
+                    place = lambda r, a, b: (r * len(u) + a) * len(v) + b
+                    same = (u[i] == found.k1) & (v[j] == found.k2)
+                    same &= np.isin(place(found.text[found.keyed], i, j), place(row, np.searchsorted(u, k1), np.searchsorted(v, k2)))
+                    gone[found.keyed[same]] = True
+                n, n_gone = (np.bincount(found.text, w, hi - lo).astype(np.int64) for w in (None, gone))
+                text, of = _without(data, at, found, gone)
+                column = pa.LargeStringArray.from_buffers(hi - lo, pa.py_buffer(of.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(text)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), column.cast(pa.string()), pa.array(n), pa.array(n_gone)], names=["doc_id", "text", "n_lines", "n_dropped"])
+
+    return source.join(lost, "doc", "left").select("doc_id", "text", "lost").mapInArrow(_shared.lean(rewrite), f"doc_id {kind}, text string, n_lines long, n_dropped long")

@@ -75,7 +75,7 @@ def test_lines(spark, docs, none):
     want = brute.op8(PAIRS)
     digest = lambda df: rows(df.withColumn("h", F.sha2(F.encode("text", "UTF-8"), 256)), "doc_id n_lines n_dropped h")
     assert digest(line_dedup.dedup(docs, store)) == want and any(w[2] for w in want)
-    assert digest(line_dedup.dedup(docs, store, filter_limit=-1)) == want  # by the join alone
+    assert digest(line_dedup.dedup(docs, store, filter_limit=-1)) == want  # lines dealt to the filters' shards
     store.delete(docs.where("doc_id = 6"))
     assert digest(line_dedup.dedup(docs, store)) == {(*w, ) for w in brute.op8([p for p in PAIRS if p[0] != 6])} | {w for w in brute.op8([p for p in PAIRS if p[0] == 6])}
     empty = line_dedup.LineStore(spark)
@@ -83,6 +83,55 @@ def test_lines(spark, docs, none):
     assert line_dedup.dedup(none, empty).count() == 0
 
 
+def test_lines_come_and_go(spark, docs):
+    """Filters follow insertions and deletions; results are as if the store had been made at once."""
+    some = [f"line number {i} of those that many texts have" for i in range(40)]
+    rng = random.Random(3)
+    texts = [(i, "\n".join(rng.choice([" ", "", "\t"]) + rng.choice([str.upper, str])(rng.choice(some)) + rng.choice([" ", "\x0b", ""]) for _ in range(rng.randrange(12)))) for i in range(60)] + [(None, some[0]), (None, some[1]), (7, "\n\n" + some[0]), (8, some[0] + "\n")]
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    store = line_dedup.LineStore(spark, shard_keys=7)
+    held = []
+    for part, sign in ((range(0, 20), 1), (range(20, 60), 1), (range(5, 30), -1), (range(5, 12), 1)):
+        own = table.where(F.col("doc_id").isin(*part))
+        (store.insert if sign > 0 else store.delete)(own)
+        held = [x for x in held if x not in part] + (list(part) if sign > 0 else [])
+        now = [t for t in texts if t[0] in held]
+        got = line_dedup.dedup(table.where(F.col("doc_id").isin(*held)), store).select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256))
+        assert sorted(map(tuple, got.collect())) == sorted(brute_op8_rows(now))
+    files = store._made.files
+    assert len(files) > 1 and store.filters(3).files == files  # nothing changed
+
+
+def brute_op8_rows(texts):
+    """Like brute.op8, with a row for each of the rows that repeat an id."""
+    whole, out = {}, []
+    for d, t in texts:
+        whole.setdefault(d, []).append(t or "")
+    for d, own in whole.items():
+        others = [(e, "\n".join(x)) for e, x in whole.items()]
+        kept = {w[0]: w for w in brute.op8(others)}
+        if len(own) == 1:
+            out.append(kept[d])
+        else:
+            held = [(e, t) for e, t in others if e != d] + [(d, "\n".join(own))]
+            for t in own:
+                out += [w for w in brute_one(held, d, t)]
+    return out
+
+
+def brute_one(held, doc, text):
+    """What op 8 leaves of one text of a document, judged by all texts."""
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(brute.LOWER)
+    has = {}
+    for d, t in held:
+        for x in t.split("\n"):
+            if len(key(x)) >= 20:
+                has.setdefault(key(x), set()).add(d)
+    own = text.split("\n")
+    kept = [x for x in own if not (len(has.get(key(x), ())) >= 3 and max(has[key(x)]) != doc)]
+    return [(doc, len(own), len(own) - len(kept), brute.sha("\n".join(kept)))]
+
+
 def test_cuckoo():
     keys = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000)
     made = line_dedup._built(keys)
