@@ -23,7 +23,7 @@ BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it; bound the batches that they get."""
-    if spark.conf.get(BATCH_BYTES[0], "") in ("67108864b", "67108864", "64MB"):
+    if spark.conf.get(BATCH_BYTES[0]) == "67108864b":
         spark.conf.set(*BATCH_BYTES)
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -5,7 +5,7 @@ and mixes the sum with the length. Unlike a polynomial in the place, no pattern
 design; two different words or shingles get the same hash with a chance of about 2**-64 a pair, which is the only place
 where these functions aren't exact.
 
-Texts are worked on in runs of about a megabyte, a longer one alone; a run takes some fifty bytes for each of its bytes.
+Texts are worked on in runs of a quarter of a megabyte, a longer one alone; a run takes some fifty bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at
 
 
-def pieces(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets from 0) of runs of whole texts of about size bytes."""
     data, at = utf8(column)
     first, n = 0, len(at) - 1

@@ -1,6 +1,7 @@
 """Mixing sources to target weights with Sainte-Lague apportionment, in DataFrame operations only.
 
-The mix is a number of blocks of equal length in words. Sources get whole blocks by the highest quotients
+The mix is a number of blocks of equal length in words: ``block_words``, or as few (one at least) as give the smallest
+target 64 blocks, so that a source of a few words reaches its target, too. Sources get whole blocks by the highest quotients
 ``target / (2 * seats + 1)``; each source's blocks go to its shards (documents dealt by a hash, as many shards as its own rows ask for, so that a hot
 source is many) by the same rule with the shards' sizes; what a shard is too small for goes to the source's others. Inside a shard the documents stand in a
 seeded order; a quota takes the shard whole as often as it can and the rest as a run of blocks from a
@@ -9,8 +10,9 @@ seeded place on, so only the documents at a run's ends are cut.
 Highest quotients need no loop: with m parties and N seats the divisor lies between V / (N + m/2) and
 V / (N - m/2), which leaves about 3 m quotients to rank; what lies above them is counted.
 
-Defined cases: null text has size 0; a null source is a source of its own, last in order; rows of size 0
-take 0; an empty table gives an empty result; repeated rows are rows of their own; other columns are ignored.
+Defined cases: null text has size 0; a null source is a source of its own, last in order, and another one than the empty string; equal quotients
+go by the order of sources, then of shards; rows of size 0 take 0; an empty table gives an empty result; repeated rows are rows of their own, and of equal ones
+each takes the same or those earlier in the seeded order more; a very long text is one number here; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,7 +62,7 @@ def sainte_lague(parties: DataFrame, group: list[str], votes: str, seats: str) -
     return won.groupBy(*keep).agg((F.max("_sure") + F.sum("_won")).alias("quota"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17, block_words: int = 32, shard_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17, block_words: int = 32, shard_rows: int = 4_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken of each row: the words that the mix takes from it, at most ``most`` times its size."""
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
     rows = _shared.saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
@@ -68,19 +70,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     rows = rows.join(F.broadcast(shards), F.col("source").eqNullSafe(F.col("_source"))).withColumn("at", key).withColumn("shard", F.pmod("at", F.col("shards"))).drop("_source", "shards")
     cells = _shared.saved(rows.groupBy("source", "shard").agg(F.sum("size").alias("cell")), "cells")
     sources = targets(cells.groupBy("source").agg(F.sum("cell").alias("size")), weights, share, most)
-    step = float(block_words)
-    seats = sources.withColumn("tie", F.coalesce("source", F.lit(""))).withColumn("seats", F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / step).cast("long"))
-    given = sainte_lague(seats, ["seats"], "target", "seats").select("source", "source_size", "target", F.col("quota").alias("blocks"))
-    joined = cells.alias("c").join(given.alias("g"), F.expr("c.source <=> g.source")).select("c.source", "shard", "cell", "source_size", "target", "blocks").withColumn("tie", F.col("shard"))
+    every = Window.partitionBy(F.lit(0))
+    step = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))).over(every) / 64))).cast("long")
+    seats = sources.withColumn("tie", F.struct(F.col("source").isNull(), "source")).withColumn("step", F.coalesce(step, F.lit(1).cast("long"))).withColumn("seats", F.round(F.sum("target").over(every) / F.col("step")).cast("long"))
+    given = sainte_lague(seats, ["seats"], "target", "seats").select("source", "source_size", "target", "step", F.col("quota").alias("blocks"))
+    joined = cells.alias("c").join(given.alias("g"), F.expr("c.source <=> g.source")).select("c.source", "shard", "cell", "source_size", "target", "step", "blocks").withColumn("tie", F.col("shard"))
     quota = sainte_lague(joined, ["source", "blocks"], "cell", "blocks").drop("tie", "blocks")
     # what a small shard can't take of its blocks goes to its source's shards with room, the widest first
-    quota = quota.withColumn("words", F.least(F.col("quota") * block_words, F.col("cell") * most)).withColumn("room", F.col("cell") * most - F.col("words"))
+    quota = quota.withColumn("words", F.least(F.col("quota") * F.col("step"), F.col("cell") * most)).withColumn("room", F.col("cell") * most - F.col("words"))
     earlier = Window.partitionBy("source").orderBy(F.desc("room"), "shard").rowsBetween(Window.unboundedPreceding, -1)
-    over = F.sum(F.col("quota") * block_words - F.col("words")).over(Window.partitionBy("source")) - F.coalesce(F.sum("room").over(earlier), F.lit(0))
+    over = F.sum(F.col("quota") * F.col("step") - F.col("words")).over(Window.partitionBy("source")) - F.coalesce(F.sum("room").over(earlier), F.lit(0))
     quota = quota.withColumn("words", F.col("words") + F.greatest(F.lit(0), F.least(over, F.col("room"))))
     words = F.col("words")
     quota = quota.withColumn("whole", F.when(F.col("cell") > 0, F.floor(words / F.col("cell"))).otherwise(0).cast("long")).withColumn("rest", words - F.col("whole") * F.col("cell"))
-    starts = F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.greatest(F.lit(1), F.floor(F.col("cell") / block_words))) * block_words
+    starts = F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.greatest(F.lit(1), F.floor(F.col("cell") / F.col("step")))) * F.col("step")
     quota = quota.withColumn("from", F.when(F.col("cell") > 0, starts).otherwise(0).cast("long"))
     inside = Window.partitionBy("source", "shard").orderBy("at", "doc_id", "size")
     placed = rows.withColumn("end", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("size"))

@@ -152,6 +152,17 @@ def test_rare_sources_of_short_documents_reach_their_target(spark, shard_rows):
     assert all(abs(own[s] - t) <= 48 for s, (_, t) in target.items()), (own, target)
 
 
+def test_sources_of_a_few_words_reach_their_target(spark):
+    docs = [(i, "big", " ".join(["w"] * 120)) for i in range(100)] + [(500, "tiny", " ".join(["t"] * 8)), (501, "", "one two three"), (502, None, "four five six"), (502, None, "four five six")]
+    size, target = brute.op5(docs[:-1] + [(503, *docs[-1][1:])])
+    own = {}
+    for r in apportion.mix(spark.createDataFrame([(*d[:2], d[2], 1) for d in docs], "doc_id long, source string, text string, step long")).collect():
+        assert 0 <= r.taken <= 2 * r.size
+        s = next(s for d, s, _ in docs if d == r.doc_id)
+        own[s] = own.get(s, 0) + r.taken
+    assert target["tiny"][1] == 16 and all(abs(own[s] - t) <= 1 for s, (_, t) in target.items()), (own, target)
+
+
 def test_near_duplicates_go_by_row(spark):
     one, two, three, four = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
     docs = [(1, one), (1, one), (5, one + " tail"), (5, two), (None, one), (None, two), (None, three), (None, three), (None, four), (7, four), (8, ""), (8, ""), (8, None), (9, "")]
