@@ -4,15 +4,16 @@ Every benchmark item becomes windows of consecutive words (an item shorter than
 window). A window is the set of its word shingles. One pass over the documents counts how often each
 benchmark shingle occurs; shingles are then ordered by rarity. A window that must be contained to the
 share ``containment`` needs one of its ``n - ceil(containment * n) + 1`` rarest shingles, so only those are
-looked up in the second pass. A found shingle fixes where the whole window would lie (positional bound),
-which must be inside the text (length bound), and there the window's shingles are compared one by one.
+looked up in the second pass (at containment 1 that is the rarest alone, and none where it doesn't occur). A found shingle fixes
+where the whole window would lie, or between which places (positional bound), which must be inside the text (length bound), and there the
+window is compared exactly: word by word at containment 1, else by how many of its shingles stand in a stretch of text as long as the window.
 
-Benchmark shingles are kept in blocks of bounded size in the shared folder; each task reads one block
-at a time, whatever the benchmark's size, and the documents are never shuffled.
+Windows are made, ordered and kept in tasks, in blocks of ``block_items`` items in the shared folder; the driver only has the blocks' numbers. A task
+holds a batch of texts and one block at a time, whatever the benchmark's size, and the documents are never shuffled.
 
 Defined cases: a null or empty text has no words and is clean; a null or empty item has no window; a null
-item_id is listed as the empty string; repeated rows are judged one by one, repeated item_ids count once;
-other columns, whatever their names, are kept by ``clean`` and ignored by ``annotate``.
+item_id is listed as the empty string; repeated rows are judged one by one, repeated item_ids count once; a very long text
+is a batch of its own; other columns, whatever their names, are kept by ``clean`` and ignored by ``annotate``.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import io
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,134 +34,175 @@ from . import _shared, _words
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def _windows(ids: list, texts: list, size: int, k: int) -> dict[str, np.ndarray] | None:
-    """The windows of some items: item number, length in words, and the shingles of each as rows of a CSR array."""
-    column = pa.array(texts, pa.large_string())
-    found: list[list] = [[], [], [], []]
-    for lo, _, data, at in _words.pieces(column):
+def _windows(ids: list, texts: pa.Array, size: int, k: int) -> dict[str, np.ndarray] | None:
+    """The windows of some items: item number, words, shingle width, and the first and number of their shingles among those of all items."""
+    found: list[list] = [[], [], [], [], []]
+    grams, n = [], 0
+    for lo, _, data, at in _words.pieces(texts):
         hashed, _, _, bounds = _words.words(data, at, _words.ALNUM)
-        for i in range(len(bounds) - 1):
+        for i in np.flatnonzero(np.diff(bounds)):
             own = hashed[bounds[i] : bounds[i + 1]]
-            if not len(own):
-                continue
             m = min(size, len(own))
-            width = min(k, m)
-            grams = _words.shingles(own, width)
-            for s in range(len(own) - m + 1):
-                found[0].append(lo + i)
-                found[1].append(m)
-                found[2].append(width)
-                found[3].append(grams[s : s + m - width + 1])
-    if not found[0]:
+            width, many = min(k, m), len(own) - m + 1
+            grams.append(_words.shingles(own, width))
+            for column, value in zip(found, (lo + i, m, width, n + np.arange(many), m - width + 1)):
+                column.append(np.broadcast_to(value, many))
+            n += len(grams[-1])
+    if not grams:
         return None
-    return {
-        "item": np.array(found[0]), "words": np.array(found[1]), "width": np.array(found[2]),
-        "start": np.concatenate(([0], np.cumsum([len(x) for x in found[3]]))), "gram": np.concatenate(found[3]),
-        "ids": np.array(["" if x is None else str(x) for x in ids]),
-    }
+    item, words, width, start, count = (np.concatenate(x).astype(np.int64) for x in found)
+    return {"item": item, "words": words, "width": width, "start": start, "count": count, "gram": np.concatenate(grams), "ids": np.array(["" if x is None else str(x) for x in ids])}
 
 
 class Index:
     """Benchmark windows in blocks in the shared folder, with the shingles to look up first in each."""
 
     def __init__(self, spark, bench: DataFrame, docs: DataFrame, item_col: str = "item_id", bench_text: str = "text", text_col: str = "text", window: int = 13, shingle: int = 5, containment: float = 1.0, block_items: int = 50_000):
-        self.path, self.containment, self.n_blocks = _shared.shared_dir(spark, "benchmark"), containment, 0
-        ids: list = []
-        texts: list = []
-
-        def flush() -> None:
-            if (block := _windows(ids, texts, window, shingle)) is not None:
-                self._store(self.n_blocks, block)
-                self.n_blocks += 1
-            ids.clear()
-            texts.clear()
-
-        for row in bench.select(F.col(item_col).alias("i"), F.col(bench_text).cast("string").alias("t")).toLocalIterator():
-            ids.append(row["i"])
-            texts.append(row["t"])
-            if len(ids) >= block_items:
-                flush()
-        flush()
-        self._order_by_rarity(docs, text_col)
-
-    def _store(self, n: int, block: dict) -> None:
-        out = io.BytesIO()
-        np.savez(out, **block)
-        _shared.put(f"{self.path}/{n}.npz", out.getvalue())
-
-    def block(self, n: int) -> dict[str, np.ndarray]:
-        return dict(np.load(io.BytesIO(_shared.get(f"{self.path}/{n}.npz"))))
-
-    def _order_by_rarity(self, docs: DataFrame, text_col: str) -> None:
+        self.containment = containment
+        folder = _shared.shared_dir(spark, "benchmark")
+
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, block_items):
+                    some = batch.slice(lo, block_items)
+                    if (block := _windows(some.column(0).to_pylist(), some.column(1), window, shingle)) is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([_store(folder, block)])], names=["file"])
+
+        items = bench.select(F.col(item_col).cast("string").alias("i"), F.col(bench_text).cast("string").alias("t"))
+        made = _shared.saved(items.repartition(max(1, -(-items.count() // block_items))).mapInArrow(_shared.lean(make), "file string"), "windows")
+        #: one name for each block that the documents hold shingles of
+        self.files = self._order_by_rarity(docs, text_col, [r["file"] for r in made.collect()], folder)
+
+    def _order_by_rarity(self, docs: DataFrame, text_col: str, files: list[str], folder: str) -> list[str]:
         """Count the benchmark's shingles over all documents, then keep each window's rarest ones as its prefix."""
-        me = self
-        blocks = range(self.n_blocks)
+        containment = self.containment
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys = [np.unique(me.block(n)["gram"]) for n in blocks]
-            widths = [np.unique(me.block(n)["width"]) for n in blocks]
-            totals = [np.zeros(len(x), np.int64) for x in keys]
+            cache: dict = {}
             for batch in batches:
-                for _, _, data, at in _words.pieces(batch.column(0)):
-                    hashed = _words.words(data, at, _words.ALNUM)[0]
-                    for own, total, kinds in zip(keys, totals, widths):
-                        for width in kinds:
+                texts = [_words.words(data, at, _words.ALNUM)[0] for _, _, data, at in _words.pieces(batch.column(0))]
+                for n, file in enumerate(files):
+                    block = _block(cache, file, len(files))
+                    if "own" not in block:
+                        block["own"], block["widths"] = np.unique(block["gram"]), np.unique(block["width"])
+                    own, total = block["own"], np.zeros(len(block["own"]), np.int64)
+                    for hashed in texts:
+                        for width in block["widths"]:
                             grams = _words.shingles(hashed, int(width))
                             where = np.searchsorted(own, grams)
                             where[where == len(own)] = 0
                             total += np.bincount(where[own[where] == grams], minlength=len(own))
-            for own, total in zip(keys, totals):
-                some = total > 0
-                yield pa.RecordBatch.from_arrays([pa.array(own[some].view(np.int64)), pa.array(total[some])], names=["gram", "n"])
-
-        counts = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        if self.n_blocks > 1:
-            counts = _shared.saved(counts, "rarity")
-        for n in blocks:
-            block = self.block(n)
-            keys = np.unique(block["gram"])
-            if self.n_blocks > 1:
-                own = docs.sparkSession.createDataFrame(pa.table({"gram": keys.view(np.int64)}).to_pandas())
-                got = counts.join(own, "gram", "left_semi").toArrow()
-            else:
-                got = counts.toArrow()  # of one block's shingles at most
-            rank = np.zeros(len(keys), np.int64)
-            rank[np.searchsorted(keys, got["gram"].to_numpy().view(np.uint64))] = got["n"].to_numpy()
-            freq = rank[np.searchsorted(keys, block["gram"])]
+                    some = total > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(np.count_nonzero(some), n, np.int32)), pa.array(own[some].view(np.int64)), pa.array(total[some])], names=["block", "gram", "n"])
+
+        def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, held = None, []
+            for batch in batches:
+                block = batch.column(0).to_numpy()
+                for n in np.unique(block):
+                    if n != now and held:
+                        yield pa.RecordBatch.from_arrays([pa.array([_prefixes(files[now], held)])], names=["file"])
+                        held = []
+                    now = int(n)
+                    held.append(batch.filter(pa.array(block == n)))
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array([_prefixes(files[now], held)])], names=["file"])
+
+        def _prefixes(file: str, counts: list[pa.RecordBatch]) -> str:
+            """The block with the keys of its windows: the rarest shingles, as many as a contained window has one of."""
+            block = _load(file)
+            key = np.concatenate([c.column(1).to_numpy() for c in counts]).view(np.uint64)
+            n = np.concatenate([c.column(2).to_numpy() for c in counts])
+            by = np.argsort(key)
+            key, n = key[by], n[by]
+            where = np.minimum(np.searchsorted(key, block["gram"]), len(key) - 1)
+            freq = np.where(key[where] == block["gram"], n[where], 0)
             gram, window, offset = [], [], []
-            for w, (a, b) in enumerate(zip(block["start"][:-1], block["start"][1:])):
-                need = (b - a) - math.ceil(self.containment * (b - a)) + 1
-                for j in np.lexsort((block["gram"][a:b], freq[a:b]))[:need]:
-                    gram.append(block["gram"][a + j])
-                    window.append(w)
-                    offset.append(j)
-            order = np.argsort(np.array(gram, np.uint64), kind="stable")
-            self._store(n, block | {"key": np.array(gram, np.uint64)[order], "key_window": np.array(window)[order], "key_offset": np.array(offset)[order]})
+            for size in np.unique(block["count"]):
+                own = np.flatnonzero(block["count"] == size)
+                at = block["start"][own][:, None] + np.arange(size)
+                value, count_ = block["gram"][at], freq[at]
+                if containment < 1:  # a set has a shingle once
+                    by_value = np.argsort(value, axis=1, kind="stable")
+                    again = np.zeros(value.shape, bool)
+                    ordered = np.take_along_axis(value, by_value, 1)
+                    np.put_along_axis(again, by_value[:, 1:], ordered[:, 1:] == ordered[:, :-1], 1)
+                    count_ = np.where(again, np.iinfo(np.int64).max, count_)
+                    distinct = size - again.sum(1)
+                else:
+                    distinct = np.full(len(own), size)
+                need = distinct - np.ceil(containment * distinct - 1e-9).astype(np.int64) + 1
+                rare = np.lexsort((value, count_), axis=1)
+                place = np.take_along_axis(at, rare, 1)
+                some = (np.arange(size) < need[:, None]) & (freq[place] > 0)
+                gram.append(block["gram"][place][some])
+                window.append(np.broadcast_to(own[:, None], rare.shape)[some])
+                offset.append(rare[some])
+            gram, window, offset = (np.concatenate(x) for x in (gram, window, offset))
+            by = np.argsort(gram, kind="stable")
+            return _store(folder, block | {"key": gram[by], "key_window": window[by], "key_offset": offset[by]})
+
+        counted = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(_shared.lean(count), "block int, gram long, n long").groupBy("block", "gram").agg(F.sum("n").alias("n"))
+        ordered = counted.repartition(max(1, len(files)), "block").sortWithinPartitions("block").mapInArrow(_shared.lean(order), "file string")
+        return sorted(r["file"] for r in _shared.saved(ordered, "prefixes").collect())
+
+
+def _store(folder: str, block: dict) -> str:
+    out = io.BytesIO()
+    np.savez(out, **block)
+    _shared.put(file := f"{folder}/{uuid.uuid4().hex}.npz", out.getvalue())
+    return file
+
+
+def _load(file: str) -> dict[str, np.ndarray]:
+    return dict(np.load(io.BytesIO(_shared.get(file))))
+
+
+def _block(cache: dict, file: str, files: int) -> dict[str, np.ndarray]:
+    """A block; a task keeps the one it read last."""
+    if file not in cache:
+        cache.clear()
+        cache[file] = _load(file)
+    return cache[file]
 
 
 def _find(block: dict, hashed: np.ndarray, bounds: np.ndarray, containment: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, length, item) of each window that occurs."""
-    found: list[tuple] = []
     text_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    grams = {int(w): _words.shingles(hashed, int(w)) for w in np.unique(block["width"])}
-    for width, own in grams.items():
+    out = [np.zeros((3, 0), np.int64)]
+    for width in np.unique(block["width"]).tolist():
+        own = _words.shingles(hashed, width)
         lo, hi = np.searchsorted(block["key"], own), np.searchsorted(block["key"], own, "right")
         if not len(hits := np.flatnonzero(hi > lo)):
             continue
         many = (hi - lo)[hits]
-        entry = np.repeat(lo[hits] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-        window = block["key_window"][entry]
-        first = np.repeat(hits, many) - block["key_offset"][entry]
+        entry = np.repeat(lo[hits] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        window, place = block["key_window"][entry], np.repeat(hits, many)
+        if containment < 1:  # the shingle may be any of those of the stretch
+            size = block["count"][window]
+            first = np.repeat(place - size + 1, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            window = np.repeat(window, size)
+        else:
+            first = place - block["key_offset"][entry]
         m = block["words"][window]
         fits = (block["width"][window] == width) & (first >= 0) & (first + m <= len(hashed))
         window, first, m = window[fits], first[fits], m[fits]
-        fits = text_of[first] == text_of[first + m - 1] if len(first) else np.zeros(0, bool)
+        fits = text_of[first] == text_of[first + m - 1]
         window, first = np.unique(np.stack([window[fits], first[fits]]), axis=1) if fits.any() else (window[:0], first[:0])
-        for w, s in zip(window, first):
-            want = block["gram"][block["start"][w] : block["start"][w + 1]]
-            if np.count_nonzero(own[s : s + len(want)] == want) >= math.ceil(containment * len(want)):
-                found.append((s, block["words"][w], block["item"][w]))
-    return tuple(np.array(found, np.int64).reshape(-1, 3).T)
+        if not len(window):
+            continue
+        for size in np.unique(block["count"][window]):
+            w, s = (x[block["count"][window] == size] for x in (window, first))
+            for a in range(0, len(w), 100_000):
+                some, at = w[a : a + 100_000], s[a : a + 100_000]
+                want, have = block["gram"][block["start"][some][:, None] + np.arange(size)], own[at[:, None] + np.arange(size)]
+                if containment < 1:
+                    sets = [set(x) for x in want.tolist()]
+                    same = np.array([len(x & set(y)) >= math.ceil(containment * len(x) - 1e-9) for x, y in zip(sets, have.tolist())], bool)
+                else:
+                    same = (want == have).all(1)
+                out.append(np.stack([at[same], block["words"][some[same]], block["item"][some[same]]]))
+    return tuple(np.concatenate(out, axis=1))
 
 
 _NO_ITEMS = hashlib.sha256(b"").hexdigest()
@@ -167,23 +210,22 @@ _NO_ITEMS = hashlib.sha256(b"").hexdigest()
 
 def _judge(index: Index, cache: dict, column: pa.Array, share: int) -> Iterator[tuple]:
     """(n_words, n_hit, n_items, items_sha256, contaminated) of each text."""
+    texts = []
     for _, _, data, at in _words.pieces(column):
         hashed, _, _, bounds = _words.words(data, at, _words.ALNUM)
-        n = len(bounds) - 1
-        delta = np.zeros(len(hashed) + 1, np.int64)
-        items: dict[int, set[str]] = {}
-        for b in range(index.n_blocks):
-            if index.n_blocks > 1 or b not in cache:
-                cache.clear()
-                cache[b] = index.block(b)
-            first, m, item = _find(cache[b], hashed, bounds, index.containment)
+        texts.append((hashed, bounds, np.zeros(len(hashed) + 1, np.int64), {}))
+    for file in index.files:
+        block = _block(cache, file, len(index.files))
+        for hashed, bounds, delta, items in texts:
+            first, m, item = _find(block, hashed, bounds, index.containment)
             np.add.at(delta, first, 1)
             np.add.at(delta, first + m, -1)
-            for text, i in zip(np.searchsorted(bounds, first, "right") - 1, item):
-                items.setdefault(int(text), set()).add(str(cache[b]["ids"][i]))
+            for text, i in np.unique(np.stack([np.searchsorted(bounds, first, "right") - 1, item]), axis=1).T.tolist():
+                items.setdefault(text, set()).add(str(block["ids"][i]))
+    for _, bounds, delta, items in texts:
         hit = np.concatenate(([0], np.cumsum(np.cumsum(delta[:-1]) > 0)))
         n_words, n_hit = np.diff(bounds), np.diff(hit[bounds])
-        for i in range(n):
+        for i in range(len(bounds) - 1):
             own = sorted(items.get(i, ()))
             digest = hashlib.sha256(",".join(own).encode()).hexdigest() if own else _NO_ITEMS
             yield int(n_words[i]), int(n_hit[i]), len(own), digest, bool(n_hit[i] > 0 and share * n_hit[i] >= n_words[i])
@@ -199,7 +241,7 @@ def annotate(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: st
             rows = list(zip(*_judge(index, cache, batch.column(1), share))) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, {RESULT}")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_shared.lean(run), f"doc_id {kind}, {RESULT}")
 
 
 def clean(docs: DataFrame, index: Index, text_col: str = "text", share: int = 20) -> DataFrame:
@@ -211,4 +253,4 @@ def clean(docs: DataFrame, index: Index, text_col: str = "text", share: int = 20
         for batch in batches:
             yield batch.filter(pa.array([not row[4] for row in _judge(index, cache, batch.column(at), share)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(_shared.lean(run), docs.schema)

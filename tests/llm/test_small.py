@@ -1,5 +1,6 @@
 """Odd tables: nulls, empty and very long texts, ties, repeated rows, empty tables, extra columns."""
 
+import math
 import random
 
 import brute
@@ -61,6 +62,36 @@ def test_partial_containment(spark, docs):
     assert {r.doc_id for r in got.collect()} == {7, 8}
 
 
+def test_containment_is_of_sets(spark):
+    """Against all stretches of a text that are as long as an item's window."""
+    rng, vocabulary = random.Random(11), [f"v{i}" for i in range(9)]
+    items = [" ".join(rng.choices(vocabulary, k=rng.randrange(1, 14))) for _ in range(12)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(0, 60))) for _ in range(40)]
+    texts += [" ".join((w := items[i % 12].split())[:4] + [rng.choice(vocabulary)] + w[5:]) for i in range(12)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    size, k, share = 8, 2, 0.6
+
+    def grams(w, n):
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    want = {}
+    for d, t in enumerate(texts):
+        w, hit, found = t.split(), set(), set()
+        for item, own in enumerate(items):
+            own = own.split()
+            m = min(size, len(own))
+            for s in range(len(own) - m + 1):
+                need = grams(own[s : s + m], min(k, m))
+                for i in range(len(w) - m + 1):
+                    if len(need & grams(w[i : i + m], min(k, m))) >= math.ceil(share * len(need) - 1e-9):
+                        hit |= set(range(i, i + m))
+                        found.add(item)
+        want[d] = (len(w), len(hit), len(found))
+    got = decontaminate.annotate(docs, decontaminate.Index(spark, bench, docs, window=size, shingle=k, containment=share, block_items=5))
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in got.collect()} == want and any(w[2] for w in want.values())
+
+
 def test_license(spark, docs, none):
     got = license_join.scan(docs, license_join.Templates(docs))
     assert rows(got, "doc_id n_words n_base first_word last_word base_labels") == brute.op6(PAIRS)
