@@ -46,6 +46,8 @@ TEMPLATES = [
 ]
 #: Templates that name no such words and have fewer distinct tokens than this need all of them.
 SHORT = 10
+#: Share of a template's words that a block must hold.
+CONTAINMENT = 0.8
 MAX_TEMPLATE_BYTES = 16 << 20
 NAMES = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
@@ -59,7 +61,7 @@ def _hashes(text: str) -> np.ndarray:
 class Templates:
     """Phrases and templates with the tokens to look up first."""
 
-    def __init__(self, docs: DataFrame, text_col: str = "text", phrases: dict[str, str] | None = None, templates: list[tuple] | None = None, containment: float = 0.8):
+    def __init__(self, docs: DataFrame, text_col: str = "text", phrases: dict[str, str] | None = None, templates: list[tuple] | None = None, containment: float = CONTAINMENT):
         phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
         if sum(len(x) for x in [*phrases, *(t[1] for t in templates)]) > MAX_TEMPLATE_BYTES:
             raise ValueError("more templates than a task may hold: scan with parts of them and join the results")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _shared, apportion, chat_tree, decontaminate, huffman, license_join, line_dedup, mih, ngram_join, toxic_grammar, warc_index
+from .oracles import ORACLES
 
 CONTROL_CONVERSATION = "</s>[INST] ok [/INST]"
 
@@ -83,18 +84,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_capture_index, op2_decontaminate, op3_chat_tree, op4_huffman_tokens, op5_sainte_lague, op6_license_join, op7_toxic_grammar, op8_line_dedup, op9_ngram_join, op10_multi_index, pipeline)}
 
-ORACLES = {
-    "op1_capture_index": """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, sha256(coalesce(html, '')) AS digest FROM pages),
-f AS (SELECT digest, min(page_id) AS first FROM p WHERE octet_length(body) >= 100 GROUP BY digest)
-SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
-  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
-FROM p LEFT JOIN f ON p.digest = f.digest""",
-    "op8_line_dedup": r"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
-k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-r AS (SELECT key, max(doc_id) AS last_doc FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
-m AS (SELECT k.doc_id, n, line, coalesce(k.doc_id <> last_doc, false) AS gone FROM k LEFT JOIN r ON k.key = r.key)
-SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id""",
-}
+__all__ = ["ORACLES", "QUERIES"]
