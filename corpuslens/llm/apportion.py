@@ -29,6 +29,11 @@ def word_count(text: Column) -> Column:
     return F.when(F.coalesce(single, F.lit("")) == "", F.lit(0)).otherwise(F.length(single) - F.length(F.replace(single, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
+def _seeded(*columns: Column) -> Column:
+    """A number from 0 up to 2**60 that follows from the columns' values; null ones are left out."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(c.cast("string") for c in columns)).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
     """Target words of each source: share of all words by weight, none above most times its own, the excess dealt on by weight.
 
@@ -64,7 +69,7 @@ def sainte_lague(parties: DataFrame, group: list[str], votes: str, seats: str) -
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17, block_words: int = 32, shard_rows: int = 4_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken of each row: the words that the mix takes from it, at most ``most`` times its size."""
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
+    key = _seeded(F.lit(seed), F.col("doc_id"), F.col("size"))
     rows = _shared.saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
     shards = rows.groupBy(F.col("source").alias("_source")).agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"))
     rows = rows.join(F.broadcast(shards), F.col("source").eqNullSafe(F.col("_source"))).withColumn("at", key).withColumn("shard", F.pmod("at", F.col("shards"))).drop("_source", "shards")
@@ -83,7 +88,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     quota = quota.withColumn("words", F.col("words") + F.greatest(F.lit(0), F.least(over, F.col("room"))))
     words = F.col("words")
     quota = quota.withColumn("whole", F.when(F.col("cell") > 0, F.floor(words / F.col("cell"))).otherwise(0).cast("long")).withColumn("rest", words - F.col("whole") * F.col("cell"))
-    starts = F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.greatest(F.lit(1), F.floor(F.col("cell") / F.col("step")))) * F.col("step")
+    starts = F.pmod(_seeded(F.lit(seed), F.col("source"), F.col("shard")), F.greatest(F.lit(1), F.floor(F.col("cell") / F.col("step")))) * F.col("step")
     quota = quota.withColumn("from", F.when(F.col("cell") > 0, starts).otherwise(0).cast("long"))
     inside = Window.partitionBy("source", "shard").orderBy("at", "doc_id", "size")
     placed = rows.withColumn("end", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("size"))

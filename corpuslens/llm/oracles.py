@@ -55,6 +55,41 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_ag
 FROM l GROUP BY conv_id"""
 
 
+def _seeded(*columns: str) -> str:
+    return f"CAST('0x' || left(md5(concat_ws(':', 17, {', '.join(columns)})), 15) AS BIGINT)"
+
+
+def _quotients(parties: str, group: str, votes: str, seats: str, tie: str) -> str:
+    """Seats by highest quotients, one by one."""
+    return f"""SELECT *, (SELECT count(*) FROM (SELECT {group} AS grp, me, row_number() OVER (PARTITION BY {group} ORDER BY {votes} / (2 * seat + 1) DESC, {tie}, seat) AS r, {seats} AS n FROM
+  (SELECT *, unnest(range(0, CAST({seats} AS BIGINT))) AS seat FROM {parties} WHERE {votes} > 0)) q WHERE q.r <= q.n AND q.me = p.me) AS quota FROM {parties} p"""
+
+
+OP5 = f"""
+WITH d AS (SELECT doc_id, source, CAST(len({_words("text", SOLID)}) AS BIGINT) AS size FROM documents),
+sz AS (SELECT source, sum(size) AS size, CAST(ceil(count(*) / 4000) AS BIGINT) AS shards FROM d GROUP BY source),
+wt AS (SELECT *, list_extract([3.0, 1.0, 2.0], (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::DOUBLE AS weight, CAST(size * 2 AS DOUBLE) AS cap FROM sz),
+lv AS (SELECT *, cap / weight AS ratio, (1.5 * sum(size) OVER () - coalesce(sum(cap) OVER o, 0.0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0.0)) AS level FROM wt
+  WINDOW o AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+fr AS (SELECT *, (SELECT level FROM lv WHERE ratio > level ORDER BY ratio, level LIMIT 1) AS free FROM lv),
+tg AS (SELECT source, size AS source_size, shards, CASE WHEN free IS NULL OR ratio <= free THEN cap ELSE free * weight END AS target FROM fr),
+st AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS me, greatest(1, least(32, floor(min(target) FILTER (WHERE target > 0) OVER () / 64)))::BIGINT AS step, sum(target) OVER () AS total FROM tg),
+se AS (SELECT *, CAST(round(total / step) AS BIGINT) AS seats FROM st),
+gv AS ({_quotients("se", "1", "target", "seats", "me")}),
+r AS (SELECT d.*, {_seeded("doc_id", "d.size")} AS place, {_seeded("doc_id", "d.size")} % shards AS shard FROM d JOIN sz ON d.source IS NOT DISTINCT FROM sz.source),
+ce AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS cell FROM r GROUP BY source, shard),
+jo AS (SELECT ce.source, shard, cell, source_size, target, step, quota AS blocks, gv.me AS src, row_number() OVER () AS me FROM ce JOIN gv ON ce.source IS NOT DISTINCT FROM gv.source),
+qu AS ({_quotients("jo", "src", "cell", "blocks", "shard")}),
+wo AS (SELECT *, least(quota * step, cell * 2) AS words, cell * 2 - least(quota * step, cell * 2) AS room FROM qu),
+ov AS (SELECT *, sum(quota * step - words) OVER (PARTITION BY src) - coalesce(sum(room) OVER (PARTITION BY src ORDER BY room DESC, shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over_ FROM wo),
+wd AS (SELECT *, CAST(words + greatest(0, least(over_, room)) AS BIGINT) AS w FROM ov),
+fi AS (SELECT *, CASE WHEN cell > 0 THEN w // cell ELSE 0 END AS whole, CASE WHEN cell > 0 THEN w % cell ELSE w END AS rest, CASE WHEN cell > 0 THEN {_seeded("source", "shard")} % greatest(1, cell // step) * step ELSE 0 END AS lo FROM wd),
+pl AS (SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) AS z FROM r)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+  CAST(whole * size + greatest(0, least(z, least(lo + rest, cell)) - greatest(z - size, lo)) + greatest(0, least(z, greatest(0, lo + rest - cell)) - (z - size)) AS BIGINT) AS taken
+FROM pl JOIN fi ON pl.source IS NOT DISTINCT FROM fi.source AND pl.shard = fi.shard"""
+
+
 def _list(values) -> str:
     return "[" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in values) + "]"
 
@@ -111,4 +146,4 @@ reach(a, b) AS (SELECT DISTINCT a, a FROM e UNION SELECT reach.a, e.b FROM reach
 m AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
-ORACLES = {"op1_capture_index": OP1, "op2_decontaminate": OP2, "op3_chat_tree": OP3, "op6_license_join": op6(), "op8_line_dedup": OP8, "op9_ngram_join": OP9}
+ORACLES = {"op1_capture_index": OP1, "op2_decontaminate": OP2, "op3_chat_tree": OP3, "op5_sainte_lague": OP5, "op6_license_join": op6(), "op8_line_dedup": OP8, "op9_ngram_join": OP9}
