@@ -67,10 +67,12 @@ def sainte_lague(parties: DataFrame, group: list[str], votes: str, seats: str) -
     return won.groupBy(*keep).agg((F.max("_sure") + F.sum("_won")).alias("quota"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17, block_words: int = 32, shard_rows: int = 4_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken of each row: the words that the mix takes from it, at most ``most`` times its size."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17, block_words: int = 32, shard_rows: int = 4_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken of each row: the words that the mix takes from it, at most ``most`` times its size.
+
+    carry: a column of docs to keep as ``carried``."""
     key = _seeded(F.lit(seed), F.col("doc_id"), F.col("size"))
-    rows = _shared.saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    rows = _shared.saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *([F.col(carry).alias("carried")] if carry else [])), "sizes")
     shards = rows.groupBy(F.col("source").alias("_source")).agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"))
     rows = rows.join(F.broadcast(shards), F.col("source").eqNullSafe(F.col("_source"))).withColumn("at", key).withColumn("shard", F.pmod("at", F.col("shards"))).drop("_source", "shards")
     cells = _shared.saved(rows.groupBy("source", "shard").agg(F.sum("size").alias("cell")), "cells")
@@ -92,8 +94,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     quota = quota.withColumn("from", F.when(F.col("cell") > 0, starts).otherwise(0).cast("long"))
     inside = Window.partitionBy("source", "shard").orderBy("at", "doc_id", "size")
     placed = rows.withColumn("end", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("size"))
-    both = placed.alias("r").join(quota.alias("q"), F.expr("r.source <=> q.source AND r.shard = q.shard")).select("doc_id", "size", "source_size", "target", "cell", "whole", "rest", "from", "start", "end")
+    kept = ["carried"] if carry else []
+    both = placed.alias("r").join(quota.alias("q"), F.expr("r.source <=> q.source AND r.shard = q.shard")).select(*kept, "doc_id", "size", "source_size", "target", "cell", "whole", "rest", "from", "start", "end")
     stop = F.col("from") + F.col("rest")
     overlap = lambda a, b: F.greatest(F.lit(0), F.least("end", b) - F.greatest("start", a))
     taken = F.col("whole") * F.col("size") + overlap(F.col("from"), F.least(stop, F.col("cell"))) + overlap(F.lit(0), F.greatest(F.lit(0), stop - F.col("cell")))
-    return both.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", taken.cast("long").alias("taken"))
+    return both.select(*kept, "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", taken.cast("long").alias("taken"))

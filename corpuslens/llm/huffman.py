@@ -26,7 +26,7 @@ an empty table gives no file; a very long text is a piece of work of its own and
 from __future__ import annotations
 
 import io
-import json
+import os
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -42,8 +42,8 @@ from . import _shared, _words
 
 MAGIC = np.uint32(0x48554631)
 LIMIT, MOST, TABLE, EVERY = 16, 24, 16, 128
-#: Bytes of text whose pieces share a dictionary, and pieces that a worker remembers (some 45 MB); they bound memory only.
-RUN, CACHED = 16 << 20, 1_000_000
+#: Bytes of text whose pieces share a dictionary, and pieces that a worker remembers (some 25 MB); they bound memory only.
+RUN, CACHED = 4 << 20, 500_000
 _encoders: dict[str, _Encoder] = {}
 #: First bytes of white space that isn't ASCII, and all such characters.
 _WIDE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
@@ -73,18 +73,21 @@ class _Encoder:
     """A tokenizer; pieces says whether texts may be cut before words."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
-
-        self.made = Tokenizer.from_file(path)
-        told = json.loads(self.made.to_str())
-        before, size = told.get("pre_tokenizer") or {}, self.made.get_vocab_size()
-        self.pieces = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) and not any(told.get(k) for k in ("normalizer", "truncation", "padding")) and not told["model"].get("dropout")
-        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
-        self.added = [x["content"] for x in told.get("added_tokens", [])]
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.made = made = Tokenizer.from_file(path)
+        before = made.pre_tokenizer
+        self.pieces = isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space and not any((made.normalizer, made.truncation, made.padding, getattr(made.model, "dropout", None)))
+        self.added = [x.content for x in made.get_added_tokens_decoder().values()]
+        vocabulary = made.get_vocab()
+        self.kind = np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32
         # in the byte-level alphabet a leading space is this letter; only the first token of a piece has it
-        self.leads = np.zeros(max(self.made.get_vocab().values(), default=0) + 1, bool)
-        for token, i in self.made.get_vocab().items():
-            self.leads[i] = token.startswith("\u0120")
+        self.leads = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.leads[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        del vocabulary
+        _shared.trim()
         self.known, self.ids, self.of = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def alone(self, texts: list[str]) -> list[np.ndarray]:
@@ -373,6 +376,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "
             for lo, hi, _, _ in _words.pieces(batch.column(1), RUN):
                 ids, n = encode_texts(batch.column(1).slice(lo, hi - lo), tokenizer_path, end_id)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(np.full(len(n), ids.itemsize, np.int32)), _binary(ids.tobytes(), n * ids.itemsize)], names=["doc_id", "n_tokens", "width", "ids"])
+                _shared.trim()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     raw_path = f"{path}/raw"
