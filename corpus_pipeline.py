@@ -28,13 +28,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         lost = ngram_join.join(docs, ngram_join.Sets(**NEAR)).where("doc_id <> component_id").select("doc_id")
         return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    keyed = docs.withColumn("_row", row)
-    found = _shared.saved(ngram_join.join(keyed, ngram_join.Sets(**NEAR), "_row").withColumnRenamed("doc_id", "_row"), "classes")
-    left = keyed.join(found.where(~F.col("_row").eqNullSafe(F.col("component_id"))).select("_row"), "_row", "left_anti")
-    again = _shared.saved(found.groupBy("_row").count().where("count > 1").select("_row"), "repeated")
+    keyed = docs.select(F.struct("*").alias("doc"), row.alias("row"), F.col("text").alias("text"))
+    found = _shared.saved(ngram_join.join(keyed, ngram_join.Sets(**NEAR), "row").withColumnRenamed("doc_id", "row"), "classes")
+    left = keyed.join(found.where(~F.col("row").eqNullSafe(F.col("component_id"))).select("row"), "row", "left_anti")
+    again = _shared.saved(found.groupBy("row").count().where("count > 1").select("row"), "repeated")
     if not again.isEmpty():
-        left = left.join(again, "_row", "left_anti").unionByName(left.join(again, "_row", "left_semi").dropDuplicates(["_row"]))
-    return left.select(*docs.columns)
+        left = left.join(again, "row", "left_anti").unionByName(left.join(again, "row", "left_semi").dropDuplicates(["row"]))
+    return left.select("doc.*")
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +44,12 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole number (0, 1 or 2)."""
+    """Each document as often as the mix takes it, to the nearest whole number (0, 1 or 2); rows go by id and text, as ids may be missing or repeated."""
     _shared.ready(spark)
-    times = apportion.mix(docs).where("size > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_n"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_times")).where("_times > 0").groupBy("_id", "_n").agg(F.max("_times").alias("_times"))
-    sized = docs.withColumn("_size", apportion.word_count(F.col("text")))
-    repeated = sized.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_n"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return repeated.select(*docs.columns)
+    keyed = docs.select(F.struct("*").alias("doc"), F.struct(F.col("doc_id"), F.xxhash64("text").alias("hash")).alias("row"))
+    taken = apportion.mix(keyed.select("row", "doc.doc_id", "doc.source", "doc.text"), carry="row").where("size > 0")
+    times = taken.groupBy(F.col("carried").alias("row")).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")).alias("times")).where("times > 0")
+    return keyed.join(times, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
