@@ -11,7 +11,7 @@ exactly, rarest token first, and a block is left as soon as the remaining tokens
 (positional filter). Templates that are phrases must stand consecutively: their rarest token fixes the
 only place to look at.
 
-Defined cases: null and empty texts have no words, no labels and score 0; repeated rows are scored one by one;
+Defined cases: null and empty texts have no words, no labels and score 0; repeated rows are scored one by one; a very long text is worked on alone;
 other columns are ignored; an empty table gives an empty result. The templates are a parameter; their total
 size is checked, as every task holds them.
 """
@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _words
+from . import _shared, _words
 
 #: phrase -> label
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Statements that mark a license, as they are commonly written, and what a block must hold of them as it stands (one of the
+#: Statements and paragraphs that mark a license, as they are commonly written, and what a block must hold of them as it stands (one of the
 #: phrases between | each), as other licenses are worded alike.
 TEMPLATES = [
     ("mit", "Released under the MIT License.", ["mit"]),
@@ -43,6 +43,15 @@ TEMPLATES = [
     ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", ["gnu general public license"]),
     ("bsd-3", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", []),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["sharealike|share alike"]),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ["substantial portions"]),
+    ("mit", 'The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.', ["noninfringement"]),
+    ("apache-2", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', ["apache license", "2"]),
+    ("apache-2", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "as is" basis, without warranties or conditions of any kind, either express or implied.', ["warranties or conditions of any kind"]),
+    ("bsd-3", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ["endorse or promote"]),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", ["mozilla public license"]),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ["with or without fee"]),
+    ("unlicense", "This is free and unencumbered software released into the public domain.", ["unencumbered"]),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", ["waived"]),
 ]
 #: Templates that name no such words and have fewer distinct tokens than this need all of them.
 SHORT = 10
@@ -86,7 +95,7 @@ class Templates:
 
         self.freq = np.zeros(len(tokens), np.int64)
         if len(tokens):
-            for row in docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():  # as many rows as the templates have tokens
+            for row in docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(_shared.lean(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():  # as many rows as the templates have tokens
                 self.freq[row["token"]] = row["n"]
         #: tokens by rank: rarest first
         rank = np.empty(len(tokens), np.int64)
@@ -170,4 +179,4 @@ def scan(docs: DataFrame, templates: Templates, id_col: str = "doc_id", text_col
             rows = list(zip(*_scan(templates, batch.column(1)))) or [[]] * len(NAMES)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(rows, TYPES))], names=["doc_id", *NAMES])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_shared.lean(run), f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

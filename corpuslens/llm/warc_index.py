@@ -1,14 +1,15 @@
 """WARC archives with a two-level capture index.
 
 ``write`` stores one record per page (a gzip member each) in archive files; pages whose payload another page
-with a smaller id has already are revisit records without payload. Captures are then sorted by their reversed-host
+with a smaller id has already are revisit records without payload; a payload that many pages share is looked up by broadcast. Captures are then sorted by their reversed-host
 key into index shards: blocks of lines, compressed, and for each shard a sparse directory with the first
 key of each block. ``lookup`` deals the wanted keys to the shards by binary search over the shards' first keys, finds
 the block by binary search in the shard's directory, reads that range of the index file, then searches the block.
 ``fetch`` reads ranges of the archives. The only list that the driver holds has one key per index shard.
 
 Defined cases: null html is an empty payload; a null url has the empty key; a null page_id is a response of its
-own; rows that repeat a page_id are records of their own; other columns are ignored; an empty table gives no archive.
+own; rows that repeat a page_id are records of their own, each found by each look-up of the key that they share; page ids have to be integers; a very long page is a record
+like any other; other columns are ignored; an empty table gives no archive.
 """
 
 from __future__ import annotations
@@ -85,8 +86,8 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 100, file_byt
     """Archive files in path/archive; a row of CAPTURE for each record."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha2("payload", 256))
     # of payloads that several pages share; partial sums come before the exchange, so a common page is no large group
-    shared = rows.where(F.octet_length("payload") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = rows.join(shared, "digest", "left").select("page_id", "url", "payload", "digest", F.expr("CASE WHEN page_id > first AND octet_length(payload) >= " + str(int(min_revisit)) + " THEN first END").alias("first"))
+    shared = rows.where(F.octet_length("payload") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
+    rows = _shared.lookup(rows, _shared.saved(shared, "digests"), ["digest"], pages.count()).select("page_id", "url", "payload", "digest", F.expr("CASE WHEN page_id > first AND octet_length(payload) >= " + str(int(min_revisit)) + " THEN first END").alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, found = io.BytesIO(), []
@@ -110,7 +111,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 100, file_byt
                     yield from flush()
         yield from flush()
 
-    return _shared.saved(rows.mapInArrow(run, CAPTURE), "captures")
+    return _shared.saved(rows.mapInArrow(_shared.lean(run), CAPTURE), "captures")
 
 
 class CaptureIndex:
@@ -209,7 +210,7 @@ def fetch(captures: DataFrame, read_bytes: int = 8 << 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     parts = captures.sparkSession.sparkContext.defaultParallelism * 4
-    return captures.select("file", "offset", "length").repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, RECORD)
+    return captures.select("file", "offset", "length").repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(_shared.lean(run), RECORD)
 
 
 def keys_of(pages: DataFrame) -> DataFrame:
