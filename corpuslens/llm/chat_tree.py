@@ -129,7 +129,7 @@ def pack(turns: DataFrame, pack_chars: int = 1 << 16, pack_leaves: int = 1024) -
             yield pa.RecordBatch.from_pylist([now.row()], schema=_SCHEMA)
 
     dealt = keyed.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id").select("conv_id", "turns")
-    return dealt.mapInArrow(run, PACK)
+    return dealt.mapInArrow(_shared.lean(run), PACK)
 
 
 def write(turns: DataFrame, **options: int) -> DataFrame:
@@ -146,25 +146,27 @@ RESULT = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 
 
 def read(packs: DataFrame) -> DataFrame:
-    """One row per conversation, from the packs alone: its turns, its text under the loss mask, its length."""
+    """One row per conversation, from the packs alone: its turns, its text under the loss mask, its length by the last turn's positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 text = row["text"]
                 state: list[tuple] = []
-                for s, e, parent, (a, b) in zip(row["start"], row["end"], row["parent"], row["loss"]):
+                for s, e, parent, at, seen, (a, b) in zip(*(row[k] for k in ("start", "end", "parent", "position", "attend", "loss"))):
                     turns, loss, n, chars, size = state[parent] if parent >= 0 else (hashlib.sha256(), hashlib.sha256(), 0, 0, 0)
+                    if at != size or sum(seen[1::2]) - sum(seen[::2]) != size:
+                        raise ValueError("positions and attended intervals have to cover what comes before a turn")
                     role, said = parse_turn(text[s:e])
                     turns, loss = turns.copy(), loss.copy()
                     turns.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
                     learnt = unescape(text[a:b])
                     loss.update(learnt.encode("utf-8", "surrogatepass"))
-                    state.append((turns, loss, n + 1, chars + len(learnt), size + e - s))
+                    state.append((turns, loss, n + 1, chars + len(learnt), at + e - s))
                 own = [state[i] for i in row["leaf_node"]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["leaf_conv"], pa.int64()), pa.array([x[2] for x in own], pa.int64()), pa.array([x[0].hexdigest() for x in own], pa.string()), pa.array([x[3] for x in own], pa.int64()), pa.array([x[1].hexdigest() for x in own], pa.string()), pa.array([x[4] for x in own], pa.int64())],
                     names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
                 )
 
-    return packs.mapInArrow(run, RESULT)
+    return packs.mapInArrow(_shared.lean(run), RESULT)
