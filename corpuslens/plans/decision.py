@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, dense, evidence, index, rerank, retrieve, synthesize
+from ..sources.store import staged
 
 
 @dataclass(frozen=True)
@@ -52,10 +53,12 @@ def reranked(queries: DataFrame, hits: DataFrame, corpus_: index.Index, k: int)
 
 
 def decide(questions: DataFrame, corpus_: index.Index, config: Config = Config()) -> DataFrame:
-    """One row per question (query_id, text): answer, confidence, evidence, reasoning, gaps, follow-ups."""
-    queries = analyzed(questions)
-    hits = retrieved(queries, corpus_, config)
-    rows = evidence.evidence(reranked(queries, hits, corpus_, config.rerank_top_k))
+    """One row per question (query_id, text): answer, confidence, evidence, reasoning, gaps, follow-ups.
+
+    Hits and evidence, a few rows for each question, are computed once; several columns come from each."""
+    queries = staged(analyzed(questions))
+    hits = staged(retrieved(queries, corpus_, config))
+    rows = staged(evidence.evidence(reranked(queries, hits, corpus_, config.rerank_top_k)))
     best = hits.groupBy("query_id").agg(F.max_by("score", -F.col("rank")).alias("top_score"))
     none = F.array().cast("array<string>")
     whole = queries.join(evidence.nested(rows), "query_id", "left").join(synthesize.common_terms(rows), "query_id", "left").join(best, "query_id", "left").crossJoin(corpus_.stats.select(F.col("n").alias("total_chunks_searched")))
