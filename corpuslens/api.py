@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .operators import index as index_ops
 from .plans import decision
+from .sources.store import staged
 
 DOCUMENT = "doc_id string, title string, text string, metadata map<string,string>"
 
@@ -28,7 +29,9 @@ class Engine:
 
     def add_documents(self, new: DataFrame) -> None:
         with self._lock:
-            self.documents = index_ops.added(self.documents, new)
+            self.documents = staged(index_ops.added(self.documents, new))  # the plan doesn't grow with each call
+            if self._index is not None:
+                index_ops.release(self._index)
             self._index = None
 
     def add_document(self, doc_id: str, title: str, text: str, metadata: dict | None = None) -> int:
@@ -77,7 +80,7 @@ class Engine:
                 papers, errors = fetch(query, max_results)
                 before = self.documents.count()
                 self.add_documents(papers)
-                state |= {"indexed": self.documents.count() - before, "errors": [r.asDict() for r in errors.limit(1000).collect()], "status": "done"}
+                state |= {"indexed": self.documents.count() - before, "errors": [r.asDict() for r in errors.collect()], "status": "done"}
             except Exception as e:  # the job's state is where a background failure shows
                 state |= {"status": "failed", "error": str(e)[:500]}
             state["finished_at"] = time.time()

@@ -39,6 +39,12 @@ def build(chunks: DataFrame, keep: bool = True) -> Index:
     return Index(chunks, postings, vocab, stats)
 
 
+def release(index: Index) -> None:
+    """Take what build() kept out of the executors' storage."""
+    index.postings.unpersist()
+    index.chunks.unpersist()
+
+
 def index_stats(index: Index) -> DataFrame:
     """n_chunks, n_terms, avg_length rounded to one decimal."""
     return index.stats.select(F.col("n").alias("n_chunks"), F.round(F.coalesce("avgdl", F.lit(0.0)), 1).alias("avg_length")).crossJoin(index.vocab.agg(F.count(F.lit(1)).alias("n_terms")))

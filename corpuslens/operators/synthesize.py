@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,3 +96,24 @@ def prompt(question: Column, evidence: Column, gaps: Column) -> Column:
     """What a model that writes the answer is given: the question, numbered excerpts of at most 500 characters, the gaps."""
     excerpts = F.transform(evidence, lambda e, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), e["doc_title"], F.lit(" | "), e["section"], F.lit(" | "), e["support_type"], F.lit("\n"), T.truncate(e["excerpt"], 500)))
     return F.concat(F.lit("Question: "), question, F.lit("\n\nExcerpts:\n"), F.array_join(excerpts, "\n\n"), F.lit("\n\nKnown gaps: "), F.when(F.size(gaps) > 0, F.array_join(gaps, "; ")).otherwise("none"))
+
+
+def written(decisions: DataFrame, write: Callable[[str], str]) -> DataFrame:
+    """decisions with answers that a model wrote from the prompt; where it fails or there is no evidence, the rule-based answer stays.
+
+    Reasoning, confidence and gaps stay as they are in either case."""
+    asked = decisions.withColumn("prompt", F.when(F.size("evidence") > 0, prompt(F.col("query"), F.col("evidence"), F.col("knowledge_gaps"))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            answers = []
+            for rule, text in zip(batch["answer"], batch["prompt"]):
+                try:
+                    answers.append(write(text) if text is not None else rule)
+                except Exception:  # whatever a model's client raises, there is an answer without it
+                    answers.append(rule)
+            yield pd.DataFrame({"query_id": batch["query_id"], "answer": answers})
+
+    key = decisions.schema["query_id"].dataType.simpleString()
+    made = asked.select("query_id", "answer", "prompt").mapInPandas(run, f"query_id {key}, answer string")
+    return decisions.drop("answer").join(made, "query_id").select(*decisions.columns)

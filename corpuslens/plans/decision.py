@@ -41,7 +41,7 @@ def analyzed(questions: DataFrame) -> DataFrame:
 def retrieved(queries: DataFrame, corpus_: index.Index, config: Config) -> DataFrame:
     hits = retrieve.search(queries.select("query_id", "expanded_tokens"), corpus_, config.retrieval_top_k)
     if config.dense is not None:
-        hits = retrieve.fuse(hits, config.dense(queries.select("query_id", "text"), corpus_.chunks, config.retrieval_top_k), config.retrieval_top_k)
+        hits = retrieve.fuse(hits, config.dense(queries.select("query_id", "text"), corpus_.chunks, config.retrieval_top_k), config.retrieval_top_k, store=corpus_.chunks)
     return hits.select("query_id", "chunk_id", "score", "rank", "match_terms")
 
 

@@ -1,13 +1,17 @@
-"""Papers from PubMed and JATS XML and links from JSON, as column expressions over raw records."""
+"""Papers from PubMed and JATS XML, and links from JSON, from raw records.
+
+JSON and HTML are column expressions. XML goes through a parser in Arrow batches, a record at a time: XPath functions fail the whole job
+at a record that isn't well formed, and can't keep nested sections in order; here such a record is a row that says what is wrong."""
 
 from __future__ import annotations
 
+import hashlib
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 
 def records(spark: SparkSession, path: str, tag: str) -> DataFrame:
@@ -22,67 +26,92 @@ def without_citations(xml: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(xml, rf"{mark}[^>]*/>", ""), rf"(?s){mark}[^>]*>.*?</xref>", "")
 
 
-def leading_text(xml: Column, path: str) -> Column:
-    """Text of an element before its first child; empty if it begins with one, null if there is no such element."""
-    text = F.xpath(xml, F.lit(f"{path}[1]/node()[1][self::text()]"))
-    there = F.xpath_boolean(xml, F.lit(path))
-    return F.when(there, F.coalesce(F.get(text, F.lit(0)), F.lit("")))
+PAPER = "doc_id string, title string, text string, metadata map<string,string>"
+PARSED = f"{PAPER}, stage string, identifier string, reason string"
+
+
+def _whole(element: ET.Element | None) -> str:
+    """All text of an element and what is in it, as one string."""
+    return "" if element is None else "".join(element.itertext()).strip()
+
+
+def _lead(root: ET.Element, path: str, default: str = "") -> str:
+    """Text of an element before its first child; the default where there is no such element."""
+    found = root.find(path)
+    return default if found is None else found.text or ""
+
+
+def _name(prefix: str, known: str, of: str) -> str:
+    """An id from a known number, or from the text where there is none."""
+    return f"{prefix}_{known}" if known else f"{prefix}_unknown_{hashlib.md5(of.encode()).hexdigest()[:12]}"
+
+
+def _pubmed(root: ET.Element, whole_titles: bool) -> tuple:
+    pmid = _lead(root, ".//PMID")
+    title = _whole(root.find(".//ArticleTitle")) if whole_titles else _lead(root, ".//ArticleTitle", "No title")
+    abstract = "\n".join(a.text or "" for a in root.iter("AbstractText"))
+    about = {"year": _lead(root, ".//PubDate/Year", "Unknown"), "journal": _lead(root, ".//Journal/Title", "Unknown"), "source": "pubmed", "pmid": pmid, "has_full_text": "false"}
+    return _name("pmid", pmid, title + abstract), title or "No title", f"Abstract\n{abstract}".strip(), about
+
+
+def _jats(root: ET.Element, whole_titles: bool) -> tuple | None:
+    pmc, pmid = (_lead(root, f".//article-id[@pub-id-type='{kind}']") for kind in ("pmc", "pmid"))
+    title = _whole(root.find(".//article-title")) if whole_titles else _lead(root, ".//article-title", "No title")
+    dates = [_lead(root, f".//pub-date{kind}/year") for kind in ("[@pub-type='epub']", "[@pub-type='ppub']", "")]
+    texts = [t for p in root.iterfind(".//abstract//p") if (t := _whole(p))] or [t for a in root.iterfind(".//abstract") if (t := _whole(a))][:1]
+    parts = ["Abstract\n" + "\n".join(texts)] if texts else []
+    body = root.find(".//body")
+    for section in () if body is None else body.iter("sec"):
+        if own := [t for p in section.findall("p") if (t := _whole(p))]:
+            head = _lead(section, "title").strip()
+            parts.append("\n".join([f"\n{head}" if head else "", *own]))
+    text = "\n\n".join(parts).strip()
+    if not text:
+        return None
+    about = {"year": next(filter(None, dates), "Unknown"), "journal": _lead(root, ".//journal-title", "Unknown"), "source": "pubmed_central", "pmcid": pmc, "pmid": pmid, "has_full_text": str(len(parts) > bool(texts)).lower()}
+    return _name("pmc", pmc, title + text) if pmc or not pmid else f"pmid_{pmid}", title, text, about
+
+
+READERS = {"pubmed": _pubmed, "pmc": _jats}
+
+
+def parsed(articles: DataFrame, kind: str, whole_titles: bool = False) -> DataFrame:
+    """One row for each record (xml) of a kind (pubmed: PubmedArticle, pmc: JATS article): a paper, or why it couldn't be read.
+
+    Records without any text give none. Titles end at their first inline mark-up, as long as whole_titles isn't set."""
+    read, stage = READERS[kind], f"{kind}_parse"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for xml in batch.column(0).to_pylist():
+                try:
+                    if (paper := read(ET.fromstring(xml or ""), whole_titles)) is not None:
+                        rows.append((*paper[:3], list(paper[3].items()), None, None, None))
+                except ET.ParseError as e:
+                    rows.append((None, None, None, None, stage, hashlib.md5((xml or "").encode()).hexdigest()[:12], str(e)))
+            types = [pa.string()] * 3 + [pa.map_(pa.string(), pa.string())] + [pa.string()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 7, types)], names=["doc_id", "title", "text", "metadata", "stage", "identifier", "reason"])
+
+    return articles.select(without_citations(F.col("xml")).alias("xml")).mapInArrow(run, PARSED)
+
+
+def papers(rows: DataFrame) -> DataFrame:
+    """doc_id, title, text, metadata of the records that were read."""
+    return rows.where("reason IS NULL").select("doc_id", "title", "text", "metadata")
+
+
+def errors(rows: DataFrame) -> DataFrame:
+    """stage, identifier, reason of the records that weren't."""
+    return rows.where("reason IS NOT NULL").select("stage", "identifier", "reason")
 
 
 def pubmed_papers(articles: DataFrame, full_text_titles: bool = False) -> DataFrame:
-    """doc_id, title, text, metadata of rows (xml) with a PubmedArticle each; those without a PMID are left out."""
-    x = F.col("xml")
-    pmid = F.nullif(F.xpath_string(x, F.lit("//MedlineCitation/PMID")), F.lit(""))
-    title = F.nullif(F.xpath_string(x, F.lit("//ArticleTitle")), F.lit("")) if full_text_titles else leading_text(x, "//ArticleTitle")
-    parts = F.xpath(x, F.lit("//AbstractText/node()[1][self::text()]"))
-    journal, year = leading_text(x, "//Journal/Title"), leading_text(x, "//PubDate/Year")
-    text = F.concat(F.lit("Abstract\n"), F.array_join(F.coalesce(parts, F.array().cast("array<string>")), " "))
-    meta = F.create_map(F.lit("year"), F.coalesce(year, F.lit("Unknown")), F.lit("journal"), F.coalesce(journal, F.lit("Unknown")), F.lit("source"), F.lit("pubmed"), F.lit("pmid"), pmid, F.lit("has_full_text"), F.lit("false"))
-    return articles.select(pmid.alias("doc_id"), F.coalesce(title, F.lit("No title")).alias("title"), text.alias("text"), meta.alias("metadata")).where("doc_id IS NOT NULL")
-
-
-def _sections(body: ET.Element) -> Iterator[tuple[str, str]]:
-    for sec in body.iter("sec"):
-        title = sec.find("title")
-        text = " ".join(t for p in sec.findall("p") if (t := "".join(p.itertext()).strip()))
-        if text:
-            yield "".join(title.itertext()).strip() if title is not None else "", text
-
-
-@udtf(returnType="no int, title string, text string")
-class NestedSections:
-    """The sections of a JATS body in document order, each with its own paragraphs only; nothing for broken XML."""
-
-    def eval(self, xml: str):
-        try:
-            body = ET.fromstring(xml or "").find(".//body")
-        except ET.ParseError:
-            return
-        if body is not None:
-            for no, (title, text) in enumerate(_sections(body)):
-                yield no, title, text
+    return papers(parsed(articles, "pubmed", full_text_titles))
 
 
 def jats_papers(articles: DataFrame) -> DataFrame:
-    """doc_id, title, text, metadata of rows (xml) with a JATS article each; those without text are left out."""
-    spark = articles.sparkSession
-    spark.udtf.register("nested_sections", NestedSections)
-    x = F.col("xml")
-    own = lambda p: F.nullif(F.trim(F.xpath_string(x, F.lit(p))), F.lit(""))
-    pmc, pmid = own("//article-id[@pub-id-type='pmc' or @pub-id-type='pmcid']"), own("//article-id[@pub-id-type='pmid']")
-    title = F.coalesce(leading_text(x, "//article-title"), F.lit("No title"))
-    year = F.coalesce(own("//pub-date[@pub-type='epub']/year"), own("//pub-date[@pub-type='ppub']/year"), own("//pub-date/year"), F.lit("Unknown"))
-    paragraphs = F.filter(F.transform(F.xpath(x, F.lit("//abstract//p//text()")), F.trim), lambda t: t != "")
-    abstract = F.coalesce(F.nullif(F.array_join(F.coalesce(paragraphs, F.array().cast("array<string>")), " "), F.lit("")), own("//abstract"))
-    clean = articles.select(without_citations(x).alias("xml"))
-    head = clean.select("xml", F.coalesce(F.concat(F.lit("PMC"), F.regexp_replace(pmc, "^PMC", "")), pmid, F.concat(F.lit("t"), F.hex(F.xxhash64(title)))).alias("doc_id"), title.alias("title"), abstract.alias("abstract"), F.create_map(F.lit("year"), year, F.lit("journal"), F.coalesce(own("//journal-title"), F.lit("Unknown")), F.lit("source"), F.lit("pubmed_central"), F.lit("pmcid"), F.coalesce(pmc, F.lit("")), F.lit("pmid"), F.coalesce(pmid, F.lit(""))).alias("meta"))
-    head.createOrReplaceTempView("_jats_head")
-    sections = spark.sql("SELECT doc_id, s.no, s.title AS t, s.text AS b FROM _jats_head, LATERAL nested_sections(xml) s")
-    body = sections.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "t", "b"))), lambda s: F.concat(s["t"], F.lit("\n"), s["b"])), "\n\n").alias("body"))
-    joined = head.join(body, "doc_id", "left")
-    text = F.concat_ws("\n\n", F.concat(F.lit("Abstract\n"), F.col("abstract")), F.col("body"))
-    meta = F.map_concat("meta", F.create_map(F.lit("has_full_text"), F.col("body").isNotNull().cast("string")))
-    return joined.select("doc_id", "title", text.alias("text"), meta.alias("metadata")).where("text <> ''")
+    return papers(parsed(articles, "pmc"))
 
 
 LINKS = "linksets array<struct<ids: array<string>, linksetdbs: array<struct<dbto: string, links: array<string>>>>>"

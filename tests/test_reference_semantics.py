@@ -129,9 +129,9 @@ JATS = '<article><front><article-meta><article-id pub-id-type="pmc">9</article-i
 
 def test_markup(spark):
     p = markup.pubmed_papers(spark.createDataFrame([(PUBMED,)], "xml string")).first()
-    assert (p.doc_id, p.title, p.text, p.metadata["year"]) == ("7", "A ", "Abstract\nOne. Two.", "2020")
+    assert (p.doc_id, p.title, p.text, p.metadata["year"]) == ("pmid_7", "A ", "Abstract\nOne.\nTwo.", "2020")
     j = markup.jats_papers(spark.createDataFrame([(JATS,), ("<article><front/></article>",)], "xml string")).collect()
-    assert [(r.doc_id, r.title, r.text, r.metadata["has_full_text"]) for r in j] == [("PMC9", "T", "Abstract\nAb.\n\nS\nx tail\n\nN\ndeep", "true")]
+    assert [(r.doc_id, r.title, r.text, r.metadata["has_full_text"]) for r in j] == [("pmc_9", "T", "Abstract\nAb.\n\n\nS\nx tail\n\n\nN\ndeep", "true")]
     links = spark.createDataFrame([("1", '{"linksets":[{"linksetdbs":[{"dbto":"pmc","links":["5"]}]}]}'), ("2", "{}"), ("3", "no")], "pmid string, json string")
     assert [r.pmcid for r in markup.pmc_links(links).orderBy("pmid").collect()] == ["5", None, None]
 
