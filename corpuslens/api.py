@@ -60,7 +60,10 @@ class Engine:
         return row | {"latency_ms": round(1000 * (time.time() - began), 1)}
 
     def corpus(self) -> dict:
-        return index_ops.corpus_stats(self.documents, self.index.chunks).first().asDict(recursive=True)
+        """Totals, and the list of all documents: what the caller asks for, however many they are."""
+        chunks = self.index.chunks
+        listed = index_ops.corpus_documents(self.documents, chunks).orderBy("doc_id").toLocalIterator()
+        return index_ops.corpus_stats(self.documents, chunks).first().asDict() | {"documents": [r.asDict() for r in listed]}
 
     def stats(self) -> dict:
         return index_ops.index_stats(self.index).first().asDict()

@@ -50,16 +50,17 @@ def index_stats(index: Index) -> DataFrame:
     return index.stats.select(F.col("n").alias("n_chunks"), F.round(F.coalesce("avgdl", F.lit(0.0)), 1).alias("avg_length")).crossJoin(index.vocab.agg(F.count(F.lit(1)).alias("n_terms")))
 
 
+def corpus_documents(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """doc_id, title, n_chunks, has_full_text of each document; one that doesn't say is listed as full text."""
+    per_doc = documents.join(chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks")), "doc_id", "left")
+    return per_doc.select("doc_id", "title", F.coalesce("n_chunks", F.lit(0).cast("long")).alias("n_chunks"), F.coalesce(F.col("metadata")["has_full_text"] == "true", F.lit(True)).alias("has_full_text"))
+
+
 def corpus_stats(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Documents, those with full text and those with abstracts only, chunks, and the list of documents.
-
-    A document without the field counts as an abstract, but is listed as full text."""
-    per_doc = documents.join(chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks")), "doc_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
-    full = F.col("metadata")["has_full_text"] == "true"
-    return per_doc.agg(
-        F.count(F.lit(1)).alias("n_documents"), F.count_if(F.coalesce(full, F.lit(False))).alias("n_full_text"), F.count_if(~F.coalesce(full, F.lit(False))).alias("n_abstract_only"), F.sum("n_chunks").alias("n_chunks"),
-        F.sort_array(F.collect_list(F.struct("doc_id", "title", "n_chunks", F.coalesce(full, F.lit(True)).alias("has_full_text")))).alias("documents"),
-    )
+    """Documents, those with full text and those with abstracts only, as which those count that don't say, and chunks."""
+    full = F.coalesce(F.col("metadata")["has_full_text"] == "true", F.lit(False))
+    counts = documents.agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(full).alias("n_full_text"), F.count_if(~full).alias("n_abstract_only"))
+    return counts.crossJoin(chunks.agg(F.count(F.lit(1)).alias("n_chunks")))
 
 
 def added(documents: DataFrame, new: DataFrame) -> DataFrame:

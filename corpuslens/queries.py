@@ -1,9 +1,11 @@
-"""Registered queries over the driver's tables, and the same in SQL where SQL can say it.
+"""Registered queries over the driver's tables; oracles.py has the same in SQL.
 
 Documents have no titles, so theirs are their ids; a document is one chunk where the SQL has to build the index itself."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +13,12 @@ from .functions import constants as C
 from .functions import text as T
 from .operators import dense, evidence, index, metrics, rerank, retrieve, synthesize
 from .plans import decision
-from .sources import markup
+from .sources import markup, store
+from .sources.store import staged
 
 long = "long"
+#: Passages that a search for them in all texts may hold.
+BENCH_BYTES = 64 << 20
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,20 +45,22 @@ def _index(spark, d) -> index.Index:
 
 
 def _hits(spark, d, k: int = 15) -> DataFrame:
-    return retrieve.search(_questions(spark, d), _index(spark, d), k, prefix=False)
+    return retrieve.search(_questions(spark, d), _index(spark, d), k)
 
 
 def _qrels(spark, d) -> DataFrame:
-    """Documents that hold a benchmark passage; passages have no white space at their ends, so the first 40 characters
-    of each, which few documents share, are looked for by their words first."""
-    bench = _t(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"), F.split("text", " ")[1].alias("w"))
-    words = _t(spark, d, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.split("text", "[ \n]"))).alias("w"))
-    return bench.join(words, "w").where(F.contains("text", F.col("passage"))).select(F.col("item_id").alias("query_id"), "doc_id", F.lit(2).alias("grade")).distinct()
+    """Documents that hold a benchmark passage: all passages, as many as fit in BENCH_BYTES, are looked for in one pass over the texts."""
+    bench = _t(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")).where("passage IS NOT NULL")
+    if (bench.agg(F.sum(F.length("passage"))).first()[0] or 0) > BENCH_BYTES:
+        raise ValueError("the benchmark is too large to go to all tasks")
+    found = _t(spark, d, "documents").select("doc_id", "text").join(F.broadcast(bench), F.contains("text", F.col("passage")))
+    return found.select(F.col("item_id").alias("query_id"), "doc_id", F.lit(2).alias("grade")).distinct()
 
 
-def _reranked(spark, d, k: int = 5) -> DataFrame:
+def _reranked(spark, d, k: int = 5, hits: DataFrame | None = None) -> DataFrame:
     q = _questions(spark, d).select("query_id", "intent", "expanded_tokens", F.col("tokens").alias("query_tokens"))
-    return rerank.rerank(_hits(spark, d).join(q, "query_id").join(_docs(spark, d).drop("chunk_ord"), "chunk_id"), k)
+    hits = _hits(spark, d) if hits is None else hits
+    return rerank.rerank(hits.select("query_id", "chunk_id", "score", "rank").join(q, "query_id").join(_docs(spark, d).drop("chunk_ord"), "chunk_id"), k)
 
 
 def tokenize_counts(spark, d):
@@ -87,7 +94,7 @@ def chunk_documents(spark, d):
     from .operators.chunking import chunk
 
     docs = _t(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("title"), "text")
-    return chunk(docs).select("chunk_id", "doc_id", "section", "page", "char_start", "char_end", F.length("text").alias("n_chars"), F.size("tokens").alias("n_tokens"))
+    return chunk(docs).select("chunk_id", "doc_id", "section", "page", "char_start", "char_end", F.length("text").cast(long).alias("n_chars"), F.size("tokens").cast(long).alias("n_tokens"))
 
 
 def term_freq_top(spark, d):
@@ -137,7 +144,7 @@ def bm25_prefix_fallback(spark, d):
 def dense_topk(spark, d):
     v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
     q = v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
-    return dense.cosine_topk(q, v, 10).select("query_id", F.col("chunk_id").alias("vec_id"), F.round("score", 5).alias("score")).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"), F.min("score").alias("worst"))
+    return dense.cosine_topk(q, v, 10).select("query_id", F.col("rank").cast(long).alias("rank"), F.col("chunk_id").alias("vec_id"), F.round("score", 5).alias("score"))
 
 
 def hash_embed(spark, d):
@@ -145,8 +152,8 @@ def hash_embed(spark, d):
     return dense.hash_embed(b).select(F.col("id").alias("item_id"), F.col("bucket").cast(long).alias("bucket"), F.round("weight", 6).alias("weight"))
 
 
-def _hash_hits(spark, d) -> DataFrame:
-    return dense.hash_topk(_questions(spark, d), _docs(spark, d))
+def _hash_hits(spark, d, k: int = 15) -> DataFrame:
+    return dense.hash_topk(_questions(spark, d), _docs(spark, d), k)
 
 
 def hash_dense_topk(spark, d):
@@ -204,11 +211,18 @@ def _decisions(spark, d) -> DataFrame:
 
 
 def decision_output(spark, d):
-    return decision.as_json(_decisions(spark, d))
+    """Every part of the decisions, lists joined."""
+    of = lambda c, f: F.array_join(F.transform(c, lambda e: e[f]), "|")
+    return _decisions(spark, d).select(
+        F.col("query_id").alias("item_id"), "intent", "answer", "confidence", "confidence_label", of("evidence", "source_id").alias("sources"), of("evidence", "section").alias("sections"), of("evidence", "support_type").alias("support_types"),
+        F.md5(of("evidence", "excerpt")).alias("excerpts_md5"), F.array_join(F.transform("evidence", lambda e: F.array_join(e["key_terms"], ",")), "|").alias("key_terms"), F.array_join("knowledge_gaps", "|").alias("gaps"), F.array_join("follow_up_questions", "|").alias("questions"),
+        F.size("reasoning_chain").cast(long).alias("n_steps"), F.element_at("reasoning_chain", 2)["content"].alias("second_step"), F.round(F.element_at("reasoning_chain", 2)["confidence"], 6).alias("second_confidence"),
+        F.col("sources_used").cast(long).alias("sources_used"), "total_chunks_searched",
+    )
 
 
 def knowledge_gaps(spark, d):
-    return _decisions(spark, d).select(F.col("query_id").alias("item_id"), F.size("knowledge_gaps").alias("n_gaps"), F.array_join("knowledge_gaps", "|").alias("gaps"))
+    return _decisions(spark, d).select(F.col("query_id").alias("item_id"), F.size("knowledge_gaps").cast(long).alias("n_gaps"), F.array_join("knowledge_gaps", "|").alias("gaps"))
 
 
 def followups(spark, d):
@@ -234,10 +248,24 @@ def ndcg_at_k(spark, d):
     return metrics.ndcg(_ranked(spark, d), _qrels(spark, d)).select(F.col("query_id").alias("item_id"), F.col("k").cast(long).alias("k"), "ndcg")
 
 
+def _modes(spark, d, depth: int = 60, keep: int = 5) -> dict[str, DataFrame]:
+    """Document rankings of the five ways to answer, from candidates of one depth."""
+    hits, hashed = staged(_hits(spark, d, depth)), staged(_hash_hits(spark, d, depth))
+    fused = staged(retrieve.fuse(hits, hashed, depth))
+    hits_by = {"bm25": hits, "reranked": _reranked(spark, d, keep, hits), "dense": hashed, "hybrid": fused, "hybrid_reranked": _reranked(spark, d, keep, fused)}
+    return {mode: metrics.doc_ranking(h.select("query_id", F.col("chunk_id").alias("doc_id"), "score")) for mode, h in hits_by.items()}
+
+
 def eval_by_mode(spark, d):
-    qrels = _qrels(spark, d).persist()
-    hashed = metrics.doc_ranking(_hash_hits(spark, d).withColumnRenamed("chunk_id", "doc_id"))
-    return metrics.evaluate({"bm25": _ranked(spark, d), "dense": hashed}, qrels)
+    """Means of each metric, and how far each mode is from BM25."""
+    return metrics.deltas(metrics.evaluate(_modes(spark, d), staged(_qrels(spark, d))), "bm25")
+
+
+def eval_by_intent(spark, d):
+    """Mean reciprocal rank of each mode by the questions' intent."""
+    qrels, intents = staged(_qrels(spark, d)), _questions(spark, d).select("query_id", "intent")
+    rows = [metrics.by_intent(metrics.reciprocal_rank(r, qrels, 5), intents, "rr").select(F.lit(mode).alias("mode"), "intent", "rr", "n") for mode, r in _modes(spark, d).items()]
+    return reduce(DataFrame.unionAll, rows)
 
 
 # Published rubric points of ten questions under two ways to write answers.
@@ -264,7 +292,23 @@ def upsert_new_docs(spark, d):
     """What the second half of the documents adds to the first, keyed by text."""
     docs = _t(spark, d, "documents").select("doc_id", F.md5("text").alias("k"))
     first, new = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
-    return new.join(first.select("k"), "k", "left_anti").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    return store.new_rows(new, first, "k").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+
+
+def _library(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Documents of which every third has a full text and every fifth doesn't say, and their chunks."""
+    from .operators.chunking import chunk
+
+    docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"), "text", F.when(F.col("doc_id") % 5 != 0, F.create_map(F.lit("has_full_text"), (F.col("doc_id") % 3 == 0).cast("string"))).alias("metadata"))
+    return docs, chunk(docs)
+
+
+def corpus_stats(spark, d):
+    return index.corpus_stats(*_library(spark, d))
+
+
+def corpus_documents(spark, d):
+    return index.corpus_documents(*_library(spark, d))
 
 
 def html_extract(spark, d):
@@ -294,163 +338,6 @@ def stream_ingest_counts(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     tokenize_counts, clean_text_hash, sentence_split, truncate_excerpt, section_detect, chunk_documents, term_freq_top, doc_freq, vocab_stats, corpus_stats_by_lang, intent_classify, entity_extract, abbrev_expand, bm25_topk, bm25_prefix_fallback,
-    dense_topk, hash_embed, hash_dense_topk, rrf_fusion, rerank_scores, support_type, key_terms, relevance_norm, confidence_scores, common_terms, knowledge_gaps, followups, doc_maxpool, mrr_at_k, ndcg_at_k, eval_by_mode, rubric_means, rubric_compare,
-    upsert_new_docs, html_extract, json_links, stream_ingest_counts, decision_output,
+    dense_topk, hash_embed, hash_dense_topk, rrf_fusion, rerank_scores, support_type, key_terms, relevance_norm, confidence_scores, common_terms, knowledge_gaps, followups, doc_maxpool, mrr_at_k, ndcg_at_k, eval_by_mode, eval_by_intent, rubric_means, rubric_compare,
+    upsert_new_docs, corpus_stats, corpus_documents, html_extract, json_links, stream_ingest_counts, decision_output,
 )}
-
-
-# The same in SQL.
-
-def _list(words) -> str:
-    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
-
-
-def _tok(e: str) -> str:
-    w = r"[\p{L}\p{N}_]"
-    parts = rf"string_split_regex(regexp_replace(lower({e}), '({w})-({w})', '\1_\2', 'g'), '[^\p{{L}}\p{{N}}_]+')"
-    return f"list_filter(list_transform(list_filter({parts}, lambda x: regexp_full_match(x, '[a-z0-9_]{{2,}}')), lambda x: replace(x, '_', '-')), lambda x: length(x) <= 3 OR NOT list_contains({_list(C.DROPPED)}, x))"
-
-
-_ABBR = "MAP {" + ", ".join(f"'{k}': {_list([t for t in v.split() if len(t) > 1])}" for k, v in C.ABBREVIATIONS.items()) + "}"
-
-
-def _exp(tokens: str) -> str:
-    return f"list_sort(list_distinct(list_concat({tokens}, flatten(list_transform({tokens}, lambda t: coalesce(map_extract_value({_ABBR}, t), CAST([] AS VARCHAR[])))))))"
-
-
-_WS = r"[\s\x{00a0}\x{0085}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0B]"
-
-
-def _clean(e: str) -> str:
-    w = r"[\p{L}\p{N}_]"
-    for pattern, to in [(f"{_WS}+", " "), (rf"({w})-{_WS}+({w})", r"\1\2"), (r"\[\d+\]", ""), (rf"([A-Za-z%])\.\d{{1,3}}(?:,\d{{1,3}})*({_WS}+[A-Za-z])", r"\1.\2"), (rf"([A-Za-z])(?:,\d{{1,3}})+({_WS}+[a-z])", r"\1\2"), (r"([.)]) \d{1,3}(?: , \d{1,3})* ([A-Za-z])", r"\1 \2"), (r" \d{1,3}(?: , \d{1,3}){2,} ([A-Za-z])", r" \1"), (r"([A-Za-z]), \d{1,3}(?: , \d{1,3})* ([a-z])", r"\1 \2"), (f"{_WS}+", " ")]:
-        e = f"regexp_replace({e}, '{pattern}', '{to}', 'g')"
-    return f"trim({e})"
-
-
-def _sent(e: str) -> str:
-    guards = "|".join(g.replace(".", r"\.") for g in C.SENTENCE_GUARDS)
-    safe = rf"regexp_replace({e}, '({guards})\.', '\1<DOT>', 'g')"
-    cut = rf"regexp_replace({safe}, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g')"
-    return f"list_filter(list_transform(string_split({cut}, chr(1)), lambda s: trim(replace(s, '<DOT>', '.'))), lambda s: s <> '')"
-
-
-def _intent(e: str) -> str:
-    return "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(lower({e}), '{t}')" for t in triggers)} THEN '{name}'" for name, triggers in C.INTENTS.items()) + " ELSE 'general' END"
-
-
-_BM25 = f"""d AS (SELECT doc_id, {_tok("coalesce(text, '')")} AS tokens FROM documents),
-dl AS (SELECT doc_id, len(tokens) AS dl FROM d),
-p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM d) GROUP BY ALL),
-v AS (SELECT term, count(*) AS df FROM p GROUP BY term), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-qa AS (SELECT item_id, {_tok("text")} AS tokens, text FROM benchmark), qe AS (SELECT item_id, {_exp("tokens")} AS expanded, {_intent("text")} AS intent FROM qa),
-q AS (SELECT item_id, unnest(expanded) AS term FROM qe),
-h AS (SELECT item_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score, array_to_string(list_slice(list_sort(list(term)), 1, 8), ' ') AS match_terms
-  FROM q JOIN v USING (term) JOIN p USING (term) JOIN dl USING (doc_id), s GROUP BY ALL),
-b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM h QUALIFY rank <= 15)"""
-_HASH = r"""hw AS (SELECT 'q' AS side, item_id AS id, unnest(string_split_regex(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ')) AS w FROM benchmark
-  UNION ALL SELECT 'd', doc_id, unnest(string_split_regex(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ')) FROM documents),
-hc AS (SELECT side, id, ('0x' || right(md5(w), 2))::INT % 64 AS bucket, count(*)::DOUBLE AS c FROM hw WHERE w <> '' GROUP BY ALL),
-hv AS (SELECT side, id, bucket, c / sqrt(sum(c * c) OVER (PARTITION BY side, id)) AS weight FROM hc)"""
-_HASHED = _HASH + """,
-hs AS (SELECT a.id AS item_id, b.id AS doc_id, round(sum(a.weight * b.weight), 6) AS score FROM hv a JOIN hv b ON a.bucket = b.bucket AND a.side = 'q' AND b.side = 'd' GROUP BY ALL),
-ht AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hs QUALIFY rank <= 15)"""
-_QRELS = "qr AS (SELECT item_id, doc_id, 2 AS grade FROM benchmark, documents WHERE contains(documents.text, benchmark.text))"
-
-
-def _weights() -> str:
-    # every document is a Body section here
-    return "CASE " + " ".join(f"WHEN intent = '{i}' THEN {w['Body']}" for i, w in C.SECTION_WEIGHTS.items() if "Body" in w) + " ELSE 1.0 END"
-
-
-_RERANK = f"""rr AS (SELECT b.item_id, b.doc_id, b.rank AS first_rank, score, intent, expanded, list_distinct(d.tokens) AS own, list_filter(expanded, lambda t: NOT list_contains({_list(C.GENERIC_TERMS)}, t)) AS telling FROM b JOIN qe USING (item_id) JOIN d USING (doc_id)),
-rs AS (SELECT item_id, doc_id, first_rank, round(score * {_weights()} * (1 + CASE WHEN len(own) > 0 THEN len(list_intersect(expanded, own)) / len(own) ELSE 0 END * 0.4) * (1 + 0.05 / greatest(first_rank, 1))
-  * CASE WHEN len(telling) = 0 THEN 1.0 WHEN len(list_intersect(telling, own)) = 0 THEN 0.15 ELSE 0.6 + 0.4 * len(list_intersect(telling, own)) / len(telling) END, 6) AS score FROM rr),
-rt AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, first_rank) AS rank FROM rs QUALIFY rank <= 5)"""
-
-
-def _support(e: str) -> str:
-    any_of = lambda patterns: " OR ".join(f"regexp_matches(lower({e}), '{p}')" for p in patterns)
-    return f"CASE WHEN {any_of(C.CONTRADICTORY)} THEN 'contradictory' WHEN {any_of(C.DIRECT)} THEN 'direct' ELSE 'indirect' END"
-
-
-def _pick(words: list[str], key: str) -> str:
-    return f"list_extract({_list(words)}, CAST({key} % {len(words)} + 1 AS BIGINT))"
-
-
-def _section(e: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({e}, '(?i)^(?:{p})') THEN '{name}'" for p, name in C.SECTIONS) + " ELSE 'Body' END"
-
-
-def _follow() -> str:
-    ask = lambda kind: "[" + ", ".join(f"replace('{q}', '{{entity}}', subject)" for q in C.FOLLOW_UPS[kind]) + "]"
-    cases = " ".join(f"WHEN intent = '{k}' THEN {ask(k)}" for k in C.FOLLOW_UPS if k != "general")
-    return f"CASE {cases} ELSE {ask('general')} END"
-
-
-def _entities(e: str) -> str:
-    e = rf"regexp_replace({e}, '[^\x00-\x7F]', '_', 'g')"  # RE2's \b doesn't know other letters; _ is one to it
-    return f"list_filter(regexp_extract_all({e}, '{C.ENTITY}'), lambda x: NOT list_contains({_list(C.NOT_ENTITIES)}, x))"
-
-
-_values = ", ".join(str(r) for r in _FLAT)
-_RUBRIC = f"r(system, query_id, {', '.join(metrics.RUBRIC)}) AS (VALUES {_values})"
-_total = " + ".join(metrics.RUBRIC)
-_USERS = "u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user')"
-
-ORACLES = {
-    "tokenize_counts": f"WITH d AS (SELECT doc_id, {_tok("coalesce(text, '')")} AS t FROM documents) SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct, md5(array_to_string(t, ' ')) AS tokens_md5 FROM d",
-    "clean_text_hash": f"SELECT doc_id, md5({_clean('text')}) AS clean_md5 FROM documents",
-    "sentence_split": f"WITH c AS (SELECT doc_id, {_clean('text')} AS c FROM documents), s AS (SELECT doc_id, {_sent('c')} AS s FROM c) SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, md5(array_to_string(s, chr(10))) AS sentences_md5 FROM s",
-    "truncate_excerpt": f"""WITH c AS (SELECT doc_id, {_clean('text')} AS c FROM documents), s AS (SELECT doc_id, c, {_sent('c')} AS s FROM c),
-e AS (SELECT doc_id, c, s, list_filter(range(1, len(s) + 1), lambda i: length(array_to_string(list_slice(s, 1, i), ' ')) <= 400) AS fit FROM s),
-t AS (SELECT doc_id, CASE WHEN length(c) <= 400 THEN c WHEN len(fit) > 0 THEN array_to_string(list_slice(s, 1, len(fit)), ' ') ELSE left(c, 400) END AS t FROM e)
-SELECT doc_id, md5(t) AS excerpt_md5, CAST(length(t) AS BIGINT) AS n_chars FROM t""",
-    "section_detect": f"""WITH s AS (SELECT {_section(f"trim(string_split({_pick(HEADS, 'doc_id')} || ' ' || coalesce(text, ''), chr(10))[1])")} AS section FROM documents) SELECT section, count(*) AS n FROM s GROUP BY section""",
-    "term_freq_top": f"WITH {_BM25} SELECT term, CAST(sum(tf) AS BIGINT) AS tf FROM p GROUP BY term ORDER BY 2 DESC, 1 LIMIT 100",
-    "doc_freq": f"WITH {_BM25} SELECT term, df FROM v",
-    "vocab_stats": f"WITH {_BM25} SELECT n AS n_chunks, round(avgdl, 1) AS avg_length, (SELECT count(*) FROM v) AS n_terms FROM s",
-    "corpus_stats_by_lang": f"SELECT lang, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum(len({_tok('text')})) AS BIGINT) AS n_tokens FROM documents GROUP BY lang",
-    "intent_classify": f"WITH {_USERS} SELECT conv_id, turn, {_intent('text')} AS intent FROM u",
-    "entity_extract": f"WITH {_USERS}, e AS (SELECT conv_id, turn, {_entities('text')} AS e FROM u) SELECT conv_id, turn, CAST(len(e) AS BIGINT) AS n_entities, array_to_string(e, '|') AS entities FROM e",
-    "abbrev_expand": f"WITH {_USERS}, t AS (SELECT conv_id, turn, {_tok('text')} AS t FROM u) SELECT conv_id, turn, array_to_string({_exp('t')}, ' ') AS expanded FROM t",
-    "bm25_topk": f"WITH {_BM25} SELECT item_id, doc_id, rank, score, match_terms FROM b",
-    "bm25_prefix_fallback": f"""WITH {_BM25}, ft AS (SELECT term, min((doc_id, pos)) AS first FROM (SELECT doc_id, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS pos FROM d) GROUP BY term),
-vf AS (SELECT v.term, df, left(v.term, 4) AS prefix, row_number() OVER (PARTITION BY left(v.term, 4) ORDER BY first) AS nth FROM v JOIN ft USING (term)),
-m AS (SELECT item_id, term || 'qq' AS asked FROM q), ok AS (SELECT item_id, asked AS term, 1.0 AS w, asked AS shown FROM m WHERE asked IN (SELECT term FROM v)),
-st AS (SELECT item_id, vf.term, 0.7 AS w, '~' || vf.term AS shown FROM m JOIN vf ON left(asked, 4) = prefix AND nth <= 3 WHERE length(asked) >= 7 AND asked NOT IN (SELECT term FROM v)),
-hp AS (SELECT item_id, doc_id, round(sum(w * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score, array_to_string(list_slice(list_sort(list_distinct(list(shown))), 1, 8), ' ') AS match_terms
-  FROM (SELECT * FROM ok UNION ALL SELECT * FROM st) JOIN v USING (term) JOIN p USING (term) JOIN dl USING (doc_id), s GROUP BY ALL)
-SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, score, match_terms FROM hp QUALIFY rank <= 10""",
-    "dense_topk": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a, v b WHERE a.vec_id % 20 = 0),
-t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM c QUALIFY r <= 10) SELECT query_id, count(*) AS n, max(round(score, 5)) AS best, min(round(score, 5)) AS worst FROM t GROUP BY query_id""",
-    "hash_embed": f"WITH {_HASH} SELECT id AS item_id, CAST(bucket AS BIGINT) AS bucket, round(weight, 6) AS weight FROM hv WHERE side = 'q'",
-    "hash_dense_topk": f"WITH {_HASHED} SELECT item_id, doc_id, rank, score FROM ht",
-    "rrf_fusion": f"""WITH {_BM25}, {_HASHED}, f AS (SELECT coalesce(b.item_id, ht.item_id) AS item_id, coalesce(b.doc_id, ht.doc_id) AS doc_id, b.rank AS r1, ht.rank AS r2, round(coalesce(1.0 / (60 + b.rank), 0) + coalesce(1.0 / (60 + ht.rank), 0), 9) AS score FROM b FULL JOIN ht ON b.item_id = ht.item_id AND b.doc_id = ht.doc_id)
-SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, r1 NULLS LAST, r2 NULLS LAST, doc_id) AS rank, score FROM f QUALIFY rank <= 15""",
-    "rerank_scores": f"WITH {_BM25}, {_RERANK} SELECT item_id, doc_id, rank, first_rank, score FROM rt",
-    "support_type": f"WITH m AS (SELECT doc_id, {_pick(EVIDENCE_HEADS, 'doc_id')} || coalesce(text, '') AS t FROM documents) SELECT doc_id, {_support('t')} AS support_type FROM m",
-    "relevance_norm": f"WITH {_BM25} SELECT item_id, doc_id, round(least(1.0, score / greatest(first_value(score) OVER (PARTITION BY item_id ORDER BY rank), 0.01)), 3) AS relevance FROM b",
-    "confidence_scores": f"""WITH {_BM25}, {_RERANK}, e AS (SELECT item_id, {_support('text')} AS kind, round(least(1.0, score / greatest(first_value(score) OVER (PARTITION BY item_id ORDER BY rank), 0.01)), 3) AS relevance FROM rt JOIN documents USING (doc_id)),
-g AS (SELECT item_id, count(*) AS n, count(*) FILTER (WHERE kind = 'direct') AS direct, count(*) FILTER (WHERE kind = 'indirect') AS indirect, count(*) FILTER (WHERE kind = 'contradictory') AS against, avg(relevance) AS average FROM e GROUP BY item_id),
-c AS (SELECT *, greatest(0.05, least(0.95, 0.3 + least(0.4, n * 0.08) + least(0.2, direct * 0.07))) AS overall FROM g)
-SELECT item_id, n, direct, CAST(round(least(1.0, (direct * 0.3 + indirect * 0.15) / n + 0.4), 4) AS DOUBLE) AS assessment, CAST(round(greatest(0.0, least(1.0, average * 0.5 + direct / n * 0.5 - against * 0.1)), 4) AS DOUBLE) AS synthesis, CAST(round(overall, 3) AS DOUBLE) AS overall, CASE WHEN overall >= 0.75 THEN 'High' WHEN overall >= 0.5 THEN 'Moderate' WHEN overall >= 0.25 THEN 'Low' ELSE 'Insufficient' END AS label FROM c""",
-    "followups": f"WITH {_USERS}, e AS (SELECT conv_id, turn, {_intent('text')} AS intent, coalesce(({_entities('text')})[1], 'this target') AS subject FROM u) SELECT conv_id, turn, array_to_string(list_append({_follow()}, 'What is the clinical significance of alpha and beta?'), '|') AS questions FROM e",
-    "doc_maxpool": f"WITH {_BM25}, m AS (SELECT item_id, lang, greatest(max(score), 0.0) AS score FROM b JOIN documents USING (doc_id) GROUP BY ALL) SELECT item_id, lang, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, lang) AS rank FROM m",
-    "mrr_at_k": f"WITH {_BM25}, {_QRELS}, g AS (SELECT item_id, 1.0 / min(rank) AS rr FROM b JOIN qr USING (item_id, doc_id) WHERE rank <= 5 GROUP BY item_id) SELECT item_id, CAST(round(coalesce(rr, 0.0), 6) AS DOUBLE) AS rr FROM (SELECT DISTINCT item_id FROM qr) LEFT JOIN g USING (item_id)",
-    "ndcg_at_k": f"""WITH {_BM25}, {_QRELS}, ks AS (SELECT unnest([1, 3, 5])::BIGINT AS k), ir AS (SELECT item_id, grade, row_number() OVER (PARTITION BY item_id ORDER BY grade DESC, doc_id) AS r FROM qr),
-i AS (SELECT item_id, k, sum((pow(2, grade) - 1) / log2(r + 1)) AS idcg FROM ir, ks WHERE r <= k GROUP BY ALL), g AS (SELECT item_id, k, sum((pow(2, grade) - 1) / log2(rank + 1)) AS dcg FROM b JOIN qr USING (item_id, doc_id), ks WHERE rank <= k GROUP BY ALL)
-SELECT item_id, k, round(coalesce(dcg, 0) / idcg, 6) AS ndcg FROM i LEFT JOIN g USING (item_id, k)""",
-    "eval_by_mode": f"""WITH {_BM25}, {_HASHED}, {_QRELS}, al AS (SELECT 'bm25' AS mode, item_id, doc_id, rank FROM b UNION ALL SELECT 'dense', item_id, doc_id, rank FROM ht), ms AS (SELECT unnest(['bm25', 'dense']) AS mode), ks AS (SELECT unnest([1, 3, 5]) AS k), qi AS (SELECT DISTINCT item_id FROM qr),
-g AS (SELECT mode, item_id, 1.0 / min(rank) AS rr FROM al JOIN qr USING (item_id, doc_id) WHERE rank <= 5 GROUP BY ALL), ir AS (SELECT item_id, grade, row_number() OVER (PARTITION BY item_id ORDER BY grade DESC, doc_id) AS r FROM qr),
-i AS (SELECT item_id, k, sum((pow(2, grade) - 1) / log2(r + 1)) AS idcg FROM ir, ks WHERE r <= k GROUP BY ALL), c AS (SELECT mode, item_id, k, sum((pow(2, grade) - 1) / log2(rank + 1)) AS dcg FROM al JOIN qr USING (item_id, doc_id), ks WHERE rank <= k GROUP BY ALL)
-SELECT mode, 'mrr@5' AS metric, CAST(round(avg(coalesce(rr, 0)), 6) AS DOUBLE) AS value FROM ms CROSS JOIN qi LEFT JOIN g USING (mode, item_id) GROUP BY mode
-UNION ALL SELECT mode, 'ndcg@' || k, round(avg(round(coalesce(dcg, 0) / idcg, 6)), 6) FROM ms CROSS JOIN i LEFT JOIN c USING (mode, item_id, k) GROUP BY mode, k""",
-    "rubric_means": f"WITH {_RUBRIC}, l AS (" + " UNION ALL ".join(f"SELECT system, '{c}' AS dimension, {e} AS points FROM r" for c, e in [*((c, c) for c in metrics.RUBRIC), ("total", _total)]) + ") SELECT system, dimension, round(avg(points), 6) AS mean FROM l GROUP BY ALL",
-    "rubric_compare": f"WITH {_RUBRIC}, t AS (SELECT system, query_id, CAST({_total} AS BIGINT) AS total FROM r) SELECT t.system, t.query_id, t.total, t.total - o.total AS delta FROM t JOIN t o ON t.query_id = o.query_id AND o.system = 'rules'",
-    "upsert_new_docs": "WITH k AS (SELECT doc_id, md5(text) AS k FROM documents) SELECT k, min(doc_id) AS doc_id, count(*) AS n FROM k WHERE doc_id % 2 = 1 AND k NOT IN (SELECT k FROM k WHERE doc_id % 2 = 0) GROUP BY k",
-    "html_extract": r"""WITH h AS (SELECT page_id, coalesce(html, '') AS html FROM pages) SELECT page_id, regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS heading, CAST(len(regexp_extract_all(html, '<a\s[^>]*href=')) AS BIGINT) AS n_links,
-md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) AS text_md5 FROM h""",
-    "json_links": "SELECT event_id, CASE WHEN event_type = 'pmc' THEN 'x' ELSE CAST(user_id AS VARCHAR) END AS pmcid, CAST(NULL AS VARCHAR) AS error FROM events WHERE event_id % 10 = 0",
-    "stream_ingest_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
-}

@@ -1,0 +1,25 @@
+"""Each query of the library against its SQL, over the small tables."""
+
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from corpuslens import oracles, queries
+
+
+def test_every_query_has_sql():
+    assert set(oracles.ORACLES) == set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+def test_sql(spark, small, name):
+    db = duckdb.connect()
+    for file in Path(small).glob("*.parquet"):
+        db.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM '{file}'")
+    sql = db.sql(oracles.ORACLES[name])
+    got = queries.QUERIES[name](spark, small)
+    assert sorted(got.columns) == sorted(sql.columns)
+    flat = lambda rows: sorted(repr(tuple(round(x, 9) if isinstance(x, float) else x for x in r)) for r in rows)
+    assert flat(got.select(*sql.columns).collect()) == flat(sql.fetchall())
+    spark.catalog.clearCache()
