@@ -426,3 +426,48 @@ def test_neighbours(spark, docs):
     assert [a for a, _ in got[60]] == [a for a, _ in want[60]]
     assert mih.search(df.limit(0)).count() == 0
     assert mih.search(spark.createDataFrame(table[20:22], df.schema)).count() == 1
+
+
+def test_repeated_rows_and_missing_ids(spark, docs):
+    """Row-wise operators give each row its own result, whatever its id; counts follow the defined cases."""
+    some = docs.where("doc_id IN (4, 7, 9, 14, 16)")
+    odd = some.unionByName(some).unionByName(some.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")))
+    bench = spark.createDataFrame([(1, PASSAGE), (1, PASSAGE), (None, "same words")], "item_id long, text string")
+    model = toxic_grammar.fit(odd, spark.createDataFrame([(4, 1), (4, 1), (7, 0)], "doc_id long, toxic int"))
+    results = {
+        "decontaminate": lambda d: decontaminate.annotate(d, decontaminate.Index(spark, bench, odd)),
+        "license": lambda d: license_join.scan(d, license_join.Templates(odd)),
+        "toxic": lambda d: toxic_grammar.score(d, model),
+        "tokens": lambda d: huffman.write(d, queries.tokenizer_path()).read().drop("start"),
+    }
+    for name, run in results.items():
+        by_id = {}
+        for r in run(odd).collect():
+            by_id.setdefault(r.doc_id, []).append(str(r[1:]))
+        once = {r.doc_id: str(r[1:]) for r in run(some).collect()}
+        assert all(by_id[i] == [x] * 2 for i, x in once.items()), name
+        assert len(by_id[None]) == 6 and set(once.values()) <= set(by_id[None]), name
+    got = apportion.mix(odd).collect()
+    assert len(got) == odd.count() and all(0 <= r.taken <= 2 * r.size for r in got)
+    store = line_dedup.LineStore(spark)
+    store.insert(odd)
+    left = line_dedup.dedup(odd, store).collect()
+    assert len(left) == odd.count() and {r.text for r in left if r.doc_id == 7} == {PASSAGE}
+
+
+def test_pages_without_ids_and_repeated(spark):
+    big = "x" * 200
+    table = spark.createDataFrame([(None, "http://a.b/", big), (3, "http://a.b/", big), (3, "http://a.b/", big), (1, None, None), (None, None, "")], "page_id long, url string, html string")
+    path = _shared.shared_dir(spark, "t")
+    index = warc_index.CaptureIndex(spark, path, warc_index.write_archives(table, path))
+    got = [(r.page_id, r.record_type, r.refers_to) for r in warc_index.fetch(index.lookup(warc_index.keys_of(table))).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(None, "response", None), (3, "response", None), (3, "response", None), (1, "response", None), (None, "response", None)]))
+
+
+def test_conversations_and_vectors_repeated(spark):
+    turns = [(None, 0, "user", "hi"), (None, None, None, None), (1, 0, "user", "hi"), (1, 0, "user", "hi")]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    assert {(r.conv_id, r.n_turns) for r in chat_tree.read(chat_tree.write(table)).collect()} == {(None, 2), (1, 2)}
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.5]), (None, [1.0, 1.0]), (2, [0.5, 1.0])]
+    got = mih.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(20, 1, 1), (20, 2, 2)]

@@ -179,3 +179,30 @@ def test_source_mix_takes_rows_without_id(spark):
         times[r.text] = times.get(r.text, 0) + 1
     want = {r.size: int(r.taken / r.size + 0.5) for r in apportion.mix(df).collect()}
     assert {len(t.split()): n for t, n in times.items()} == {n: t for n, t in want.items() if t} and any(d is None and t in times for d, _, t in docs)
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, doc string, row string, text_hash long, size int, n long, fp long, carried string, tokens string"
+
+
+def test_stages_on_odd_tables(spark, small):
+    """Nulls anywhere, empty and long texts, repeated rows, columns with names that the stages use: none fails, rows go out as they came."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    texts = [(1, "clean words of no harm at all"), (1, "clean words of no harm at all"), (2, None), (None, None), (None, "some other words that stand here"), (None, "some other words that stand here"), (3, ""), (4, " \n\t"), (5, long), (6, long + " tail"), (6, "same id with other words in it"), (7, "one")]
+    rows = [(d, t, None, "ab"[i % 2] if i % 3 else None, None, f"d{i}", None, i, None, i, None, "c", "t") for i, (d, t) in enumerate(texts)]
+    table = spark.createDataFrame(rows, ODD).repartition(3)
+    for docs in (table, table.limit(0), spark.createDataFrame([(None,) * 13], ODD)):
+        for name, stage in STAGE.items():
+            got = stage(spark, docs, small)
+            if name == "token_files":
+                assert got.count() == docs.count()
+                continue
+            assert got.columns == docs.columns
+            came, gone = map(lambda df: sorted(map(repr, df.collect())), (docs, got))
+            if name == "source_mix":
+                assert set(gone) <= set(came)
+            elif name == "near_duplicates":
+                assert set(gone) <= set(came) and len(gone) == len(set(gone))
+            else:
+                assert gone == came
+    left = STAGE["near_duplicates"](spark, table, small)
+    assert sorted(str(r.doc_id) + ":" + str(r.text)[:4] for r in left.collect()) == ["1:clea", "2:None", "3:", "4: \n\t", "5:w0 w", "6:same", "7:one", "None:None", "None:some"]
