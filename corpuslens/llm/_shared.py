@@ -6,8 +6,10 @@ import ctypes
 import os
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -46,11 +48,30 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again, which cuts its lineage and survives lost executors."""
+_scopes = threading.local()
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that saved() writes inside, but for those to keep, are removed at the end: results must not read them any more."""
+    outer, _scopes.paths = getattr(_scopes, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _scopes.paths:
+            drop(spark, path)
+        _scopes.paths = outer
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df written as a table in the shared folder and read again, which cuts its lineage and survives lost executors.
+
+    keep: it stays beyond the scope, if there is one, as what is returned to a caller reads it."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
+    if not keep and getattr(_scopes, "paths", None) is not None:
+        _scopes.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -189,7 +189,6 @@ def common_shingles(docs: DataFrame, sets: Sets, text_col: str, total: int, limi
         bound *= 2
         kept = counted.where(F.col("n") >= bound)
     got = kept.toArrow()  # at most limit rows of 16 bytes
-    _shared.drop_saved(counted)
     value, n = got["shingle"].to_numpy().view(np.uint64), got["n"].to_numpy()
     return value[np.lexsort((value, n))]
 
@@ -333,6 +332,21 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """A stream sorted by its first column in pieces that no value of it is parted by; for small groups."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        key = rows.column(0).to_numpy()
+        cut = np.flatnonzero(key[1:] != key[:-1])
+        if len(cut):
+            yield rows.slice(0, int(cut[-1]) + 1)
+            rows = rows.slice(int(cut[-1]) + 1)
+        held = rows
+    if held is not None and len(held):
+        yield held
+
+
 def _sets_of(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
 
@@ -466,15 +480,17 @@ def _rest(inverted: DataFrame, known: DataFrame, rule: Sets) -> tuple[DataFrame,
     open_ = _shared.saved(open_, "open")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches):
-            fp, n, root = (rows[c].to_numpy() for c in ("fp", "n", "root"))
-            # sorted by n: partners of each are the following ones up to the length bound
-            many = np.maximum(np.searchsorted(n, n * rule.den // rule.num, "right") - np.arange(len(n)) - 1, 0)
-            i = np.repeat(np.arange(len(n)), many)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
-            some = root[i] != root[j]
-            i, j = i[some], j[some]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[i], fp[j])), pa.array(np.maximum(fp[i], fp[j])), pa.array(np.minimum(rule.share, rule.overlap(n[i], n[j])))], names=["a", "b", "need"])
+        for rows in _whole(batches):
+            shingle, fp, n, root = (rows[c].to_numpy() for c in ("shingle", "fp", "n", "root"))
+            for d in range(1, rule.crowd):  # a shingle's documents are sorted by n: partners of each are the following ones up to the length bound
+                i = np.flatnonzero(shingle[d:] == shingle[:-d])
+                if not len(i):
+                    break
+                j = i + d
+                some = (n[j] <= n[i] * rule.den // rule.num) & (root[i] != root[j])
+                i, j = i[some], j[some]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[i], fp[j])), pa.array(np.maximum(fp[i], fp[j])), pa.array(np.minimum(rule.share, rule.overlap(n[i], n[j])))], names=["a", "b", "need"])
 
     few = marked.join(open_.where(F.col("n_rows") <= rule.crowd).select("shingle"), "shingle", "left_semi").select("shingle", "fp", "n", "root")
     pairs = few.repartition("shingle").sortWithinPartitions("shingle", "n", "fp").mapInArrow(_shared.lean(run), "a long, b long, need long").groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("c")).where("c >= need")
@@ -540,22 +556,27 @@ def _decide(pairs: DataFrame, docs: DataFrame, rule: Sets, order_: Order, classe
 def join(docs: DataFrame, rule: Sets | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     rule = rule or Sets()
-    profiles = _shared.saved(profile(docs, rule, id_col, text_col), "profiles")
-    # one row for each different set; copies are summed up before the exchange
-    classes = _shared.saved(profiles.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_rows"), *(F.first(c).alias(c) for c in ("n", "k0", "k1", "k2"))), "classes")
-    size = classes.agg(F.count(F.lit(1)).alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows")).first()
-    order_ = Order(common_shingles(docs, rule, text_col, size["total"]))
-    near = _shared.saved(_near_copies(classes, size["sets"], docs, rule, order_, classes, id_col, text_col), "near")
-    known = _shared.saved(components(near), "known")
-    inverted = _shared.saved(_prefixes(docs, rule, order_, text_col, size["total"]), "inverted")
-    pairs, blocks = _rest(inverted, known, rule)
-    _shared.drop_saved(inverted)
-    more = _decide(pairs, docs, rule, order_, classes, id_col, text_col)
-    crowded = _decide_blocks(blocks, docs, known, rule, order_, classes, id_col, text_col)
-    roots = _shared.saved(components(near.union(more).union(crowded)), "roots")
-    rooted = classes.join(roots, "fp", "left").select("fp", "least", "n_rows", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_rows"))
-    named = _shared.lookup(rooted.withColumnRenamed("n_rows", "n_docs"), smallest, ["root"], size["sets"]).select("fp", "component_id", F.col("n_docs").alias("n_rows"))
-    some = _shared.lookup(profiles.where("n > 0").select("doc_id", "n", "fp"), _shared.saved(named, "named"), ["fp"], size["rows"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    profiles = _shared.saved(profile(docs, rule, id_col, text_col), "profiles", keep=True)
+    with _shared.scope(docs.sparkSession):
+        # one row for each different set; copies are summed up before the exchange
+        classes = _shared.saved(profiles.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_rows"), *(F.first(c).alias(c) for c in ("n", "k0", "k1", "k2"))), "classes")
+        size = classes.agg(F.count(F.lit(1)).alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows")).first()
+        roots = _links(docs, rule, classes, size["sets"], size["total"], id_col, text_col)
+        rooted = classes.join(roots, "fp", "left").select("fp", "least", "n_rows", F.coalesce("root", "fp").alias("root"))
+        smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_rows"))
+        named = _shared.lookup(rooted.withColumnRenamed("n_rows", "n_docs"), smallest, ["root"], size["sets"]).select("fp", "component_id", F.col("n_docs").alias("n_rows"))
+        named = _shared.saved(named, "named", keep=True)
+    some = _shared.lookup(profiles.where("n > 0").select("doc_id", "n", "fp"), named, ["fp"], size["rows"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     none = profiles.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return some.unionByName(none)
+
+
+def _links(docs: DataFrame, rule: Sets, classes: DataFrame, n_sets: int, total: int, id_col: str, text_col: str) -> DataFrame:
+    """(fp, root) of all sets that link with another one."""
+    order_ = Order(common_shingles(docs, rule, text_col, total))
+    near = _shared.saved(_near_copies(classes, n_sets, docs, rule, order_, classes, id_col, text_col), "near")
+    known = _shared.saved(components(near), "known")
+    pairs, blocks = _rest(_shared.saved(_prefixes(docs, rule, order_, text_col, total), "inverted"), known, rule)
+    more = _shared.saved(_decide(pairs, docs, rule, order_, classes, id_col, text_col), "more")
+    crowded = _shared.saved(_decide_blocks(blocks, docs, known, rule, order_, classes, id_col, text_col), "crowded")
+    return _shared.saved(components(near.union(more).union(crowded)), "roots")
