@@ -1,7 +1,7 @@
 """Token ids in compact files: canonical length-limited Huffman codes, independent blocks, bit-offset checkpoints.
 
-Writing: every text becomes token ids and an end id (one pass, kept as a table in the shared folder); ids are
-counted over the whole corpus; package-merge gives code lengths of at most ``limit`` bits (more where a vocabulary
+Writing: every text becomes token ids and an end id (one pass, kept as a table in the shared folder, with each task's counts of the
+ids); the counts are added up over the whole corpus; package-merge gives code lengths of at most ``limit`` bits (more where a vocabulary
 needs them, 24 at most) and the canonical codes follow from the lengths alone, which are all that the model file holds. Each document
 is coded on its own and starts at a whole byte; the coded documents are dealt by ranges of doc_id, sorted, and each range is written as
 files of about ``file_tokens`` tokens, in blocks, while it streams by, so a task holds one file's bytes at most.
@@ -43,7 +43,7 @@ from . import _shared, _words
 MAGIC = np.uint32(0x48554631)
 LIMIT, MOST, TABLE, EVERY = 16, 24, 16, 128
 #: Bytes of text whose pieces share a dictionary, and pieces that a worker remembers (some 25 MB); they bound memory only.
-RUN, CACHED = 4 << 20, 500_000
+RUN, CACHED = 8 << 20, 500_000
 _encoders: dict[str, _Encoder] = {}
 #: First bytes of white space that isn't ASCII, and all such characters.
 _WIDE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
@@ -369,32 +369,37 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "
     """Write all texts of docs as token files in ascending order of id_col."""
     spark: SparkSession = docs.sparkSession
     path = _shared.shared_dir(spark, "tokens")
-    schema = "doc_id long, n_tokens long, width int, ids binary"
+    schema = "doc_id long, n_tokens long, width int, ids binary, counts binary"
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, np.int64)
         for batch in batches:
             for lo, hi, _, _ in _words.pieces(batch.column(1), RUN):
                 ids, n = encode_texts(batch.column(1).slice(lo, hi - lo), tokenizer_path, end_id)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(np.full(len(n), ids.itemsize, np.int32)), _binary(ids.tobytes(), n * ids.itemsize)], names=["doc_id", "n_tokens", "width", "ids"])
+                for a in range(0, len(ids), 1 << 18):
+                    own = np.bincount(ids[a : a + (1 << 18)], minlength=len(total))
+                    own[: len(total)] += total
+                    total = own
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(np.full(len(n), ids.itemsize, np.int32)), _binary(ids.tobytes(), n * ids.itemsize), pa.nulls(len(n), pa.binary())], names=names)
                 _shared.trim()
+        # the task's counts are a row of their own, which alone has this column
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([np.stack([used, total[used]]).astype("<i8").tobytes()], pa.binary())], names=names)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     raw_path = f"{path}/raw"
     source.mapInArrow(_shared.lean(tokens), schema).write.option("compression", "zstd").parquet(raw_path)
-    raw = spark.read.schema(schema).parquet(raw_path)
+    raw = spark.read.schema(schema).parquet(raw_path).drop("counts").where("n_tokens >= 0")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                own = np.bincount(_held(part.column(1)).view(f"<u{part.column(0)[0].as_py()}"), minlength=len(total))
-                own[: len(total)] += total
-                total = own
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
+            for x in batch.column(0):
+                used, n = np.frombuffer(x.as_py(), "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n)], names=["id", "n"])
 
-    counted = raw.select("width", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row for each id of the vocabulary at most
+    told = spark.read.schema("counts binary").parquet(raw_path).where("counts IS NOT NULL")
+    counted = told.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row for each id of the vocabulary at most
     counts = np.zeros(int(max(counted["id"].to_pylist(), default=0)) + 1, np.int64)
     counts[counted["id"].to_numpy()] = counted["n"].to_numpy()
     limit = widest(counts, limit)
