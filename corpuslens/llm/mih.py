@@ -175,6 +175,11 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = 256, sample: int = 20_000, sample_bytes: int = 128 << 20, query_block: int = 256, row_block: int = 1 << 15) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each vector whose id is divisible by every, among all others."""
+    with _shared.scope(vectors.sparkSession):
+        return _search(vectors, every, k, id_col, vector_col, bits, sample, sample_bytes, query_block, row_block)
+
+
+def _search(vectors: DataFrame, every: int, k: int, id_col: str, vector_col: str, bits: int, sample: int, sample_bytes: int, query_block: int, row_block: int) -> DataFrame:
     spark = vectors.sparkSession
     usable = _usable(vectors, id_col, vector_col)
     length = usable.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).first()
@@ -252,5 +257,5 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
     answers = near.groupBy("first").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score"))).alias("found"))
     answers = _shared.saved(answers.join(twins.select("first", "n_rows"), "first"), "answers")
     others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    told = _shared.lookup(names, answers, ["first"], total).select("query_id", F.posexplode(others).alias("at", "x"))
-    return told.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    told = _shared.lookup(_shared.saved(names, "names"), answers, ["first"], total).select("query_id", F.posexplode(others).alias("at", "x"))
+    return _shared.saved(told.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score")), "neighbours", keep=True)

@@ -87,7 +87,8 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 100, file_byt
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha2("payload", 256))
     # of payloads that several pages share; partial sums come before the exchange, so a common page is no large group
     shared = rows.where(F.octet_length("payload") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
-    rows = _shared.lookup(rows, _shared.saved(shared, "digests"), ["digest"], pages.count()).select("page_id", "url", "payload", "digest", F.expr("CASE WHEN page_id > first AND octet_length(payload) >= " + str(int(min_revisit)) + " THEN first END").alias("first"))
+    shared = _shared.saved(shared, "digests")
+    rows = _shared.lookup(rows, shared, ["digest"], pages.count()).select("page_id", "url", "payload", "digest", F.expr("CASE WHEN page_id > first AND octet_length(payload) >= " + str(int(min_revisit)) + " THEN first END").alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, found = io.BytesIO(), []
@@ -111,7 +112,9 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 100, file_byt
                     yield from flush()
         yield from flush()
 
-    return _shared.saved(rows.mapInArrow(_shared.lean(run), CAPTURE), "captures")
+    captures = _shared.saved(rows.mapInArrow(_shared.lean(run), CAPTURE), "captures")
+    _shared.drop_saved(shared)
+    return captures
 
 
 class CaptureIndex:
