@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from . import constants as C
 
-W = r"[\p{L}\p{N}_]"
-S = r"(?U:\s)"
+W, S = C.W, C.S
 
 
 def tokenize(text: Column) -> Column:
@@ -22,23 +21,9 @@ def tokenize(text: Column) -> Column:
     return F.coalesce(F.filter(spaced, lambda t: (F.length(t) <= 3) | ~t.isin(C.DROPPED)), kept)
 
 
-#: (pattern, replacement) of the cleaning passes, in order.
-CLEANING = [
-    (rf"{S}+", " "),
-    (rf"({W})-{S}+({W})", "$1$2"),
-    (r"\[\d+\]", ""),
-    (rf"(?<=[A-Za-z%])\.\d{{1,3}}(?:,\d{{1,3}})*(?={S}+[A-Za-z])", "."),
-    (rf"(?<=[A-Za-z])(,\d{{1,3}})+(?={S}+[a-z])", ""),
-    (r"(?<=[.)]) \d{1,3}(?: , \d{1,3})* (?=[A-Za-z])", " "),
-    (r" \d{1,3}(?: , \d{1,3}){2,} (?=[A-Za-z])", " "),
-    (r"(?<=[A-Za-z]), \d{1,3}(?: , \d{1,3})* (?=[a-z])", " "),
-    (rf"{S}+", " "),
-]
-
-
 def clean_text(text: Column) -> Column:
     """White space collapsed, line-break hyphens joined, citation marks removed."""
-    for pattern, replacement in CLEANING:
+    for pattern, replacement in C.CLEANING:
         text = F.regexp_replace(text, pattern, replacement)
     return F.trim(text)
 
