@@ -297,6 +297,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marked = marked.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
     chosen = marked.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), "_id").select("t", "_y")
+    with _shared.scope(docs.sparkSession):
+        return _learn(_shared.saved(sample, "labelled"), floor)
+
+
+def _learn(sample: DataFrame, floor: float) -> Model:
+    """The model of texts (t) with labels (_y)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
