@@ -22,13 +22,10 @@ BENCH_BYTES = 64 << 20
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; documents that fill less than one scan partition a core are dealt to all cores, as one row group is one task."""
+    """A table; documents in fewer scan partitions than there are cores are dealt to all cores, as one row group is one task."""
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name != "documents":
-        return table
     cores = spark.sparkContext.defaultParallelism
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    return table.repartition(cores) if int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * split else table
+    return table.repartition(cores) if name == "documents" and table.rdd.getNumPartitions() < cores else table
 
 
 def _docs(spark, d) -> DataFrame:
