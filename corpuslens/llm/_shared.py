@@ -21,7 +21,7 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 
 
 #: Bytes of a batch between the JVM and a Python worker, where the session leaves Spark's own 64 MB: both sides hold several at a time.
-BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def ready(spark: SparkSession) -> SparkSession:

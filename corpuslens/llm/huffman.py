@@ -42,8 +42,8 @@ from . import _shared, _words
 
 MAGIC = np.uint32(0x48554631)
 LIMIT, MOST, TABLE, EVERY = 16, 24, 16, 128
-#: Bytes of text whose pieces share a dictionary, and pieces that a worker remembers (some 25 MB); they bound memory only.
-RUN, CACHED = 8 << 20, 500_000
+#: Bytes of text whose pieces share a dictionary, and pieces that a worker remembers (some 20 MB); they bound memory only.
+RUN, CACHED = 4 << 20, 400_000
 _encoders: dict[str, _Encoder] = {}
 #: First bytes of white space that isn't ASCII, and all such characters.
 _WIDE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
