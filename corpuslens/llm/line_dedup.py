@@ -24,7 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -304,7 +304,7 @@ def dedup(docs: DataFrame, store: LineStore, min_docs: int = 3, id_col: str = "d
             for lo, hi, data, at in _words.pieces(batch.column(1)):
                 found = lines(data, at, least)
                 lists = batch.column(2).slice(lo, hi - lo)
-                row = pa.compute.list_parent_indices(lists).to_numpy()
+                row = pc.list_parent_indices(lists).to_numpy()
                 pairs = lists.flatten()
                 gone = np.zeros(len(found.text), bool)
                 if len(row):
