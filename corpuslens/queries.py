@@ -9,7 +9,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import constants as C
 from .functions import text as T
 from .operators import dense, evidence, index, metrics, rerank, retrieve, synthesize
 from .plans import decision
