@@ -13,8 +13,8 @@ Any block can be read alone with the model file; from any checkpoint decoding ca
 Reading: a block's checkpoints are lanes that are decoded in step, one table lookup a token for all of them (a second one
 for codes of more than 16 bits).
 
-Encoding: a byte-level tokenizer without normalizer always cuts a text before a space that a character other than white space follows, so a text is the
-sequence of the pieces between such places. The pieces of some megabytes are dictionary-encoded with Arrow, each different one is encoded
+Encoding: a byte-level tokenizer without normalizer always cuts a text before a space that a character other than white space follows, and after
+a letter that an ASCII character other than a letter follows (of these, spaces stay with what comes after them), so a text is the sequence of the pieces between such places. The pieces of some megabytes are dictionary-encoded with Arrow, each different one is encoded
 by the tokenizers library unless the worker remembers it, and its ids are gathered for all places where it stands. Texts that hold one of the tokenizer's added
 tokens, and all texts under other tokenizers, are encoded whole.
 
@@ -42,8 +42,8 @@ from . import _shared, _words
 
 MAGIC = np.uint32(0x48554631)
 LIMIT, MOST, TABLE, EVERY = 16, 24, 16, 128
-#: Bytes of text whose pieces share a dictionary, and pieces that a worker remembers (some 20 MB); they bound memory only.
-RUN, CACHED = 4 << 20, 400_000
+#: Bytes of text whose pieces share a dictionary, and pieces that a worker remembers (some 30 MB); they bound memory only.
+RUN, CACHED = 4 << 20, 500_000
 _encoders: dict[str, _Encoder] = {}
 #: First bytes of white space that isn't ASCII, and all such characters.
 _WIDE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
@@ -69,6 +69,15 @@ def _cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return spot
 
 
+_LETTER, _SIGN = (np.array([x < 128 and x != 32 and chr(x).isalpha() == letter for x in range(256)]) for letter in (True, False))
+
+
+def _word_ends(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places of ASCII characters, other than letters and spaces, that follow an ASCII letter of the same text."""
+    spot = np.flatnonzero(_LETTER[data[:-1]] & _SIGN[data[1:]]) + 1
+    return spot[at[np.searchsorted(at, spot)] != spot]
+
+
 class _Encoder:
     """A tokenizer; pieces says whether texts may be cut before words."""
 
@@ -88,7 +97,12 @@ class _Encoder:
         self.leads[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         del vocabulary
         _shared.trim()
+        self._forget()
+
+    def _forget(self) -> None:
+        """known: pieces; ids and of: their ids; key and place: their hashes in order and where they stand; met: which were met again."""
         self.known, self.ids, self.of = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.key, self.place, self.met = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, bool)
 
     def alone(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.made.encode_batch_fast(texts, add_special_tokens=False)]
@@ -125,18 +139,38 @@ class _Encoder:
 
     def dictionary(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A pool of ids, and where in it the ids of each of some different pieces start and how many they are."""
-        where = pc.index_in(pieces, value_set=self.known)
-        new = pieces.filter(where.is_null())
-        ids, of = self.encoded(new)
-        where = where.to_numpy(zero_copy_only=False)
-        at = np.full(len(pieces), -1) if not len(self.known) else np.nan_to_num(where, nan=-1).astype(np.int64)
-        at[at < 0] = len(self.known) + np.arange(len(new))
+        data, at = _words.utf8(pieces)
+        key = _words.hash_spans(_words._BYTE[data[at[0] : at[-1]]], at[:-1] - at[0], at[1:] - at[0])
+        where = np.full(len(pieces), -1)
+        if len(self.key):
+            spot = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            some = np.flatnonzero(self.key[spot] == key)
+            place = self.place[spot[some]]
+            same = pc.equal(pieces.take(pa.array(some)), self.known.take(pa.array(place))).to_numpy(zero_copy_only=False)
+            where[some[same]] = place[same]
+            self.met[place[same]] = True
+        new = np.flatnonzero(where < 0)
+        fresh = pieces.take(pa.array(new))
+        ids, of = self.encoded(fresh)
+        where[new] = len(self.known) + np.arange(len(new))
         pool, of = np.concatenate((self.ids, ids)), np.concatenate((self.of, self.of[-1] + of[1:]))
-        start, n = of[at], np.diff(of)[at]
-        if len(of) <= CACHED:
-            self.known, self.ids, self.of = pa.concat_arrays([self.known, new]), pool, of
-        else:  # only the latest pieces are kept
-            self.known, self.ids, self.of = pieces, pool[np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], np.concatenate(([0], np.cumsum(n)))
+        start, n = of[where], np.diff(of)[where]
+        known, met, keys, places = pa.concat_arrays([self.known, fresh]), np.append(self.met, np.zeros(len(new), bool)), np.append(self.key, key[new]), np.append(self.place, where[new].astype(np.int32))
+        if len(known) > CACHED:  # those that came back stay, with the latest
+            kept = met.copy()
+            kept[len(self.known) :] = True
+            if np.count_nonzero(kept) > CACHED:
+                kept[: len(self.known)] = False
+            number = np.cumsum(kept) - 1
+            size = np.diff(of)
+            self.ids, self.of = pool[np.repeat(kept, size)], np.concatenate(([0], np.cumsum(size[kept])))
+            known, met = known.filter(pa.array(kept)), np.zeros(np.count_nonzero(kept), bool)
+            stay = kept[places]
+            keys, places = keys[stay], number[places[stay]].astype(np.int32)
+        else:
+            self.ids, self.of = pool, of
+        order = np.argsort(keys, kind="stable")
+        self.known, self.met, self.key, self.place = known, met, keys[order], places[order]
         return pool, start, n
 
 
@@ -147,7 +181,7 @@ def encode_texts(texts: pa.Array, path: str, end_id: int = 0) -> tuple[np.ndarra
     held = _encoders[path]
     data, at = _words.utf8(texts)
     data, at = data[at[0] : at[-1]], at - at[0]
-    cuts = _cuts(data, at) if held.pieces else np.zeros(0, np.int64)
+    cuts = np.concatenate((_cuts(data, at), _word_ends(data, at))) if held.pieces and len(data) else np.zeros(0, np.int64)
     for token in held.added if len(cuts) else ():
         whole = np.flatnonzero(pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False))
         if len(whole):
