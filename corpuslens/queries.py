@@ -27,9 +27,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table.repartition(cores) if name == "documents" and table.rdd.getNumPartitions() < cores else table
 
 
-def _docs(spark, d) -> DataFrame:
-    """Documents as chunks of one."""
-    return _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("doc_id").cast("string").alias("title"), F.lit("Body").alias("section"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("chunk_ord"), T.tokenize(F.coalesce("text", F.lit(""))).alias("tokens"))
+def _docs(spark, d, hits: DataFrame | None = None) -> DataFrame:
+    """Documents as chunks of one; only those that hits name, which are chosen before their texts are looked at."""
+    docs = _t(spark, d, "documents")
+    docs = docs if hits is None else retrieve.named(docs.withColumn("chunk_id", F.col("doc_id")), hits)
+    return docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("doc_id").cast("string").alias("title"), F.lit("Body").alias("section"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("chunk_ord"), T.tokenize(F.coalesce("text", F.lit(""))).alias("tokens"))
 
 
 def _questions(spark, d) -> DataFrame:
@@ -37,13 +39,21 @@ def _questions(spark, d) -> DataFrame:
 
 
 def _index(spark, d) -> index.Index:
-    return index.build(_docs(spark, d))
+    return index.build(_docs(spark, d).select("chunk_id", "chunk_ord", "tokens"))
 
 
 def _hits(spark, d, k: int = 15) -> DataFrame:
     return retrieve.search(_questions(spark, d), _index(spark, d), k)
 
 
+def _staged_hits(spark, d, k: int) -> DataFrame:
+    """Hits that are computed here, from tokens that are a table until then."""
+    of = index.build(store.tabled(_docs(spark, d).select("chunk_id", "chunk_ord", "tokens")), keep=False)
+    hits = staged(retrieve.search(_questions(spark, d), of, k))
+    store.drop(of.chunks)
+    return hits
+
+
 def _qrels(spark, d) -> DataFrame:
     """Documents that hold a benchmark passage: all passages, as many as fit in BENCH_BYTES, are looked for in one pass over the texts."""
     bench = _t(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")).where("passage IS NOT NULL")
@@ -55,8 +65,8 @@ def _qrels(spark, d) -> DataFrame:
 
 def _reranked(spark, d, k: int = 5, hits: DataFrame | None = None) -> DataFrame:
     q = _questions(spark, d).select("query_id", "intent", "expanded_tokens", F.col("tokens").alias("query_tokens"))
-    hits = _hits(spark, d) if hits is None else hits
-    return rerank.rerank(hits.select("query_id", "chunk_id", "score", "rank").join(q, "query_id").join(_docs(spark, d).drop("chunk_ord"), "chunk_id"), k)
+    hits = staged(_hits(spark, d)) if hits is None else hits
+    return rerank.rerank(hits.select("query_id", "chunk_id", "score", "rank").join(q, "query_id").join(_docs(spark, d, hits).drop("chunk_ord"), "chunk_id"), k)
 
 
 def tokenize_counts(spark, d):
@@ -249,7 +259,7 @@ def ndcg_at_k(spark, d):
 
 def _modes(spark, d, depth: int = 60, keep: int = 5) -> dict[str, DataFrame]:
     """Document rankings of the five ways to answer, from candidates of one depth."""
-    hits, hashed = staged(_hits(spark, d, depth)), staged(_hash_hits(spark, d, depth))
+    hits, hashed = _staged_hits(spark, d, depth), staged(_hash_hits(spark, d, depth))
     fused = staged(retrieve.fuse(hits, hashed, depth))
     hits_by = {"bm25": hits, "reranked": _reranked(spark, d, keep, hits), "dense": hashed, "hybrid": fused, "hybrid_reranked": _reranked(spark, d, keep, fused)}
     return {mode: metrics.doc_ranking(h.select("query_id", F.col("chunk_id").alias("doc_id"), "score")) for mode, h in hits_by.items()}

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from corpuslens import queries
 from corpuslens.functions import text as T
 from corpuslens.operators import index, retrieve
 
@@ -62,3 +63,14 @@ def test_guarded_stops(spark):
     said = ["See Fig. A. B", "i.e.g. X. Y", "e.g. X vs. Y et al. Z", "Max max. Min"]
     got = spark.createDataFrame([(s,) for s in said], "t string").select("t", T.sentences(F.col("t")).alias("s"))
     assert {r.t: r.s for r in got.collect()} == {"See Fig. A. B": ["See Fig. A.", "B"], "i.e.g. X. Y": ["i.e.g.", "X.", "Y"], "e.g. X vs. Y et al. Z": ["e.g. X vs. Y et al. Z"], "Max max. Min": ["Max max. Min"]}
+
+
+def test_only_named_documents_are_read_into_words(spark, small):
+    """Reranking chooses documents by the hits before it cuts texts into words; tables of tokens are dropped after the search."""
+    from pathlib import Path
+
+    hits = spark.createDataFrame([(1, 3)], "query_id long, chunk_id long")
+    assert [r.doc_id for r in queries._docs(spark, small, hits).collect()] == [3]
+    before = set(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).rglob("table-*"))
+    assert queries._staged_hits(spark, small, 5).count() > 0
+    assert set(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).rglob("table-*")) == before
