@@ -74,3 +74,10 @@ def test_only_named_documents_are_read_into_words(spark, small):
     before = set(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).rglob("table-*"))
     assert queries._staged_hits(spark, small, 5).count() > 0
     assert set(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).rglob("table-*")) == before
+
+
+def test_gaps_read_nothing_that_was_dropped(spark, small):
+    """The gaps are computed after the table of chunks is gone: hits, evidence and the number of chunks are staged."""
+    gaps = queries.knowledge_gaps(spark, small)
+    assert not [f for f in gaps.inputFiles() if "/table-" in f]
+    assert gaps.count() == spark.read.parquet(f"{small}/benchmark.parquet").count()
