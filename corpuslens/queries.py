@@ -214,7 +214,7 @@ def common_terms(spark, d):
 def _decisions(spark, d) -> DataFrame:
     docs = _t(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("title"), "text")
     corpus = decision.corpus(docs, table=True)
-    made = decision.decide(_t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), corpus)
+    made = decision.decide(_t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), corpus, documents=docs)
     store.drop(corpus.chunks)  # what made reads is staged
     return made
 

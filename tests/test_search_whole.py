@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpuslens import queries
 from corpuslens.functions import text as T
 from corpuslens.operators import index, retrieve
+from corpuslens.plans import decision
 
 K1, B = 1.5, 0.75
 
@@ -81,3 +82,30 @@ def test_gaps_read_nothing_that_was_dropped(spark, small):
     gaps = queries.knowledge_gaps(spark, small)
     assert not [f for f in gaps.inputFiles() if "/table-" in f]
     assert gaps.count() == spark.read.parquet(f"{small}/benchmark.parquet").count()
+
+
+def test_table_of_chunks_holds_no_texts(spark, small, monkeypatch):
+    """What is written to disk of chunks is what search reads."""
+    written = []
+    monkeypatch.setattr(decision, "tabled", lambda df: written.append(df.columns) or df)
+    queries.knowledge_gaps(spark, small)
+    assert written == [["chunk_id", "chunk_ord", "tokens"]]
+
+
+def test_documents_cut_again_give_the_same_decisions(spark):
+    """Documents of hits are found by their ids, also where ids repeat or are missing."""
+    rng = random.Random(5)
+    words = ["kidney", "compound", "alpha", "results", "tissue", "method", "however", "trial"]
+    said = lambda: " ".join(" ".join(rng.choices(words, k=9)).capitalize() + "." for _ in range(rng.randrange(40)))
+    docs = spark.createDataFrame([(None if i % 9 == 0 else str(i % 50), f"T{i}", said()) for i in range(60)], "doc_id string, title string, text string").repartition(3).persist()
+    asked = spark.createDataFrame([(q, " ".join(rng.sample(words, 3))) for q in range(6)], "query_id long, text string")
+    table = decision.corpus(docs, table=True)
+    got, want = decision.decide(asked, table, documents=docs), decision.decide(asked, decision.corpus(docs))
+    rows = [sorted(r.json for r in decision.as_json(x).collect()) for x in (got, want)]
+    assert rows[0] == rows[1] and '"evidence":[{' in rows[0][0]
+
+
+def test_sections_by_their_first_words(spark):
+    said = ["Abstract. A", "abstracts", "BACKGROUND x", "Materials  and methods", "material", "methodical", " Results", "x\nResults", "Discussions", "Concluded", "Conclusion", "Bibliography", "Appendix", "", None, "Body"]
+    got = [r.s for r in spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, t string").orderBy("i").select(T.section(F.col("t")).alias("s")).collect()]
+    assert got == ["Abstract", "Body", "Introduction", "Methods", "Body", "Methods", "Results", "Body", "Discussion", "Body", "Conclusion", "References", "Supplementary", "Body", "Body", "Body"]
